@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import repetition, simhash
+from landtide.llm import fm_dedup, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
@@ -26,6 +30,7 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
+    "op6_fm_substrings": op6_fm_substrings,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
 
