@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import fm_dedup, repetition, simhash
+from landtide.llm import fm_dedup, pieces, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,17 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer files are installed; imported here as other operators do without."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.removed(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,7 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_fm_substrings": op6_fm_substrings,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
