@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import fm_dedup, pieces, repetition, simhash
+from landtide.llm import crf_secrets, fm_dedup, pieces, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.removed(_table(spark, sf_dir, "documents"))
 
 
+def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = crf_secrets.find(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_crf")
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_fm_substrings": op6_fm_substrings,
+    "op7_crf_secrets": op7_crf_secrets,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
 
