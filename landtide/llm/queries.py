@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import crf_secrets, fm_dedup, pieces, repetition, simhash
+from landtide.llm import crf_secrets, fm_dedup, mixing, pieces, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_crf")
 
 
+def op8_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op6_fm_substrings": op6_fm_substrings,
     "op7_crf_secrets": op7_crf_secrets,
+    "op8_target_mix": op8_target_mix,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
 
