@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import crf_secrets, fm_dedup, mixing, pieces, repetition, simhash
+from landtide.llm import crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.removed(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_cross_parsing": op4_cross_parsing,
     "op6_fm_substrings": op6_fm_substrings,
     "op7_crf_secrets": op7_crf_secrets,
     "op8_target_mix": op8_target_mix,
