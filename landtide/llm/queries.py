@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash
+from landtide.llm import capfilters, crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op8_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = capfilters.groups(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fm_substrings": op6_fm_substrings,
     "op7_crf_secrets": op7_crf_secrets,
     "op8_target_mix": op8_target_mix,
+    "op9_cap_filters": op9_cap_filters,
     "op10_suffix_repetition": op10_suffix_repetition,
 }
 
