@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import capfilters, crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash
+from landtide.llm import capfilters, crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL query: verdict, and host with the start of a path.
+URL_RULES = (
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+)
+
+
+def op1_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,6 +75,7 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_markov": op1_url_markov,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_cross_parsing": op4_cross_parsing,
