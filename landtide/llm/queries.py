@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import capfilters, crf_secrets, fm_dedup, langid, mixing, pieces, repetition, simhash, url_filter
+from landtide.llm import capfilters, crf_secrets, fm_dedup, gru_lm, langid, mixing, pieces, repetition, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_all(_table(spark, sf_dir, "documents"))
+
+
 def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.removed(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_groups": op2_simhash_groups,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_cross_parsing": op4_cross_parsing,
+    "op5_gru_scores": op5_gru_scores,
     "op6_fm_substrings": op6_fm_substrings,
     "op7_crf_secrets": op7_crf_secrets,
     "op8_target_mix": op8_target_mix,
