@@ -32,6 +32,8 @@ from landtide.llm.store import settle
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Hexadecimal digits of a block, and of each further step towards the end of the last pass.
 DIGITS, STEPS = 2, 3
+#: Words of a shard where the number of shards isn't given; the logarithm of the most shards.
+SHARD_WORDS, MOST_DEPTH = 1 << 20, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -130,10 +132,13 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.explode(each).alias("q")).select("q.source", "shard", "q.quota")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 4, seed: int = 1) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, seed: int = 1) -> DataFrame:
     """A row for each document: ``(id, source, size, digest, source_size, target, draws)``; ``draws`` has the shard and place of each copy."""
     sized = settle(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     goals = settle(targets(sized), "mix-targets")
+    if depth is None:
+        words = goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+        depth = min(MOST_DEPTH, max(0, -(-words // SHARD_WORDS) - 1).bit_length())
     ends = _last_pass(sized, goals)
     # Units: a block of a source in a pass. The block in which the last pass ends is drawn in part.
     bound = ends.withColumnRenamed("source", "of")
@@ -160,9 +165,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return rows.select("id", "source", "size", "digest", "source_size", "target", draws.alias("draws"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int = 4, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, seed: int = 1) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a row for each copy, shard after shard, shuffled within each."""
     draws = plan(docs, id_col, text_col, source_col, depth, seed).select(F.col("digest").alias("of"), F.col("source").alias("from"), "draws").dropDuplicates(["of", "from"])
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest(id_col, text_col).alias("digest"), F.col(source_col).cast("string").alias("source"))
     copies = keyed.join(draws, (F.col("digest") == F.col("of")) & F.col("source").eqNullSafe(F.col("from"))).select("row", F.explode("draws").alias("d"))
-    return copies.repartition(2**depth, F.col("d.shard")).sortWithinPartitions("d.shard", "d.place").select("row.*")
+    return copies.repartition("d.shard").sortWithinPartitions("d.shard", "d.place").select("row.*")

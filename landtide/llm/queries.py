@@ -78,6 +78,12 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes its tokenizer's place from here
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_markov": op1_url_markov,
     "op2_simhash_groups": op2_simhash_groups,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_target_mix": op8_target_mix,
     "op9_cap_filters": op9_cap_filters,
     "op10_suffix_repetition": op10_suffix_repetition,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
