@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _all():
+    """The frame of all rows: class tables have a row a class."""
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def deviation(accuracy: Column) -> Column:
@@ -20,7 +22,7 @@ def least_n(accuracy: Column, tolerance: float) -> Column:
 
 def weights(classes: DataFrame) -> DataFrame:
     """``classes (class_code, n, ...)`` with the share of each."""
-    return classes.withColumn("weight", F.col("n") / F.sum("n").over(_ALL))
+    return classes.withColumn("weight", F.col("n") / F.sum("n").over(_all()))
 
 
 def total_size(classes: DataFrame, error: float, kind: str = "simple") -> DataFrame:
@@ -34,17 +36,17 @@ def total_size(classes: DataFrame, error: float, kind: str = "simple") -> DataFr
 
 def pinned(classes: DataFrame, total: int) -> DataFrame:
     """``classes (class_code, n, pinned)``: pinned classes have their number; the rest of ``total`` goes by size to the others."""
-    rest = F.lit(total) - F.coalesce(F.sum("pinned").over(_ALL), F.lit(0))
-    free = F.sum(F.when(F.col("pinned").isNull(), F.col("n"))).over(_ALL)
+    rest = F.lit(total) - F.coalesce(F.sum("pinned").over(_all()), F.lit(0))
+    free = F.sum(F.when(F.col("pinned").isNull(), F.col("n"))).over(_all())
     return classes.withColumn("sample_size", F.coalesce(F.col("pinned").cast("long"), F.bround(rest * F.col("n") / free).cast("long")))
 
 
 def allocate(classes: DataFrame, total: int, kind: str = "prop") -> DataFrame:
     """Equal or proportional numbers of samples."""
     if kind == "equal":
-        size = F.bround(F.lit(total) / F.count("*").over(_ALL))
+        size = F.bround(F.lit(total) / F.count("*").over(_all()))
     elif kind == "prop":
-        size = F.bround(F.lit(total) * F.col("n") / F.sum("n").over(_ALL))
+        size = F.bround(F.lit(total) * F.col("n") / F.sum("n").over(_all()))
     else:
         raise ValueError(f"unknown allocation {kind!r}")
     return classes.withColumn("sample_size", size.cast("long"))
@@ -53,7 +55,7 @@ def allocate(classes: DataFrame, total: int, kind: str = "prop") -> DataFrame:
 def standard_errors(classes: DataFrame) -> DataFrame:
     """``classes (class_code, n, accuracy, sample_size)`` with the error of each class's accuracy and of the overall one."""
     own = F.col("accuracy") * (1 - F.col("accuracy")) / (F.col("sample_size") - 1)
-    return weights(classes).withColumn("user_error", F.sqrt(own)).withColumn("overall_error", F.sqrt(F.sum(F.col("weight") ** 2 * own).over(_ALL)))
+    return weights(classes).withColumn("user_error", F.sqrt(own)).withColumn("overall_error", F.sqrt(F.sum(F.col("weight") ** 2 * own).over(_all())))
 
 
 def stratified(cells: DataFrame, sizes: DataFrame, order: Sequence[Column | str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from landtide.plans import pixels
+from landtide.plans import pixels, products, space, statistics
 from landtide.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "pixels"]
+__all__ = ["QUERIES", "SQL", "pixels", "products", "space", "statistics"]
