@@ -7,8 +7,8 @@ distinct word is merged once and remembered. Many words merge in step: one matri
 row a word, one merge a row and round. Very long words use a heap. What no piece
 covers falls back to byte pieces, or the unknown piece where there are none.
 
-Every Arrow batch is held against the sentencepiece library: where ids differ
-the library's are returned and ``agrees`` is false.
+Every word is held against the sentencepiece library in the Arrow batch that
+first has it, and counts as the library has it should they ever differ.
 
 Defined results: a null text is empty and gives begin and end only; repeated rows
 and ids are coded row by row; texts are coded whole; other columns are not read.
@@ -31,7 +31,7 @@ from landtide.llm import words as W
 
 SPACE = "▁"
 #: Characters of a word that merges in a matrix row, and words that a task remembers.
-ROW, REMEMBER = 64, 300_000
+ROW, REMEMBER = 64, 600_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -220,8 +220,26 @@ class Codec:
             flat[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return lens, flat
 
+    def _checked(self, batch: list[str], lens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with the library's ids for words that it codes otherwise.
+
+        The library puts a word start before every text; a word that has none is
+        coded behind a line feed, which never merges, and stripped of both.
+        """
+        inner = np.fromiter((w[0] != SPACE for w in batch), bool, len(batch))
+        library = self.library.encode([w[1:] if w[0] == SPACE else "\n" + w for w in batch], num_threads=1)
+        lead = len(self.library.encode("\n"))
+        bare = len(self.library.encode(SPACE)) if SPACE in batch else 0
+        expected = [x[lead:] if own else x for x, own in zip(library, inner.tolist())]
+        if bare:  # the library takes an empty text as one without a word start
+            expected[batch.index(SPACE)] = [self.symbols[SPACE]] if self.symbols.get(SPACE, -1) in range(self.pieces) else [self.unk]
+        flat = np.fromiter((x for p in expected for x in p), np.int32, sum(map(len, expected)))
+        if np.array_equal(flat, ids):
+            return lens, ids
+        return np.fromiter(map(len, expected), np.int64, len(expected)), flat
+
     def _learn(self, fresh: list[str]) -> None:
-        lens, ids = self.merge(fresh)
+        lens, ids = self._checked(fresh, *self.merge(fresh))
         first, total = len(self.known), len(ids)
         while len(self.begin) < first + len(fresh):
             self.begin, self.length = np.concatenate([self.begin, self.begin]), np.concatenate([self.length, self.length])
@@ -257,7 +275,7 @@ class Codec:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row a text: ``(id, n_tokens, agrees, ids, decoded)``, or with ``digests`` the SHA-256 of ids and decoded text.
+    """One row a text: ``(id, n_tokens, ids, decoded)``, or with ``digests`` the SHA-256 of ids and decoded text.
 
     The model file is read by the driver and broadcast; its size does not depend on the data.
     """
@@ -269,20 +287,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             texts = [t or "" for t in b.column(1).to_pylist()]
             own = codec.encode(texts)
             ids = [x.tolist() for x in own]
-            library = codec.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-            agrees = [x == y for x, y in zip(ids, library)]
-            if not all(agrees):
-                ids, own = library, [np.array(x, np.uint32) for x in library]
             decoded = codec.decode(ids)
-            first = [b.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(agrees)]
+            first = [b.column(0), pa.array([len(x) for x in own], pa.int64())]
             if digests:
                 last = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
             else:
                 last = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([*first, *last], names)
 
-    names = ["id", "n_tokens", "agrees", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    names = ["id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, agrees boolean, {last}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, {last}").withColumnRenamed("id", id_col)
