@@ -15,7 +15,7 @@ FROM, TO = model.FROM_CLASSES, model.TO_CLASSES
 CHANGES = """{obs}, {base}, joined AS (SELECT o.*, b.class_code AS old_class,
  CASE WHEN o.b4 + o.b3 = 0 THEN 0 ELSE (o.b4 - o.b3) / (o.b4 + o.b3) END AS ix, CASE WHEN b.b4 + b.b3 = 0 THEN 0 ELSE (b.b4 - b.b3) / (b.b4 + b.b3) END AS old_ix
  FROM obs o JOIN base b USING (pixel)), changes AS (SELECT pixel, "row", col, acquired, day, class_code, zone,
- CASE WHEN class_code = 0 THEN -1 WHEN old_class IN (1, 2, 3) AND class_code IN (4, 5, 6) THEN day ELSE 0 END AS change,
+ CASE WHEN class_code = 0 THEN -1 WHEN old_class IN (1, 2, 3) AND class_code IN (4, 5, 6) THEN day ELSE 0 END::INT AS change,
  CASE WHEN b4 = 0 THEN -100 ELSE CAST(trunc(ix * 100) AS INT) END AS nd, CASE WHEN b4 = 0 THEN 100 ELSE CAST(trunc((ix - old_ix) * 100) AS INT) END AS dn FROM joined)"""
 REPORT = CHANGES + """, marked AS (SELECT *, change > 0 AND dn < -20 AS val, min(CASE WHEN change > 0 AND dn < -20 THEN acquired END) OVER (PARTITION BY pixel) AS first FROM changes),
  sums AS (SELECT pixel, count(*) AS l0, count(*) FILTER (change = -1) AS l1, count(*) FILTER (change > 0) AS l2, coalesce(min(CASE WHEN val THEN day END), 0) AS l3,
@@ -251,9 +251,9 @@ def raster_sum(spark, sf_dir):
     return composites.total(model.observations(spark, sf_dir), ["pixel"], "b2").withColumn("b2", F.round("b2", 4))
 
 
-@query("WITH {obs} SELECT pixel, round(avg(b2), 6) AS b2 FROM obs GROUP BY pixel")
+@query("WITH {obs} SELECT pixel, round(avg(b2), 3) AS b2 FROM obs GROUP BY pixel")
 def raster_mean(spark, sf_dir):
-    return composites.mean(model.observations(spark, sf_dir), ["pixel"], "b2").withColumn("b2", F.round("b2", 6))
+    return composites.mean(model.observations(spark, sf_dir), ["pixel"], "b2").withColumn("b2", F.round("b2", 3))
 
 
 @query("WITH {obs} SELECT pixel, count(*) FILTER (class_code IN (4, 5)) AS detections FROM obs GROUP BY pixel")

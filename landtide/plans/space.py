@@ -208,14 +208,14 @@ def region_outlines(spark, sf_dir):
 
 # Terrain.
 
-SURFACE = """surface AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, p_retailprice AS z, p_partkey AS pixel, p_size FROM part),
- near AS (SELECT c."row", c.col, c.z, c.pixel, c.p_size, nw.z AS nw, n.z AS n, ne.z AS ne, w.z AS w, e.z AS e, sw.z AS sw, s.z AS s, se.z AS se FROM surface c """ + " ".join(f'LEFT JOIN surface {n} ON {n}."row" = c."row" + {i} AND {n}.col = c.col + {j}' for n, i, j in (("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", 1, -1), ("s", 1, 0), ("se", 1, 1))) + """),
+SURFACE = """surface AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, CAST(p_size AS DOUBLE) AS z, p_partkey AS pixel FROM part),
+ near AS (SELECT c."row", c.col, c.z, c.pixel, nw.z AS nw, n.z AS n, ne.z AS ne, w.z AS w, e.z AS e, sw.z AS sw, s.z AS s, se.z AS se FROM surface c """ + " ".join(f'LEFT JOIN surface {n} ON {n}."row" = c."row" + {i} AND {n}.col = c.col + {j}' for n, i, j in (("nw", -1, -1), ("n", -1, 0), ("ne", -1, 1), ("w", 0, -1), ("e", 0, 1), ("sw", 1, -1), ("s", 1, 0), ("se", 1, 1))) + """),
  grad AS (SELECT *, (ne + 2 * e + se - nw - 2 * w - sw) / 80 AS dx, (sw + 2 * s + se - nw - 2 * n - ne) / 80 AS dy FROM near),
- slopes AS (SELECT "row", col, pixel, p_size, z, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, CASE WHEN dx = 0 AND dy = 0 THEN -1.0 ELSE ((90 - degrees(atan2(dy, -dx))) % 360 + 360) % 360 END AS aspect FROM grad)"""
+ slopes AS (SELECT "row", col, pixel, z, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope, CASE WHEN dx = 0 AND dy = 0 THEN -1.0 ELSE ((90 - degrees(atan2(dy, -dx))) % 360 + 360) % 360 END AS aspect FROM grad)"""
 
 
 def _slopes(spark, sf_dir):
-    surface = _base(spark, sf_dir).select("row", "col", F.col("reflectance").alias("z"))
+    surface = _base(spark, sf_dir).select("row", "col", F.col("b3").alias("z"))
     return grid.slope_aspect(surface, 10.0)
 
 
