@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import capfilters, crf_secrets, fm_dedup, gru_lm, langid, mixing, pieces, repetition, simhash, url_filter
+from landtide.llm import capfilters, crf_secrets, fm_dedup, gru_lm, langid, mixing, oracles, pieces, repetition, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
-    return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict())
+    return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict()).drop("covered_words", "longest_repeat")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_fm_substrings": oracles.passages(fm_dedup.WINDOW),
+    "op8_target_mix": oracles.mix(mixing.WEIGHTS, mixing.MOST),
+    "op9_cap_filters": oracles.near_vectors(capfilters.COSINE),
+    "op10_suffix_repetition": oracles.repetition(repetition.MIN_WORDS, repetition.MAX_COVERED, repetition.MAX_REPEAT),
+}
