@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landtide.llm import words as W
+from landtide.llm.samples import smallest
 
 #: Texts with and without pattern spans that the model is fitted on.
 SAMPLE_WITH, SAMPLE_WITHOUT = 400, 200
@@ -299,9 +300,11 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def train(docs: DataFrame, text_col: str = "text", with_secrets: int = SAMPLE_WITH, without: int = SAMPLE_WITHOUT) -> tuple[np.ndarray, np.ndarray]:
     """The field fitted on a bounded sample: of the texts that a cheap test says may have a secret, and of all, those of the smallest hash."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text")).where(F.length("text").between(1, 20_000)).withColumn("h", F.xxhash64("text"))
-    maybe = rows.where(F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}"))
-    got = [r["text"] for part, n in ((maybe, with_secrets), (rows, without)) for r in part.orderBy("h", "text").limit(n).collect()]
+    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("h")).where(F.length("text").between(1, 20_000))
+    maybe = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}")
+    total, likely = rows.agg(F.count("*"), F.count_if(maybe)).first()
+    parts = smallest(rows, with_secrets, likely, maybe), smallest(rows, without, total)
+    got = [r["text"] for part in parts for r in part.collect()]
     return fit(got)
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def smallest(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """At most ``n`` rows of distinct 64-bit hashes ``h``, the smallest, from ``rows (h, text)`` of which there are ``total``.
+def smallest(rows: DataFrame, n: int, total: int, which: Column | None = None) -> DataFrame:
+    """At most ``n`` rows of distinct 64-bit hashes ``h``, the smallest, from ``rows (h, text)``, of which there are ``total`` where ``which`` holds.
 
-    A bar on the hash leaves about three times as many before anything is
-    shuffled or sent, whatever the number of tasks; copies are one row.
+    A bar on the hash leaves about three times as many before ``which`` is tried
+    and anything is shuffled or sent, whatever the number of tasks; copies are one row.
     """
     share = min(1.0, 3 * n / max(1, total))
     low = rows if share == 1.0 else rows.where(F.col("h") < int(-(1 << 63) + share * float(1 << 64)))
+    low = low if which is None else low.where(which)
     return low.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(n)
