@@ -234,15 +234,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id; of rows that repeat an id, one.
 
-    A row without an id is kept only if its whole group has none.
+    A row without an id stays only for a fingerprint that no row with an id has: one row each.
     """
     found = groups(docs, id_col, text_col, radius)
-    ids = found.where("id = component_id").select("id").distinct()
+    ids = found.where("id = component_id").select(F.col("id").alias("__keep")).distinct()
+    kept = docs.join(ids, docs[id_col] == ids["__keep"], "left_semi").dropDuplicates([id_col])
     nameless = found.where("component_id is null").select("fp").distinct()
-    named = docs.join(ids, docs[id_col] == ids["id"], "left_semi")
-    named = named.dropDuplicates([id_col])
     if nameless.isEmpty():
-        return named
-    rest = docs.where(F.col(id_col).isNull())
-    keyed = rest.withColumns({"__fp": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}).dropDuplicates(["__fp"]).drop("__fp")
-    return named.unionByName(keyed)
+        return kept
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rest = docs.where(F.col(id_col).isNull()).withColumn("__text", key)
+    one = fingerprint_rows(rest, "__text", text_col).join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("__one"))
+    rest = rest.join(one, rest["__text"] == one["__one"], "left_semi").dropDuplicates(["__text"]).drop("__text")
+    return kept.unionByName(rest)
