@@ -62,13 +62,43 @@ def most_likely(probabilities: Column) -> Column:
     return F.array_max(probabilities)
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], bins: int = 4096) -> list[float | None]:
+    """Exact quantiles of a whole table, interpolated between neighbours; None for an empty one.
+
+    The values are counted in equal bins and the bins that hold the wanted ranks
+    are counted again, so only bin counts are ever gathered, however many
+    distinct values there are.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    ranks = sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))})
+    at: dict[int, float] = {}
+    todo = [(low, high, 0, ranks)]  # a range of values, how many are below it, and the ranks that lie in it
+    while todo:
+        low, high, below, ranks = todo.pop()
+        if low == high:
+            at.update(dict.fromkeys(ranks, low))
+            continue
+        bin_of = F.least(F.floor((F.col("x") - low) / ((high - low) / bins)), F.lit(bins - 1)).alias("bin")
+        counts = x.where(F.col("x").between(low, high)).groupBy(bin_of).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for r in sorted(counts, key=lambda r: r["bin"]):
+            inside = [k for k in ranks if below <= k < below + r["n"]]
+            if inside:
+                todo.append((r["low"], r["high"], below, inside))
+            below += r["n"]
+    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+
+
 def to_byte(df: DataFrame, column: str, out: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """``column`` clipped to two exact quantiles of the whole table and stretched over 0..255; 0 where both are equal."""
-    ends = df.agg(F.percentile(column, F.lit(low)).alias("__lo"), F.percentile(column, F.lit(high)).alias("__hi"))
-    held = df.join(F.broadcast(ends))  # one row
-    clipped = F.least(F.greatest(F.col(column), F.col("__lo")), F.col("__hi"))
-    scale = F.when(F.col("__hi") > F.col("__lo"), (clipped - F.col("__lo")) * 255 / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)
-    return held.withColumn(out, scale.cast("int")).drop("__lo", "__hi")
+    lo, hi = quantiles(df, column, (low, high))
+    if lo is None or hi <= lo:
+        return df.withColumn(out, F.lit(0))
+    clipped = F.least(F.greatest(F.col(column), F.lit(lo)), F.lit(hi))
+    return df.withColumn(out, ((clipped - lo) * 255 / (hi - lo)).cast("int"))
 
 
 def apply_bands(df: DataFrame, function: Callable[..., Column], bands: Sequence[str], out: str) -> DataFrame:

@@ -60,14 +60,14 @@ def adjacent_unique(products: DataFrame, tie: str = "uuid") -> DataFrame:
 def clearest_per_orbit(products: DataFrame, most: int, tie: str = "uuid") -> DataFrame:
     """The least cloudy of each relative orbit, ``most`` shared equally among orbits; all if there are no more than a share.
 
-    The number of orbits is a one-row aggregate; orbits with too many products
-    are pre-filtered by the share, so the window keeps a bounded head of each.
+    The share is a number before the ranks are asked for, so Spark keeps only the
+    head of each orbit before the shuffle.
     """
-    orbits = products.agg(F.count_distinct("orbit").alias("__orbits"), F.count("*").alias("__n"))
+    orbits, n = products.agg(F.count_distinct("orbit"), F.count("*")).first()
+    if not orbits or n <= most / orbits:
+        return products
     w = Window.partitionBy("orbit").orderBy("cloud", tie)
-    ranked = products.withColumn("__rank", F.row_number().over(w)).join(F.broadcast(orbits))
-    share = F.col("__n") > F.lit(most) / F.col("__orbits")
-    return ranked.where(~share | (F.col("__rank") <= F.floor(F.lit(most) / F.col("__orbits")))).drop("__rank", "__orbits", "__n")
+    return products.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= most // orbits).drop("__rank")
 
 
 def newest(products: DataFrame, keep: int = 4, by: Sequence[str] = ("tile",), tie: str = "uuid") -> DataFrame:

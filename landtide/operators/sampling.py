@@ -60,8 +60,9 @@ def standard_errors(classes: DataFrame) -> DataFrame:
 
 def stratified(cells: DataFrame, sizes: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """As many cells of each class as ``sizes (class_code, sample_size)`` says, the first in ``order`` (a hash for a random draw)."""
+    most = sizes.agg(F.max("sample_size")).first()[0] or 0  # bounds the ranks, so only heads of classes are shuffled
     w = Window.partitionBy("class_code").orderBy(*order)
-    ranked = cells.withColumn("__rank", F.row_number().over(w)).join(sizes.select("class_code", "sample_size"), "class_code")
+    ranked = cells.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= int(most)).join(sizes.select("class_code", "sample_size"), "class_code")
     return ranked.where("__rank <= sample_size").drop("__rank", "sample_size")
 
 

@@ -31,9 +31,9 @@ def class_report(scored: DataFrame, truth: str, prediction: str) -> DataFrame:
 
 def balanced(samples: DataFrame, label: str, order: Sequence[Column | str], times: int = 10) -> DataFrame:
     """Every class cut to ``times`` the smallest, the first in ``order`` (a hash for a random draw)."""
-    least = samples.groupBy(label).count().agg(F.min("count").alias("__least"))
+    least = samples.groupBy(label).count().agg(F.min("count")).first()[0]
     w = Window.partitionBy(label).orderBy(*order)
-    return samples.withColumn("__rank", F.row_number().over(w)).join(F.broadcast(least)).where(F.col("__rank") <= times * F.col("__least")).drop("__rank", "__least")  # one row
+    return samples.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= times * (least or 0)).drop("__rank")
 
 
 def forest(samples: DataFrame, label: str, features: Sequence[str], trees: int = 100, depth: int = 12, seed: int = 101):
