@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (a local session)."""
     sc = spark.sparkContext
@@ -25,14 +28,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this process has settled: once its results are written or no longer wanted."""
+    while _MADE:
+        _delete(spark, _MADE.pop())

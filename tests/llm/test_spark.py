@@ -326,3 +326,17 @@ def test_pipeline_stages(spark, sf_dir, odd):
 
 def test_pipeline_runs(spark, sf_dir):
     assert Q.QUERIES["pipeline"](spark, sf_dir).count() > 100
+
+
+def test_sweep_deletes_settled_tables(spark, tmp_path):
+    from landtide.llm import store
+
+    made = store.settle(spark.range(3).toDF("x"), "swept")
+    assert made.count() == 3
+    folder = made.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    kept, store._MADE[:] = store._MADE[:-1], store._MADE[-1:]
+    store.sweep(spark)
+    store._MADE[:] = kept
+    import os
+
+    assert not os.path.exists(folder)
