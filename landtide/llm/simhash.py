@@ -13,6 +13,9 @@ fingerprints are one row from the start. Buckets above ``CELL`` rows are cut int
 chunks, and every two chunks meet in a cell of their own, so no task gathers more
 than two chunks of a bucket.
 
+``groups`` links fingerprints alone. ``similar`` uses the same comparison, with a
+wider reach, to find candidates that are then held against their texts' shingles.
+
 Defined results: a null text is empty; a text without words has fingerprint zero
 and is linked like any other; rows with equal texts have equal fingerprints; a
 row whose id is null belongs to its group but never names it; an empty table
@@ -21,7 +24,7 @@ gives no rows. Columns other than the two named ones are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -103,33 +106,32 @@ def _shifted(planes: np.ndarray, d: int, words: np.ndarray) -> np.ndarray:
 
 
 def within(planes: np.ndarray, d: int, lanes: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes ``i`` of ``lanes`` whose fingerprints ``i`` and ``i + d`` differ in at most ``radius`` (0 to 6) bits.
+    """Lanes ``i`` of ``lanes`` whose fingerprints ``i`` and ``i + d`` differ in at most ``radius`` bits.
 
-    Three counter planes and a sticky plane are updated a bit position at a time;
+    Counter planes and a sticky plane are updated a bit position at a time;
     a word leaves once each lane of it that counts has passed the radius.
     """
     words, inverse = np.unique(lanes >> 6, return_inverse=True)
     over = np.full(len(words), ~np.uint64(0))
     np.bitwise_and.at(over, inverse, ~(np.uint64(1) << (lanes & 63).astype(np.uint64)))  # lanes that don't count are over from the start
     diff = planes[:, words] ^ _shifted(planes, d, words)
-    start = np.uint64(7 - radius)  # counting from here, the radius is passed when the counter overflows
-    c0, c1, c2 = (np.full(len(words), ~np.uint64(0) if int(start) >> k & 1 else np.uint64(0)) for k in range(3))
-    c0, c1, c2 = c0.copy(), c1.copy(), c2.copy()
+    size = max(1, radius.bit_length())
+    start = (1 << size) - 1 - radius  # counting from here, the radius is passed when the counter overflows
+    count = [np.full(len(words), ~np.uint64(0) if start >> k & 1 else np.uint64(0)) for k in range(size)]
     live = np.arange(len(words))
     for b in range(64):
-        x = diff[b, live]
-        k0 = c0 & x
-        c0 ^= x
-        k1 = c1 & k0
-        c1 ^= k0
-        over[live] |= c2 & k1
-        c2 ^= k1
+        carry = diff[b, live]
+        for plane in count:
+            up = plane & carry
+            plane ^= carry
+            carry = up
+        over[live] |= carry
         if b % 8 == 7:
             stay = over[live] != ~np.uint64(0)
             if not stay.any():
                 return lanes[:0]
             if not stay.all():
-                live, c0, c1, c2 = live[stay], c0[stay], c1[stay], c2[stay]
+                live, count = live[stay], [plane[stay] for plane in count]
     return lanes[(over[inverse] >> (lanes & 63).astype(np.uint64)) & np.uint64(1) == 0]
 
 
@@ -176,6 +178,29 @@ def star_edges(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int
     return nodes[a], nodes[root[a]]
 
 
+def near_pairs(key: np.ndarray, fps: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket ``key``: each row with up to ``most`` of the nearest later rows of its bucket within ``radius``."""
+    n = len(key)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, n])
+    stop = np.repeat(first + size, size)
+    planes, lanes, d = bit_planes(fps), np.arange(n), 0
+    best, whom = np.full((n, most), 65), np.full((n, most), -1)
+    while True:
+        d += 1
+        lanes = lanes[lanes + d < stop[lanes]]
+        if not len(lanes):
+            break
+        hit = within(planes, d, lanes, radius)
+        away = np.bitwise_count(fps[hit] ^ fps[hit + d]).astype(np.int64)
+        worst = best[hit].argmax(1)
+        better = away < best[hit, worst]
+        hit, worst, away = hit[better], worst[better], away[better]
+        best[hit, worst], whom[hit, worst] = away, hit + d
+    i, k = np.nonzero(whom >= 0)
+    return i, whom[i, k]
+
+
 def _tables(blocks: int, radius: int) -> list[int]:
     """A bit mask for each choice of the blocks that two linked fingerprints may agree on."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
@@ -191,6 +216,11 @@ def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int
     """Edges ``(a, b)`` between the nodes of ``reps (node, fp)`` that keep all groups within ``radius`` connected."""
     keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _tables(blocks, radius)])).alias("t", "part"))
     keyed = keyed.select("node", "fp", F.xxhash64("t", "part").alias("key"))
+    return _compared(keyed, cell, lambda key, fps, nodes: star_edges(key, fps, nodes, radius))
+
+
+def _compared(keyed: DataFrame, cell: int, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges ``(a, b)`` that ``compare`` finds in the buckets of ``keyed (key, fp, node)``, or in the cells of large ones."""
     large = keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / (cell // 2)).cast("int").alias("chunks"))
     # A bucket above the limit has a cell for every two of its chunks; each row goes to the cells of its own chunk.
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
@@ -203,8 +233,8 @@ def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int
 
         def emit(rows: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(rows[0], kind="stable")
-            a, b = star_edges(rows[0, order], rows[1, order].view(np.uint64), rows[2, order], radius)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = compare(rows[0, order], rows[1, order].view(np.uint64), rows[2, order])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -231,19 +261,105 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return rows.join(named, "fp").select(F.col("id"), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near duplicates, that of the smallest id; of rows that repeat an id, one.
+#: Word shingles and similarity of near duplicates that are held against their texts; bits that such fingerprints differ in at most; keys of two least hashes each; nearest rows of a bucket that are looked at.
+WORDS, SIMILARITY, REACH, KEYS, NEAREST = 5, 0.8, 18, 8, 4
+_TIMES = np.random.default_rng(8).integers(1, 1 << 63, 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
-    A row without an id stays only for a fingerprint that no row with an id has: one row each.
+def _sketch(raw: bytes, width: int) -> tuple[int, list[int]]:
+    """A hash of a text's words in lower case, and those of its shingles."""
+    ws = raw.lower().split()
+    joined = b" ".join(ws)
+    node = xxhash.xxh64_intdigest(joined, SEED + 1)
+    if not ws:
+        return node, []
+    if len(ws) <= width:
+        return node, [xxhash.xxh64_intdigest(joined, SEED)]
+    starts = [0, *np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return node, [digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[width:])]
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
+    """``(id, node, fp, keys)``: ``node`` is a hash of the words; each key is one of the two least shingles under two orders."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.string_batches(batches, 512):
+            got = [_sketch((t or "").encode(), width) for t in b.column(1).to_pylist()]
+            fps, keys = np.zeros(len(got), np.uint64), []
+            for k, (_, h) in enumerate(got):
+                if not h:
+                    keys.append(np.zeros(0, np.int64))
+                    continue
+                x = np.array(h, np.uint64)
+                bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+                fps[k] = np.packbits(2 * bits > len(h)).view(">u8")[0]
+                least = x[np.array([(x * m).argmin() for m in _TIMES])].reshape(KEYS, 2)
+                keys.append(W.mix(least[:, 0] ^ W.mix(least[:, 1] + np.arange(KEYS, dtype=np.uint64))).view(np.int64))
+            nodes = np.array([n for n, _ in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "fp", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, node long, fp long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WORDS) -> DataFrame:
+    """``(node, shingles)``: the distinct shingles of each text, as 32 bits of their hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.string_batches(batches, 512):
+            got = [_sketch((t or "").encode(), width) for t in b.column(0).to_pylist()]
+            sets = [np.unique(np.array(h, np.uint64).astype(np.uint32)).view(np.int32) for _, h in got]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _ in got], np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, shingles array<int>")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
+    """``(id, node, component_id)`` for every row: groups of texts whose shingle sets are alike by ``similarity`` (Jaccard) or more.
+
+    Texts of the same words in any case are one node. Buckets of equal least
+    shingles are compared bit-sliced within ``REACH`` bits; each node goes on with
+    its nearest ones of each bucket, and these pairs are held against the shingle
+    sets of their texts. A text without words is like others of its kind only; one
+    whose rows have no id is linked with none, and its group has a null id.
+    """
+    rows = settle(sketches(docs, id_col, text_col, width), "similar")
+    reps = settle(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-reps")
+    named = reps.where("least is not null")
+    keyed = named.select(F.explode("keys").alias("key"), "fp", "node")
+
+    def compare(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = near_pairs(key, fps, REACH, NEAREST)
+        return np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+
+    pairs = settle(_compared(keyed, CELL, compare).where("a <> b").distinct(), "similar-pairs")
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
+    ids = named.join(nodes, "node", "left_semi").select(F.col("least").alias("__least"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__least"), "left_semi")
+    sets = settle(shingle_sets(texts, "__id", "__text", width).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    found = settle(components(alike, "similar-links"), "similar-found")
+    grouped = reps.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = settle(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "similar-names")
+    names = grouped.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")
+    return rows.select("id", "node").join(names, F.col("node") == F.col("of")).select("id", "node", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
+    """One row of each group of similar texts, that of the smallest id; of rows that repeat an id, one.
+
+    A row without an id stays only for words that no row with an id has: one row each.
     """
-    found = groups(docs, id_col, text_col, radius)
+    found = similar(docs, id_col, text_col, similarity, width)
     ids = found.where("id = component_id").select(F.col("id").alias("__keep")).distinct()
     kept = docs.join(ids, docs[id_col] == ids["__keep"], "left_semi").dropDuplicates([id_col])
-    nameless = found.where("component_id is null").select("fp").distinct()
+    nameless = found.where("component_id is null").select("node").distinct()
     if nameless.isEmpty():
         return kept
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rest = docs.where(F.col(id_col).isNull()).withColumn("__text", key)
-    one = fingerprint_rows(rest, "__text", text_col).join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("__one"))
+    one = sketches(rest, "__text", text_col, width).join(nameless, "node", "left_semi").groupBy("node").agg(F.min("id").alias("__one"))
     rest = rest.join(one, rest["__text"] == one["__one"], "left_semi").dropDuplicates(["__text"]).drop("__text")
     return kept.unionByName(rest)

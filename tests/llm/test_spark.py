@@ -340,3 +340,41 @@ def test_sweep_deletes_settled_tables(spark, tmp_path):
     import os
 
     assert not os.path.exists(folder)
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"word{k}" for k in range(400)]
+    rows = []
+    for k in range(30):
+        base = list(rng.choice(vocabulary, 160))
+        for j in range(8):
+            w = list(base)
+            for at in rng.integers(0, 160, j):  # the later copies differ in more words
+                w[at] = str(rng.choice(vocabulary))
+            rows.append((len(rows), " ".join(w).upper() if j == 1 else " ".join(w)))
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(156)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = {r["id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in range(len(rows))} and len(set(got.values())) < len(rows) / 2
+
+
+def test_nearest_pairs_keep_groups_connected():
+    rng = np.random.default_rng(4)
+    fps = np.array([0xABCDEF ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (200, 2))], np.uint64)
+    i, j = simhash.near_pairs(np.zeros(200, np.int64), fps, 18, 4)
+    assert (i < j).all() and len(i) <= 800 and (np.bitwise_count(fps[i] ^ fps[j]) <= 18).all()
+    near = {int(k): sorted(np.bitwise_count(fps[k + 1 :] ^ fps[k]).tolist())[:4] for k in range(200)}
+    for k in range(200):
+        assert sorted(np.bitwise_count(fps[k] ^ fps[j[i == k]]).tolist()) == near[k]
