@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,3 +108,17 @@ def terrain_corrected(cells: DataFrame, band: str, illumination: str, zenith_cos
     line = cells.where(sample).agg(F.regr_slope(F.col(band).cast("double"), F.col(illumination)).alias("__slope"))
     moved = F.col(band) - F.coalesce(F.col("__slope"), F.lit(0.0)) * (F.col(illumination) - zenith_cosine)
     return cells.join(F.broadcast(line)).withColumn(band, F.when(F.col(band) > 0, moved).otherwise(F.col(band).cast("double"))).drop("__slope")  # one row
+
+
+def warp(target: DataFrame, source: DataFrame, to_source: Callable[[Column, Column], Column], target_corner: tuple[float, float], source_corner: tuple[float, float], res: float, bands: Sequence[str], nodata: float = 0) -> DataFrame:
+    """``source``'s cells on another grid in another projection, by nearest neighbour.
+
+    Each target cell's centre is carried over by ``to_source`` (a function of x
+    and y to a struct of both), which names the source cell to join.
+    """
+    x, y = F.lit(target_corner[0]) + (F.col("col") + 0.5) * res, F.lit(target_corner[1]) - (F.col("row") + 0.5) * res
+    at = target.select("row", "col", to_source(x, y).alias("p"))
+    at = at.withColumns({"__r": F.floor((source_corner[1] - F.col("p.y")) / res).cast("int"), "__c": F.floor((F.col("p.x") - source_corner[0]) / res).cast("int")}).drop("p")
+    cells = source.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *bands)
+    joined = at.join(cells, ["__r", "__c"], "left").drop("__r", "__c")
+    return joined.withColumns({b: F.coalesce(F.col(b), F.lit(nodata).cast(source.schema[b].dataType)) for b in bands})

@@ -187,3 +187,15 @@ def test_boxes_meet_once(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 50.0, 50.0)], "a_id int, a_xmin double, a_ymin double, a_xmax double, a_ymax double")
     b = spark.createDataFrame([(7, 10.0, 10.0, 90.0, 90.0), (8, 50.0, 0.0, 60.0, 10.0)], "b_id int, b_xmin double, b_ymin double, b_xmax double, b_ymax double")
     assert [(r["a_id"], r["b_id"]) for r in zonal.intersecting_boxes(a, b, 5.0).collect()] == [(1, 7)]
+
+
+def test_warp_between_zones(spark):
+    """A cell of zone 36 lands on the zone 37 cell that its centre falls in."""
+    image = cells(spark, [[k * 10 + j for j in range(10)] for k in range(10)])
+    west = F.lit(0.0)
+    start = one(spark, geo.latlon_to_utm(F.lit(1.0), F.lit(36.01) + west, F.lit(36)))
+    to36 = lambda x, y: geo.latlon_to_utm(geo.utm_to_latlon(x, y, F.lit(37), F.lit(True))["lat"], geo.utm_to_latlon(x, y, F.lit(37), F.lit(True))["lon"], F.lit(36))
+    there = one(spark, geo.latlon_to_utm(F.lit(1.0), F.lit(36.01), F.lit(37)))
+    got = grid.warp(image.select("row", "col"), image, to36, (there["x"], there["y"]), (start["x"], start["y"]), 10.0, ["value"])
+    values = matrix(got)
+    assert values[0][0] == 0 and values[5][5] in (44, 45, 54, 55, 56, 65) and got.count() == 100
