@@ -11,17 +11,27 @@ from landtide.functions.names import serial_date
 
 
 def statistics(cells: DataFrame, zone: str, value: str, prefix: str, nodata: float = 0) -> DataFrame:
-    """Least, greatest, mean, median, population deviation, sum and count of each zone, without no data."""
-    v = F.col(value)
-    return cells.where(v != nodata).groupBy(zone).agg(
-        F.min(v).alias(f"{prefix}_min"), F.max(v).alias(f"{prefix}_max"), F.avg(v).alias(f"{prefix}_mean"), F.median(v).alias(f"{prefix}_median"),
-        F.stddev_pop(v).alias(f"{prefix}_sd"), F.sum(v).alias(f"{prefix}_sum"), F.count(v).alias(f"{prefix}_count"),
-    )
-
-
-def alerts(counts: DataFrame, confidence: DataFrame, first_day: DataFrame, zone: str, epoch: str, days: Sequence[str]) -> DataFrame:
-    """Zones that all three tables have, with their days as dates."""
-    joined = counts.join(confidence, zone).join(first_day, zone)
+    """Least, greatest, mean, median, population deviation, sum and count of each zone that has data, without no data."""
+    return statistics_of(cells, zone, {prefix: value}, nodata)
+
+
+def statistics_of(cells: DataFrame, zone: str, bands: dict[str, str], nodata: float = 0) -> DataFrame:
+    """The same for several bands (prefix to column) in one pass, for zones that have data in all of them."""
+    aggs, counts = [], []
+    for prefix, column in bands.items():
+        v = F.when(F.col(column) != nodata, F.col(column))
+        aggs += [f(v).alias(f"{prefix}_{n}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median), ("sd", F.stddev_pop), ("sum", F.sum), ("count", F.count))]
+        counts.append(F.col(f"{prefix}_count") > 0)
+    some = F.coalesce(*(F.nullif(F.col(c), F.lit(nodata)) for c in bands.values()))
+    out = cells.where(some.isNotNull()).groupBy(zone).agg(*aggs)
+    for c in counts:
+        out = out.where(c)
+    return out
+
+
+def alerts(cells: DataFrame, zone: str, bands: dict[str, str], epoch: str, days: Sequence[str]) -> DataFrame:
+    """Zones with the statistics of all bands, the columns ``days`` as dates."""
+    joined = statistics_of(cells, zone, bands)
     return joined.withColumns({d: serial_date(F.col(d), epoch) for d in days})
 
 

@@ -38,8 +38,7 @@ def detect_change(pixels: DataFrame, baseline: DataFrame, settings: Settings, ne
 def alerts(report: DataFrame, zones: DataFrame, points: DataFrame, settings: Settings) -> DataFrame:
     """Zones of changed pixels with statistics of layers 4, 8 and 3, and the area of their point."""
     cells = report.join(zones, list(PIXEL))
-    parts = [zonal.statistics(cells, "zone", f"l{k}", f"rb{band}") for k, band in ((4, 5), (8, 9), (3, 4))]
-    joined = zonal.alerts(*parts, "zone", settings.epoch, ["rb4_min", "rb4_max"])
+    joined = zonal.alerts(cells, "zone", {"rb5": "l4", "rb9": "l8", "rb4": "l3"}, settings.epoch, ["rb4_min", "rb4_max"])
     return zonal.with_area(joined, points, "zone", ["area"])
 
 

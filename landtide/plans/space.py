@@ -131,9 +131,8 @@ def zonal_stats(spark, sf_dir):
 
 @query("WITH " + ZONES + ", " + ", ".join(ZONAL(k) for k in (4, 8, 3)) + " SELECT zone, rb4_sum, rb8_max, strftime(DATE '1990-01-01' + CAST(rb3_min AS INT), '%Y-%m-%d') AS rb3_min, strftime(DATE '1990-01-01' + CAST(rb3_max AS INT), '%Y-%m-%d') AS rb3_max FROM z4 JOIN z8 USING (zone) JOIN z3 USING (zone)")
 def alert_join(spark, sf_dir):
-    cells = _zoned(spark, sf_dir)
-    z = [zonal.statistics(cells, "zone", f"l{k}", f"rb{k}") for k in (4, 8, 3)]
-    return zonal.alerts(*z, "zone", model.EPOCH, ["rb3_min", "rb3_max"]).select("zone", "rb4_sum", "rb8_max", "rb3_min", "rb3_max")
+    bands_of = {"rb4": "l4", "rb8": "l8", "rb3": "l3"}
+    return zonal.alerts(_zoned(spark, sf_dir), "zone", bands_of, model.EPOCH, ["rb3_min", "rb3_max"]).select("zone", "rb4_sum", "rb8_max", "rb3_min", "rb3_max")
 
 
 ALERTS = ZONES + ", " + ZONAL(4) + ", {points}, {boxes}, alerts AS (SELECT z4.zone, rb4_sum, rb4_count, area FROM z4 LEFT JOIN (SELECT zone, area FROM points JOIN boxes ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax WHERE nation * 10 = xmin) USING (zone))"
