@@ -24,7 +24,11 @@ def cell(df: DataFrame, pixel: str = "pixel") -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pixel, row, col, acquired, day, b1..b4, class_code)``; class 0 (no data) where ``b3`` is 0."""
-    li = table(spark, sf_dir, "lineitem")
+    return observed(table(spark, sf_dir, "lineitem"))
+
+
+def observed(li: DataFrame) -> DataFrame:
+    """The same of a table or stream of line items."""
     pair = lambda f, s: (F.col("l_returnflag") == f) & (F.col("l_linestatus") == s)
     code: Column = F.when(F.col("l_discount") == 0, 0)
     for k, (f, s) in enumerate([("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O")], 1):

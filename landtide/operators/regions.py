@@ -8,13 +8,13 @@ cut by a checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landtide.session import scratch
+
 BLOCK = 256
 
 
@@ -62,9 +62,7 @@ def _labels(block: pd.DataFrame, connectivity: int, width: int) -> pd.DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="landtide-"))  # a local session
+    scratch(df.sparkSession, "regions")  # sets a folder where a local session has none
     return df.checkpoint()
 
 

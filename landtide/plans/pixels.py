@@ -9,6 +9,7 @@ from landtide import model
 from landtide.functions import bands
 from landtide.operators import change, composites, masks
 from landtide.plans.registry import query
+from landtide.streaming import report as streaming
 
 FROM, TO = model.FROM_CLASSES, model.TO_CLASSES
 
@@ -28,8 +29,13 @@ REPORT = CHANGES + """, marked AS (SELECT *, change > 0 AND dn < -20 AS val, min
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with change day, scaled index and its difference to the map before."""
+    return against_baseline(model.observations(spark, sf_dir), spark, sf_dir)
+
+
+def against_baseline(observations: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of any table or stream of observations."""
     base = model.baseline(spark, sf_dir).select("pixel", F.col("class_code").alias("old_class"), bands.ndvi(F.col("b4"), F.col("b3")).alias("old_ix"))
-    rows = model.observations(spark, sf_dir).join(base, "pixel")
+    rows = observations.join(base, "pixel")
     nd, dn = change.index_drop(bands.ndvi(F.col("b4"), F.col("b3")), F.col("old_ix"), F.col("b4"))
     day = change.change_day(F.col("old_class"), F.col("class_code"), F.col("day"), FROM, TO)
     return rows.select("pixel", "row", "col", "acquired", "day", "class_code", "zone", day.alias("change"), nd.alias("nd"), dn.alias("dn"))
@@ -40,6 +46,15 @@ def report18(spark, sf_dir):
     return change.report(changes(spark, sf_dir), "pixel", "acquired", FROM, TO)
 
 
+@query("WITH " + REPORT + " SELECT * FROM report")
+def stream_report(spark, sf_dir):
+    """The report over a stream of line item files, run until no more are there."""
+    schema = model.table(spark, sf_dir, "lineitem").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet").parquet(sf_dir)
+    rows = against_baseline(model.observed(stream), spark, sf_dir)
+    return streaming.run_available(rows, "pixel", FROM, TO)
+
+
 @query("WITH " + CHANGES + " SELECT pixel, acquired, change, nd, dn FROM changes")
 def change_raster(spark, sf_dir):
     return changes(spark, sf_dir).select("pixel", "acquired", "change", "nd", "dn")

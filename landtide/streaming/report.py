@@ -1,9 +1,9 @@
 """The change report as a stream: one state a pixel, updated image by image.
 
-Layers 5 and 6 depend on the first validated time. The state keeps the counts of
-observations before it, so observations may come in any order within the watermark
-if they come in time order for each pixel and batch; what comes later than the
-watermark is left out by Spark and is to be recomputed by the batch report.
+Layers 5 and 6 count what comes after the first validated time. The state keeps
+the times of unchanged and of hidden observations, a few dozen a pixel and year,
+so observations may come in any order and the sums are those of the batch report
+at every step.
 """
 
 from __future__ import annotations
@@ -15,40 +15,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Counts that a pixel's state holds, in order; ``first`` is the first validated time in microseconds, ``l3`` its day.
-STATE = "l0 long, l1 long, l2 long, l3 long, l4 long, l5 long, l6 long, l11 long, l15 long, l16 long, first long"
-SUMS = "l0 long, l1 long, l2 long, l3 long, l4 long, l5 long, l6 long, l11 long, l15 long, l16 long"
+from landtide.operators import change
+from landtide.session import scratch
+
+SUMS = ["l0", "l1", "l2", "l3", "l4", "l5", "l6", "l11", "l15", "l16"]
+#: Counts of a pixel, its first validated time in microseconds and day, and the times of unchanged and hidden observations.
+STATE = "l0 long, l1 long, l2 long, l4 long, l11 long, l15 long, l16 long, first long, day long, unchanged array<long>, hidden array<long>"
 
 
 def incremental(stream: DataFrame, pixel: str, from_classes: Sequence[int], to_classes: Sequence[int], drop: float = -0.2) -> DataFrame:
     """Updated sums ``(pixel, l0, ...)`` for each pixel with new rows of ``(pixel, acquired, day, change, dn, class_code)``.
 
-    Finish them with ``operators.change.finish``. The stream's ``acquired`` is a
-    timestamp with a watermark if state is to be let go.
+    Finish them with ``operators.change.finish``.
     """
     limit = int(drop * 100)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = list(state.get) if state.exists else [0] * 10 + [None]
-        rows = pd.concat(list(parts)).sort_values("acquired", kind="stable")
+        l0, l1, l2, l4, l11, l15, l16, first, day, unchanged, hidden = state.get if state.exists else (0, 0, 0, 0, 0, 0, 0, None, None, [], [])
+        rows = pd.concat(list(parts))
         when = rows["acquired"].astype("datetime64[us]").astype("int64")
         val = (rows["change"] > 0) & (rows["dn"] < limit)
-        if s[10] is None and val.any():
-            s[10], s[3] = int(when[val].min()), int(rows.loc[val, "day"].min())
-        after = when >= s[10] if s[10] is not None else val
-        s[0] += len(rows)
-        s[1] += int((rows["change"] == -1).sum())
-        s[2] += int((rows["change"] > 0).sum())
-        s[4] += int(val.sum())
-        s[5] += int(((rows["change"] == 0) & after).sum())
-        s[6] += int(((rows["change"] == -1) & after).sum())
-        s[7] += int(((rows["change"] >= 0) & (rows["dn"] < limit)).sum())
-        s[8] += int(rows["class_code"].isin(from_classes).sum())
-        s[9] += int(rows["class_code"].isin(to_classes).sum())
-        state.update(tuple(s))
-        yield pd.DataFrame([[key[0], *s[:10]]], columns=[pixel, *(x.split()[0] for x in SUMS.split(", "))])
-
-    return stream.groupBy(pixel).applyInPandasWithState(fold, f"{pixel} long, {SUMS}", STATE, "update", GroupStateTimeout.NoTimeout)
+        if val.any():
+            first = min(x for x in (first, int(when[val].min())) if x is not None)
+            day = min(x for x in (day, int(rows.loc[val, "day"].min())) if x is not None)
+        unchanged = [*unchanged, *when[rows["change"] == 0].tolist()]
+        hidden = [*hidden, *when[rows["change"] == -1].tolist()]
+        l0, l1, l2, l4 = l0 + len(rows), l1 + int((rows["change"] == -1).sum()), l2 + int((rows["change"] > 0).sum()), l4 + int(val.sum())
+        l11 += int(((rows["change"] >= 0) & (rows["dn"] < limit)).sum())
+        l15, l16 = l15 + int(rows["class_code"].isin(from_classes).sum()), l16 + int(rows["class_code"].isin(to_classes).sum())
+        state.update((l0, l1, l2, l4, l11, l15, l16, first, day, unchanged, hidden))
+        after = [0, 0] if first is None else [sum(t >= first for t in x) for x in (unchanged, hidden)]
+        yield pd.DataFrame([[key[0], l0, l1, l2, day or 0, l4, *after, l11, l15, l16]], columns=[pixel, *SUMS])
+
+    sums = ", ".join(f"{x} long" for x in SUMS)
+    return stream.groupBy(pixel).applyInPandasWithState(fold, f"{pixel} long, {sums}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, pixel: str, from_classes: Sequence[int], to_classes: Sequence[int]) -> DataFrame:
+    """The report after all that the stream has now: updates go to a table, and the last of each pixel counts."""
+    spark = stream.sparkSession
+    out, log = scratch(spark, "report-updates"), scratch(spark, "report-progress")
+    sums = incremental(stream, pixel, from_classes, to_classes)
+    query = sums.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).start()
+    query.awaitTermination()
+    updates = spark.read.schema(sums.schema).parquet(out)
+    last = updates.groupBy(pixel).agg(F.max_by(F.struct(*SUMS), "l0").alias("s")).select(pixel, "s.*")
+    return change.finish(last, pixel)
 
 
 def tumbling(events: DataFrame, at: str, size: str, by: Sequence[str], late: str = "1 day") -> DataFrame:
