@@ -32,7 +32,7 @@ from landtide.llm.store import settle
 
 COSINE = 0.95
 #: Filters that a vector has on average, and at least; members of a filter on average; members compared in one piece.
-FILTERS, LEAST, MEMBERS, CELL = 14, 6, 128, 512
+FILTERS, LEAST, MEMBERS, CELL = 10, 6, 128, 512
 SEED = 5
 
 
@@ -125,15 +125,17 @@ def links(reps: DataFrame, dim: int, total: int, cosine: float = COSINE, cell: i
     """From ``reps (node, mult, vector)``: rows ``(node, n, other)``, either ``n`` more links of a node or an edge to ``other``."""
     codes = int(np.clip(2 ** np.ceil(np.log2(max(1.0, total * FILTERS / MEMBERS) ** 0.5)), 8, 4096))
 
+    kind = reps.schema["vector"].dataType.simpleString()
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = directions(dim, codes)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 s = b.slice(lo, 1024)
-                found = decode(_unit(_matrix(s.column(2))), parts)
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(found, pa.list_(pa.int64()))], ["node", "mult", "vector", "filters"])
+                found = [x.astype(np.int32) for x in decode(_unit(_matrix(s.column(2))), parts)]
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(found, pa.list_(pa.int32()))], ["node", "mult", "vector", "filters"])
 
-    each = settle(reps.mapInArrow(listed, "node long, mult long, vector array<double>, filters array<long>"), "caps-filters")
+    each = settle(reps.mapInArrow(listed, f"node long, mult long, vector {kind}, filters array<int>"), "caps-filters")
     each = each.withColumn("filter", F.explode("filters"))
     large = each.groupBy("filter").count().where(F.col("count") > cell).select("filter", F.ceil(F.col("count") / cell).cast("int").alias("chunks"))
     rest = each.join(large, "filter", "left_anti").withColumn("cell", F.col("filter")).withColumn("side", F.lit(0)).withColumn("across", F.lit(False))
@@ -155,7 +157,9 @@ def links(reps: DataFrame, dim: int, total: int, cosine: float = COSINE, cell: i
 
 def groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """``(id, n_links, component_id)`` for every row of ``vectors``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # Single-precision input stays so until it is compared, in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("key", F.when(sound, F.xxhash64("vector")))
     # Members of a hash are told apart by the vector itself; its first digest only spreads the rows.
