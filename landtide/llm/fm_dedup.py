@@ -186,27 +186,33 @@ def _search(table: pa.Table) -> pa.Table:
     """Spans that repeat (digest null) and, in salted shards, windows that other shards may hold (digest set)."""
     segments = table.column("words").to_pylist()
     windows = table.column("count").to_numpy().astype(np.int64)
-    first = table.column("first").to_numpy()
+    first = table.column("first").to_numpy().astype(np.int64)
     alone = table.column("alone").to_numpy(zero_copy_only=False)
     salted = table.column("salts").to_numpy() > 1
-    keys = table.column("key").to_pylist()
+    keys = table.column("key").combine_chunks()
+    found = shard_repeats(segments, windows, alone | salted)
+    # Runs of windows that repeat, over all segments at once; a window that repeats nowhere stands between segments.
+    begin = np.cumsum(windows + 1) - windows
+    flags = np.zeros(int((windows + 1).sum()) + 1, np.int8)
+    flags[np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))] = np.concatenate(found) & np.repeat(alone, windows)
+    edge = np.flatnonzero(np.diff(flags)) + 1
+    of = np.searchsorted(begin, edge[::2], "right") - 1
+    start, stop = (first[of] + e - begin[of] for e in (edge[::2], edge[1::2]))
+    parts = [pa.table({"key": keys.take(pa.array(of)), "start": pa.array(start, pa.int32()), "stop": pa.array(stop + WINDOW - 1, pa.int32()), "digest": pa.nulls(len(of), pa.binary())})]
     rows, told = [], set()
-    for k, flags in enumerate(shard_repeats(segments, windows, alone | salted)):
-        if alone[k]:
-            edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-            rows += [(keys[k], int(first[k] + i), int(first[k] + j) + WINDOW - 1, None) for i, j in zip(edge[::2], edge[1::2])]
-        if salted[k]:
-            ws = segments[k].split(b" ")
-            for i in range(len(flags)):
-                digest = hashlib.blake2b(b" ".join(ws[i : i + WINDOW]), digest_size=16).digest()
-                if alone[k] and not flags[i]:
-                    at = int(first[k]) + i
-                    rows.append((keys[k], at, at + WINDOW, digest))
-                elif digest not in told:  # one for the shard is enough
-                    told.add(digest)
-                    rows.append((None, None, None, digest))
+    for k in np.flatnonzero(salted).tolist():
+        ws, key = segments[k].split(b" "), keys[k].as_py()
+        for i, again in enumerate(found[k].tolist()):
+            digest = hashlib.blake2b(b" ".join(ws[i : i + WINDOW]), digest_size=16).digest()
+            if alone[k] and not again:
+                at = int(first[k]) + i
+                rows.append((key, at, at + WINDOW, digest))
+            elif digest not in told:  # one for the shard is enough
+                told.add(digest)
+                rows.append((None, None, None, digest))
     kinds = (("key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.binary()))
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
+    parts.append(pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)}))
+    return pa.concat_tables(parts)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
