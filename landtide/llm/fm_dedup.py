@@ -38,6 +38,8 @@ WINDOW, GRAM = 35, 8
 #: Segments of a shard, on average; an anchor with more of them is salted.
 SHARD = 2000
 
+#: A spot is the first window of a segment times this, plus how many there are; a run of windows with one anchor has at most WINDOW - GRAM + 1.
+_RUN = 64
 _NO_WORDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -166,8 +168,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = buf.tobytes()
             sha = [hashlib.sha256(b" ".join(raw[i:j].split())).hexdigest() for i, j in zip(texts, texts[1:])]
             offs = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offs, pa.array(x, t)) for x, t in ((anchor, pa.int64()), (first, pa.int32()), (count, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(w.offs)), pa.array(sha), *lists], ["id", "key", "n_words", "sha", "anchors", "firsts", "counts"])
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x, t)) for x, t in ((anchor, pa.int64()), (first * _RUN + count, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(w.offs)), pa.array(sha), *lists], ["id", "key", "n_words", "sha", "anchors", "spots"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, alone, text, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             ws = (text or "").encode().split()
-            rows += [(x["anchor"], x["salts"], key, alone, x["first"], x["count"], b" ".join(ws[x["first"] : x["first"] + x["count"] + WINDOW - 1])) for x in items]
+            for x in items:
+                first, count = divmod(x["spot"], _RUN)
+                rows.append((x["anchor"], x["salts"], key, alone, first, count, b" ".join(ws[first : first + count + WINDOW - 1])))
         if rows:
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["anchor", "salts", "key", "alone", "first", "count", "words"])
@@ -238,14 +242,14 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scanned = settle(rows.mapInArrow(_scan, f"id {kind}, key binary, n_words long, sha string, anchors array<long>, firsts array<int>, counts array<int>"), "fm-scan")
-    texts = settle(scanned.groupBy("key").agg(F.count("*").alias("m"), F.first(F.struct("id", "n_words", "anchors", "firsts", "counts")).alias("of")).select("key", "m", "of.*"), "fm-texts")
-    each = texts.select("key", "m", "id", F.explode(F.arrays_zip("anchors", "firsts", "counts")).alias("s"))
-    each = each.select("key", "m", "id", F.col("s.anchors").alias("anchor"), F.col("s.firsts").alias("first"), F.col("s.counts").alias("count"))
+    scanned = settle(rows.mapInArrow(_scan, f"id {kind}, key binary, n_words long, sha string, anchors array<long>, spots array<long>"), "fm-scan")
+    texts = settle(scanned.groupBy("key").agg(F.count("*").alias("m"), F.first(F.struct("id", "n_words", "anchors", "spots")).alias("of")).select("key", "m", "of.*"), "fm-texts")
+    each = texts.select("key", F.explode(F.arrays_zip("anchors", "spots")).alias("s")).select("key", F.col("s.anchors").alias("anchor"), F.col("s.spots").alias("spot"))
     often = settle(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "fm-anchors")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    item = F.struct("anchor", "first", "count", F.ceil(F.col("n") / shard).cast("int").alias("salts"))
-    wanted = each.join(often, "anchor").groupBy("key").agg(F.first("id").alias("id"), (F.first("m") == 1).alias("alone"), F.collect_list(item).alias("items"))
+    item = F.struct("anchor", "spot", F.ceil(F.col("n") / shard).cast("int").alias("salts"))
+    wanted = each.join(often, "anchor").groupBy("key").agg(F.collect_list(item).alias("items"))
+    wanted = wanted.join(texts.select("key", "id", (F.col("m") == 1).alias("alone")), "key")
     wanted = wanted.withColumnRenamed("key", "of")
     held = settle(rows.join(wanted, (rows["key"] == wanted["of"]) & rows["id"].eqNullSafe(wanted["id"])).select(rows["key"], "alone", "text", "items"), "fm-held")
     segments = held.mapInArrow(_segments, "anchor long, salts int, key binary, alone boolean, first int, count int, words binary")
