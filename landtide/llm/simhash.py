@@ -281,7 +281,7 @@ def _sketch(raw: bytes, width: int) -> tuple[int, list[int]]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """``(id, node, fp, keys)``: ``node`` is a hash of the words; each key is one of the two least shingles under two orders."""
+    """``(id, node, fp, keys)``: ``node`` is a hash of the words; ``fp`` counts each distinct shingle once; each key is one of the two least shingles under two orders."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.string_batches(batches, 512):
             got = [_sketch((t or "").encode(), width) for t in b.column(1).to_pylist()]
@@ -290,9 +290,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 if not h:
                     keys.append(np.zeros(0, np.int64))
                     continue
-                x = np.array(h, np.uint64)
+                x = np.unique(np.array(h, np.uint64))  # repeats weigh nothing in the similarity either
                 bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-                fps[k] = np.packbits(2 * bits > len(h)).view(">u8")[0]
+                fps[k] = np.packbits(2 * bits > len(x)).view(">u8")[0]
                 least = x[np.array([(x * m).argmin() for m in _TIMES])].reshape(KEYS, 2)
                 keys.append(W.mix(least[:, 0] ^ W.mix(least[:, 1] + np.arange(KEYS, dtype=np.uint64))).view(np.int64))
             nodes = np.array([n for n, _ in got], np.uint64).view(np.int64)

@@ -370,6 +370,17 @@ def test_similar_texts_against_all_pairs(spark):
     assert got == {i: top(i) for i in range(len(rows))} and len(set(got.values())) < len(rows) - 60
 
 
+def test_similar_texts_with_a_repeated_row(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(0, 40, 2):
+        w = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+        more = ["---"] * 60 if k % 4 else "this footer line has eight words in it".split() * 15
+        rows += [(k, " ".join(w)), (k + 1, " ".join(w[:150] + more + w[150:]))]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
+
+
 def test_nearest_pairs_keep_groups_connected():
     rng = np.random.default_rng(4)
     fps = np.array([0xABCDEF ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (200, 2))], np.uint64)
