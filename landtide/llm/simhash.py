@@ -219,15 +219,19 @@ def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int
     return _compared(keyed, cell, lambda key, fps, nodes: star_edges(key, fps, nodes, radius))
 
 
-def _compared(keyed: DataFrame, cell: int, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Edges ``(a, b)`` that ``compare`` finds in the buckets of ``keyed (key, fp, node)``, or in the cells of large ones."""
+def _dealt(keyed: DataFrame, cell: int) -> DataFrame:
+    """``keyed (key, node, ...)`` with large buckets cut into cells that have keys of their own."""
+    others = [c for c in keyed.columns if c != "key"]
     large = keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / (cell // 2)).cast("int").alias("chunks"))
     # A bucket above the limit has a cell for every two of its chunks; each row goes to the cells of its own chunk.
     chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    rest = keyed.join(large, "key", "left_anti").select("key", "fp", "node")
-    cells = keyed.join(large, "key").withColumn("i", chunk).select("fp", "node", "key", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    cells = cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fp", "node")
+    rest = keyed.join(large, "key", "left_anti").select("key", *others)
+    cells = keyed.join(large, "key").withColumn("i", chunk).select(*others, "key", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    return rest.union(cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *others))
+
 
+def _compared(keyed: DataFrame, cell: int, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges ``(a, b)`` that ``compare`` finds in the buckets of ``keyed (key, fp, node)``, or in the cells of large ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -249,7 +253,93 @@ def _compared(keyed: DataFrame, cell: int, compare: Callable[[np.ndarray, np.nda
         if held:
             yield emit(np.concatenate(held, axis=1))
 
-    return rest.union(cells).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return _dealt(keyed.select("key", "fp", "node"), cell).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def joining_pairs(group: np.ndarray, offs: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows of one bucket that are alike and join different groups; row ``i`` has the distinct shingles ``flat[offs[i]:offs[i + 1]]``.
+
+    Every two rows of groups that are not joined yet are compared, but for those
+    that cannot be alike: with the shingles of a row in one order, rare ones first,
+    two rows that are alike share one among the first of each.
+    """
+    sizes = np.diff(offs)
+    _, root = np.unique(group, return_inverse=True)
+    left = int(root.max(initial=-1))  # joins until all is one group
+    _, flat, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, count[flat], row))
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    head = (np.arange(len(flat)) - offs[row] < first[row]) & (count[flat[order]] > 1)
+    shingle, owner = flat[order][head], row[head]
+    by = np.argsort(shingle, kind="stable")
+    owners, begin = owner[by], np.searchsorted(shingle[by], np.arange(len(count) + 1))
+    mine = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    marked, out = np.zeros(len(count), bool), []
+    for i in range(len(sizes)):
+        if left <= 0:
+            break
+        seen = [owners[begin[s] : begin[s + 1]] for s in shingle[mine[i] : mine[i + 1]].tolist()]
+        if not seen:
+            continue
+        with_ = np.unique(np.concatenate(seen))
+        with_ = with_[(with_ > i) & (root[with_] != root[i])]
+        with_ = with_[np.minimum(sizes[with_], sizes[i]) >= similarity * np.maximum(sizes[with_], sizes[i]) - 1e-9]
+        if not len(with_):
+            continue
+        marked[flat[offs[i] : offs[i + 1]]] = True
+        for j in with_.tolist():
+            if root[j] == root[i]:
+                continue
+            common = int(np.count_nonzero(marked[flat[offs[j] : offs[j + 1]]]))
+            if common >= similarity * (int(sizes[i]) + int(sizes[j]) - common):
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+                left -= 1
+        marked[flat[offs[i] : offs[i + 1]]] = False
+    return out
+
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose bucket has several groups."""
+    several = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    return keyed.join(several, "key", "left_semi")
+
+
+def remaining(keyed: DataFrame, sets: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
+    """Edges ``(a, b)`` that join all groups of ``keyed (key, node, group)`` that have rows of a shared bucket alike by their ``sets (node, shingles)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            key, node, group = (table.column(k).to_numpy() for k in range(3))
+            lists = table.column(3).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            offs, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            got = [(lo + i, lo + j) for lo, hi in zip(cuts, cuts[1:]) if hi > lo + 1
+                   for i, j in joining_pairs(group[lo:hi], offs[lo : hi + 1] - offs[lo], flat[offs[lo] : offs[hi]], similarity)]
+            at = np.array(got, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if cut or held and held[0].column(0)[-1].as_py() != keys[0]:
+                held.append(b.slice(0, cut))
+                yield emit()
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield emit()
+
+    dealt = _mixed(_dealt(_mixed(keyed).select("key", "node", "group"), cell))
+    rows = dealt.join(sets, "node").select("key", "node", "group", "shingles")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -261,7 +351,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return rows.join(named, "fp").select(F.col("id"), "fp", "component_id")
 
 
-#: Word shingles and similarity of near duplicates that are held against their texts; bits that such fingerprints differ in at most; keys of two least hashes each; nearest rows of a bucket that are looked at.
+#: Word shingles and similarity of near duplicates that are held against their texts; bits that such fingerprints differ in at most; keys of two least hashes each; nearest rows of a bucket that are looked at first.
 WORDS, SIMILARITY, REACH, KEYS, NEAREST = 5, 0.8, 18, 8, 4
 _TIMES = np.random.default_rng(8).integers(1, 1 << 63, 2 * KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -319,7 +409,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     Texts of the same words in any case are one node. Buckets of equal least
     shingles are compared bit-sliced within ``REACH`` bits; each node goes on with
     its nearest ones of each bucket, and these pairs are held against the shingle
-    sets of their texts. A text without words is like others of its kind only; one
+    sets of their texts. That is the first round; then all rows of a bucket that
+    are not of one group yet are held against each other, whatever their distance. A text without words is like others of its kind only; one
     whose rows have no id is linked with none, and its group has a null id.
     """
     rows = settle(sketches(docs, id_col, text_col, width), "similar")
@@ -332,7 +423,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         return np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
 
     pairs = settle(_compared(keyed, CELL, compare).where("a <> b").distinct(), "similar-pairs")
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-nodes")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    nodes = settle(keyed.join(shared, "key", "left_semi").select("node").distinct(), "similar-nodes")
     ids = named.join(nodes, "node", "left_semi").select(F.col("least").alias("__least"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__least"), "left_semi")
     sets = settle(shingle_sets(texts, "__id", "__text", width).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
@@ -341,6 +433,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     common = F.size(F.array_intersect("sa", "sb"))
     alike = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     found = settle(components(alike, "similar-links"), "similar-found")
+    own = keyed.join(nodes, "node", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+    more = settle(remaining(settle(own, "similar-keys"), sets, similarity), "similar-more")
+    if not more.isEmpty():
+        found = settle(components(found.toDF("a", "b").union(more), "similar-links"), "similar-all")
     grouped = reps.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = settle(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "similar-names")
     names = grouped.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")

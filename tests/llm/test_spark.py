@@ -381,6 +381,41 @@ def test_similar_texts_with_a_repeated_row(spark):
     assert got == {k: k - k % 2 for k in range(40)}
 
 
+def test_similar_text_beyond_the_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    shared = [f"s{k}" for k in range(176)]
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = [(k, " ".join(shared + fresh(24))) for k in range(30)]  # siblings: 172 of 220 shingles in common
+    rows.append((30, rows[7][1].rsplit(" ", 18)[0] + " " + " ".join(fresh(18))))  # one partner: 178 of 214
+    want = {k: 7 if k == 30 else k for k in range(31)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    for cell in (16, 2048):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        assert {r["id"]: r["component_id"] for r in simhash.similar(df).collect()} == want
+
+
+def test_joining_pairs_against_all_pairs():
+    rng = np.random.default_rng(23)
+    sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 60, 120)]
+    sets += [np.setdiff1d(x, x[:: int(rng.integers(3, 12))]) for x in sets]
+    sets = [x for x in sets if len(x)]
+    group = rng.integers(0, 100, len(sets))
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    got = simhash.joining_pairs(group, offs, np.concatenate(sets), 0.8)
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert set(got) <= {(j, i) for i, j in alike} and 0 < len(got) < len(alike)
+
+    def parts(pairs):
+        root = list(range(100))
+        for i, j in pairs:
+            a, b = root[group[i]], root[group[j]]
+            root = [a if x == b else x for x in root]
+        return {frozenset(k for k in range(100) if root[k] == r) for r in root}
+
+    assert parts(got) == parts(alike)
+
+
 def test_nearest_pairs_keep_groups_connected():
     rng = np.random.default_rng(4)
     fps = np.array([0xABCDEF ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (200, 2))], np.uint64)
