@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtide.llm import words as W
@@ -370,11 +370,20 @@ def _sketch(raw: bytes, width: int) -> tuple[int, list[int]]:
     return node, [digest(joined[i : j - 1], SEED) for i, j in zip(starts, starts[width:])]
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _first() -> Column:
+    """Of rows ``(id, h)``, the one of the smallest id; rows without one come last."""
+    return F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """``(id, node, fp, keys)``: ``node`` is a hash of the words; ``fp`` counts each distinct shingle once; each key is one of the two least shingles under two orders."""
+    """``(id, h, node, fp, keys)``: ``h`` is a hash of the text, ``node`` one of the words; ``fp`` counts each distinct shingle once; each key is one of the two least shingles under two orders."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.string_batches(batches, 512):
-            got = [_sketch((t or "").encode(), width) for t in b.column(1).to_pylist()]
+            got = [_sketch((t or "").encode(), width) for t in b.column(2).to_pylist()]
             fps, keys = np.zeros(len(got), np.uint64), []
             for k, (_, h) in enumerate(got):
                 if not h:
@@ -386,10 +395,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 least = x[np.array([(x * m).argmin() for m in _TIMES])].reshape(KEYS, 2)
                 keys.append(W.mix(least[:, 0] ^ W.mix(least[:, 1] + np.arange(KEYS, dtype=np.uint64))).view(np.int64))
             nodes = np.array([n for n, _ in got], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "fp", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, node long, fp long, keys array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, h long, node long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WORDS) -> DataFrame:
@@ -410,13 +419,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     shingles are compared bit-sliced within ``REACH`` bits; each node goes on with
     its nearest ones of each bucket, and these pairs are held against the shingle
     sets of their texts. That is the first round; then all rows of a bucket that
-    are not of one group yet are held against each other, whatever their distance. A text without words is like others of its kind only; one
-    whose rows have no id is linked with none, and its group has a null id.
+    are not of one group yet are held against each other, whatever their distance. A text without words is like others of its kind only;
+    a group whose rows all have no id has a null id.
     """
+    rows, reps, grouped = _grouped(docs, id_col, text_col, similarity, width)
+    names = settle(grouped.groupBy("component").agg(F.min("first.id").alias("component_id")), "similar-names")
+    names = grouped.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")
+    return rows.select("id", "node").join(names, F.col("node") == F.col("of")).select("id", "node", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, those of each node, and ``(node, first, component)`` with the first row of each node."""
     rows = settle(sketches(docs, id_col, text_col, width), "similar")
-    reps = settle(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-reps")
-    named = reps.where("least is not null")
-    keyed = named.select(F.explode("keys").alias("key"), "fp", "node")
+    reps = settle(rows.groupBy("node").agg(_first().alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-reps")
+    keyed = reps.select(F.explode("keys").alias("key"), "fp", "node")
 
     def compare(key: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = near_pairs(key, fps, REACH, NEAREST)
@@ -425,8 +441,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     pairs = settle(_compared(keyed, CELL, compare).where("a <> b").distinct(), "similar-pairs")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     nodes = settle(keyed.join(shared, "key", "left_semi").select("node").distinct(), "similar-nodes")
-    ids = named.join(nodes, "node", "left_semi").select(F.col("least").alias("__least"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__least"), "left_semi")
+    ids = reps.join(nodes, "node", "left_semi").select(F.col("first.id").alias("__first"), F.col("first.h").alias("__of"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), _text_hash(text_col).alias("__h"))
+    texts = texts.join(ids, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__h") == F.col("__of")), "left_semi")
     sets = settle(shingle_sets(texts, "__id", "__text", width).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
@@ -437,25 +454,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     more = settle(remaining(settle(own, "similar-keys"), sets, similarity), "similar-more")
     if not more.isEmpty():
         found = settle(components(found.toDF("a", "b").union(more), "similar-links"), "similar-all")
-    grouped = reps.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    names = settle(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "similar-names")
-    names = grouped.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")
-    return rows.select("id", "node").join(names, F.col("node") == F.col("of")).select("id", "node", "component_id")
+    grouped = reps.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    return rows, reps, grouped
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
-    """One row of each group of similar texts, that of the smallest id; of rows that repeat an id, one.
+    """One row of each group of similar texts, that of the smallest id; rows without an id come last.
 
-    A row without an id stays only for words that no row with an id has: one row each.
+    Rows that repeat an id are told apart by their texts, as are those without one.
     """
-    found = similar(docs, id_col, text_col, similarity, width)
-    ids = found.where("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    kept = docs.join(ids, docs[id_col] == ids["__keep"], "left_semi").dropDuplicates([id_col])
-    nameless = found.where("component_id is null").select("node").distinct()
-    if nameless.isEmpty():
-        return kept
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rest = docs.where(F.col(id_col).isNull()).withColumn("__text", key)
-    one = sketches(rest, "__text", text_col, width).join(nameless, "node", "left_semi").groupBy("node").agg(F.min("id").alias("__one"))
-    rest = rest.join(one, rest["__text"] == one["__one"], "left_semi").dropDuplicates(["__text"]).drop("__text")
-    return kept.unionByName(rest)
+    grouped = _grouped(docs, id_col, text_col, similarity, width)[2]
+    first = F.min(F.struct("first.nameless", "first.id", "node", "first.h"))
+    kept = grouped.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("__keep"), F.col("first.h").alias("__of"))
+    rows = docs.withColumn("__h", _text_hash(text_col))
+    same = rows[id_col].cast("long").eqNullSafe(kept["__keep"]) & (rows["__h"] == kept["__of"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")

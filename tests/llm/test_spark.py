@@ -395,6 +395,16 @@ def test_similar_text_beyond_the_nearest(spark, monkeypatch):
         assert {r["id"]: r["component_id"] for r in simhash.similar(df).collect()} == want
 
 
+def test_kept_rows_with_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(24)
+    a, b, c, d = (" ".join(f"v{x}" for x in rng.integers(0, 5000, 200)) for _ in range(4))
+    near = lambda t: t + " one more"
+    rows = [(1, a), (1, b), (1, b), (2, near(b)), (0, near(a)), (None, c), (None, near(c)), (None, near(d)), (3, d)]
+    kept = rows_of(simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(kept) == 4 and {r for r in kept if r[0] is not None} == {(0, near(a)), (1, b), (3, d)}
+    assert [r[1] in (c, near(c)) for r in kept if r[0] is None] == [True]
+
+
 def test_joining_pairs_against_all_pairs():
     rng = np.random.default_rng(23)
     sets = [np.unique(rng.integers(0, 60, int(n))) for n in rng.integers(1, 60, 120)]
