@@ -434,3 +434,20 @@ def test_nearest_pairs_keep_groups_connected():
     near = {int(k): sorted(np.bitwise_count(fps[k + 1 :] ^ fps[k]).tolist())[:4] for k in range(200)}
     for k in range(200):
         assert sorted(np.bitwise_count(fps[k] ^ fps[j[i == k]]).tolist()) == near[k]
+
+
+def test_samples_of_copies_are_whole(spark):
+    from landtide.llm.samples import smallest
+
+    texts = spark.range(60_000).select(F.concat(F.lit("t"), F.col("id") % 50).alias("text")).select("text", F.xxhash64("text").alias("h"))
+    want = {f"t{k}" for k in range(50)}
+    assert set(smallest(texts, 100, 60_000)) == want
+    assert set(smallest(texts, 100, 60_000, F.col("text").endswith("7"))) == {t for t in want if t.endswith("7")}
+
+
+def test_long_texts_teach_the_field(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crf_secrets, "fit", lambda texts: seen.extend(texts))
+    long = "word " * 9000 + 'token = "0123456789abcdef01234567" ' + "word " * 9000
+    crf_secrets.train(spark.createDataFrame([(long,), ("short",), (None,), ("",)], "text string"))
+    assert any("0123456789abcdef01234567" in t for t in seen) and "short" in seen and max(map(len, seen)) <= 20_000
