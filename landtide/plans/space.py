@@ -205,6 +205,28 @@ def region_outlines(spark, sf_dir):
     return regions.outlines(regions.label(_cells(spark, sf_dir).where("pixel < 400"), "value", model.WIDTH, block=4))
 
 
+# The same over the whole grid, beyond recursive SQL.
+
+@query()
+def region_label_whole(spark, sf_dir):
+    return regions.label(_cells(spark, sf_dir), "value", model.WIDTH, block=16)
+
+
+@query()
+def region_area_whole(spark, sf_dir):
+    return regions.areas(region_label_whole(spark, sf_dir))
+
+
+@query()
+def sieve_small_whole(spark, sf_dir):
+    return regions.sieve(_cells(spark, sf_dir), "value", model.WIDTH, 4, block=16)
+
+
+@query()
+def region_outlines_whole(spark, sf_dir):
+    return regions.outlines(region_label_whole(spark, sf_dir))
+
+
 # Terrain.
 
 SURFACE = """surface AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, CAST(p_size AS DOUBLE) AS z, p_partkey AS pixel FROM part),

@@ -196,3 +196,31 @@ def test_warp_between_zones(spark):
     got = grid.warp(image.select("row", "col"), image, to36, (there["x"], there["y"]), (start["x"], start["y"]), 10.0, ["value"])
     values = matrix(got)
     assert values[0][0] == 0 and values[5][5] in (44, 45, 54, 55, 56, 65) and got.count() == 100
+
+
+def test_regions_of_the_whole_grid_against_flood_fill(spark):
+    from landtide import plans
+
+    sf = "/root/testdata/sf0.01"
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size").collect()
+    value = {divmod(r[0], 50): int(r[1] % 7 < 3) for r in parts}
+    beside = lambda p: [((p[0] + i, p[1] + j), side) for i, j, side in ((-1, 0, "n"), (1, 0, "s"), (0, -1, "w"), (0, 1, "e"))]
+    region = {}
+    for p in sorted(value):
+        todo = [] if p in region else [p]
+        while todo:
+            q = todo.pop()
+            if q not in region:
+                region[q] = p[0] * 50 + p[1]
+                todo += [n for n, _ in beside(q) if value.get(n) == value[p]]
+    assert len(value) > 400
+    got = lambda name, *of: sorted(tuple(r[c] for c in of) for r in plans.QUERIES[name](spark, sf).collect())
+    assert got("region_label_whole", "row", "col", "value", "region") == sorted((*p, v, region[p]) for p, v in value.items())
+    size = {k: sum(x == k for x in region.values()) for k in set(region.values())}
+    assert got("region_area_whole", "region", "cells") == sorted(size.items())
+    assert got("region_outlines_whole", "region", "row", "col", "side") == sorted((region[p], *p, s) for p in value for n, s in beside(p) if region.get(n) != region[p])
+    into = {}
+    for p in value:
+        if size[region[p]] < 4:
+            into.setdefault(region[p], set()).update((-size[region[n]], region[n], value[n]) for n, _ in beside(p) if n in value and region[n] != region[p])
+    assert got("sieve_small_whole", "row", "col", "value") == sorted((*p, min(into[region[p]])[2] if into.get(region[p]) else v) for p, v in value.items())
