@@ -8,9 +8,9 @@ classes. The ``OUT`` most frequent words are in classes whose words have a softm
 of their own; the other known words are in classes of equal mass and the rest in
 one more, within which a word's chance follows from its count. Output biases start
 from the counts. Training is by truncated backpropagation in NumPy, state carried
-from window to window, in every partition at once on a fixed share of its training
-texts (so it grows with the input); the partitions' weights are averaged, by
-tokens, for ``ROUNDS`` rounds over different texts. Scoring carries the state
+from window to window, in every partition at once; the partitions' weights are
+averaged, by tokens, after each of ``ROUNDS`` rounds. Every training text is in
+one round. Scoring carries the state
 through the whole document.
 
 Words are told apart by 64-bit hashes. Defined results: a null text is empty and
@@ -36,8 +36,8 @@ from landtide.llm.store import settle
 #: Words that all tasks know the counts of; of these, words with their own output; words of an output class; classes of the other known words.
 HEAD, OUT, WIDE, STATIC = 1 << 18, 2048, 64, 16
 HIDDEN, WINDOW = 16, 16
-#: One in SHARE training texts is trained on in each round.
-SHARE, ROUNDS, RATE = 12, 2, 0.02
+#: Rounds that the training rows are dealt to.
+ROUNDS, RATE = 2, 0.02
 #: Bytes of text that are scored in step.
 STEP_BYTES = 6 << 20
 _BLOCK = 4096
@@ -361,9 +361,9 @@ def fit(rows: DataFrame) -> tuple[Net, Lexicon, DataFrame]:
     head = _head(counts, HEAD).toPandas().sort_values(["c", "h"], ascending=[False, True])
     lex = lexicon(head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
     net, shared = fresh(lex), sc.broadcast(lex)
-    share = F.pmod(F.xxhash64("text"), F.lit(SHARE))
+    turn = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))  # copies are dealt to all rounds
     for k in range(ROUNDS):
-        net = _round(rows.where(share == k).select("text"), net, shared)
+        net = _round(rows.where(turn == k).select("text"), net, shared)
     return net, lex, counts
 
 

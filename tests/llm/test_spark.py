@@ -451,3 +451,16 @@ def test_long_texts_teach_the_field(spark, monkeypatch):
     long = "word " * 9000 + 'token = "0123456789abcdef01234567" ' + "word " * 9000
     crf_secrets.train(spark.createDataFrame([(long,), ("short",), (None,), ("",)], "text string"))
     assert any("0123456789abcdef01234567" in t for t in seen) and "short" in seen and max(map(len, seen)) <= 20_000
+
+
+def test_language_model_trains_on_every_text(spark, monkeypatch):
+    seen = []
+
+    def noted(texts, net, lex):
+        seen.extend(r["text"] for r in texts.collect())
+        return net
+
+    monkeypatch.setattr(gru_lm, "_round", noted)
+    texts = [f"text {k}" for k in range(200)] + ["copy"] * 50
+    gru_lm.fit(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert sorted(seen) == sorted(texts)
