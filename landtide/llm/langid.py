@@ -147,19 +147,27 @@ def build(samples: dict[str, str]) -> Model:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chars: int = CHARS) -> Model:
     """The automata of a bounded sample of ``docs``; rows whose text or language is null teach nothing."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    distinct = rows.select("lang", "h", F.length("text").alias("chars")).groupBy("lang", "h").agg(F.min("chars").alias("chars"))
+    sizes = {r["lang"]: (r["n"], r["chars"]) for r in distinct.groupBy("lang").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     if not sizes:
         return build({})
     chars = max(2000, min(chars, ALL_CHARS // len(sizes)))
-    # Texts of small hashes, about three times the characters that are needed and a score of texts at least.
+    # Distinct texts of small hashes, about three times the characters that are needed and a score of texts at least.
     share = {k: min(1.0, max(3 * chars / total, 20 / n)) for k, (n, total) in sizes.items()}
-    chance = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
-    draw = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 32))).where(F.col("h") < chance * float(1 << 32))
+    low = F.pmod("h", F.lit(1 << 32))
     samples: dict[str, str] = {}
-    for r in sorted(draw.select("lang", "h", F.substring("text", 1, chars).alias("text")).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        had = samples.get(r["lang"], "")
-        if len(had) < chars:
-            samples[r["lang"]] = (had + "\n" + r["text"])[:chars]
+    while share:
+        chance = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("lang")]
+        draw = rows.where(low < chance * float(1 << 32)).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+        drawn: dict[str, str] = {}
+        for r in sorted(draw.select("lang", low.alias("h"), "text").collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+            had = drawn.get(r["lang"], "")
+            if len(had) < chars:
+                drawn[r["lang"]] = (had + "\n" + r["text"])[:chars]
+        samples |= drawn
+        # Where a draw came short it is made anew with more, up to all distinct texts.
+        share = {k: min(1.0, 8 * s) for k, s in share.items() if s < 1.0 and len(drawn.get(k, "")) < chars}
     return build(samples)
 
 

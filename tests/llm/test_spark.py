@@ -464,3 +464,10 @@ def test_language_model_trains_on_every_text(spark, monkeypatch):
     texts = [f"text {k}" for k in range(200)] + ["copy"] * 50
     gru_lm.fit(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
     assert sorted(seen) == sorted(texts)
+
+
+def test_language_of_copies_is_learned(spark):
+    copies = spark.range(50_000).select(F.lit("ein Blatt mit vielen Worten " * 70).alias("text"), F.lit("de").alias("lang"))
+    others = spark.createDataFrame([(f"noch ein Blatt, das {k} Worte hat", "de") for k in range(20)] + [(f"a page of {k} words of English", "en") for k in range(20)], "text string, lang string")
+    model = langid.learn(copies.union(others))
+    assert model.langs == ["de", "en"]
