@@ -8,12 +8,14 @@ classes. The ``OUT`` most frequent words are in classes whose words have a softm
 of their own; the other known words are in classes of equal mass and the rest in
 one more, within which a word's chance follows from its count. Output biases start
 from the counts. Training is by truncated backpropagation in NumPy, state carried
-from window to window, in every partition at once; the partitions' weights are
-averaged, by tokens, after each of ``ROUNDS`` rounds. Every training text is in
-one round. Scoring carries the state
+from window to window. Every training text, copies included, is dealt by a hash of
+its id and words to one of ``ROUNDS`` rounds and to a stream of that round, about
+``STREAM`` tokens each, read in the order of the hash. All streams of a round start
+from the same weights; their results are averaged by tokens. So neither the number
+of partitions nor their order changes the weights. Scoring carries the state
 through the whole document.
 
-Words are told apart by 64-bit hashes. Defined results: a null text is empty and
+Words are coded once, for training and scoring, and the codes written. They are told apart by 64-bit hashes. Defined results: a null text is empty and
 has the end token only; without training texts every token has chance 1 under the
 base and the model knows only the unknown word; repeated rows and ids are scored
 row by row; a row without an id trains; other columns are not read.
@@ -26,7 +28,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,11 @@ from landtide.llm.store import settle
 
 #: Words that all tasks know the counts of; of these, words with their own output; words of an output class; classes of the other known words.
 HEAD, OUT, WIDE, STATIC = 1 << 18, 2048, 64, 16
-HIDDEN, WINDOW = 16, 16
-#: Rounds that the training rows are dealt to.
-ROUNDS, RATE = 2, 0.02
-#: Bytes of text that are scored in step.
-STEP_BYTES = 6 << 20
+HIDDEN, WINDOW = 24, 16
+#: Rounds that the training texts are dealt to, tokens of a stream on average; a stream is read in up to ``LANES`` lanes, for about ``UPDATES`` updates.
+ROUNDS, STREAM, LANES, UPDATES, RATE = 2, 3_000_000, 512, 366, 0.03
+#: Tokens that are scored in step.
+STEP_TOKENS = 1 << 20
 _BLOCK = 4096
 
 
@@ -184,48 +185,81 @@ def _outputs(net: Net, lex: Lexicon, h: np.ndarray, codes: np.ndarray, slopes: N
     return out, back
 
 
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    r = rows[order]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    table[r[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def slopes_of(net: Net, lex: Lexicon, rows: np.ndarray, reset: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[float, Net, np.ndarray]:
+    """Of a window of steps (first axis) in many lanes: log-likelihood, slopes of its negative, and the state after it.
+
+    ``rows``: input rows; ``reset``: 0 where the state is cleared before a step; ``h``: the state carried in.
+    """
+    size, lanes = rows.shape
+    n, kind = HIDDEN, net["u"].dtype
+    before, cand, hu, state = (np.empty((size, lanes, n), kind) for _ in range(4))
+    gates, x, u = np.empty((size, lanes, 2 * n), kind), net["x"][rows], net["u"]
+    for t in range(size):
+        h = np.multiply(h, reset[t], out=before[t])
+        a = h @ u
+        g = np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=gates[t])
+        g *= 0.5
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5  # logistic
+        hu[t] = a[:, 2 * n :]
+        c = np.multiply(g[:, n:], hu[t], out=cand[t])
+        c += x[t, :, 2 * n :]
+        np.tanh(c, out=c)
+        s = np.subtract(h, c, out=state[t])
+        s *= g[:, :n]
+        s += c
+        h = s
+    slopes = {k: np.zeros_like(v) for k, v in net.items()}
+    logp, back = _outputs(net, lex, state.reshape(-1, n), target.ravel(), slopes)
+    back = back.reshape(size, lanes, n)
+    z, r = gates[:, :, :n], gates[:, :, n:]
+    of_cand, of_z, of_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), hu * r * (1 - r)
+    dx, du = np.empty((size, lanes, 3 * n), kind), np.empty((size, lanes, 3 * n), kind)
+    dh, across = np.zeros((lanes, n), kind), np.ascontiguousarray(u.T)
+    for t in range(size - 1, -1, -1):
+        dh += back[t]
+        d = dx[t]
+        dc = np.multiply(dh, of_cand[t], out=d[:, 2 * n :])
+        np.multiply(dh, of_z[t], out=d[:, :n])
+        np.multiply(dc, of_r[t], out=d[:, n : 2 * n])
+        du[t, :, : 2 * n] = d[:, : 2 * n]
+        np.multiply(dc, r[t], out=du[t, :, 2 * n :])
+        dh *= z[t]
+        dh += du[t] @ across
+        dh *= reset[t]
+    slopes["u"] += before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+    _add_rows(slopes["x"], rows.ravel(), dx.reshape(-1, 3 * n))
+    return float(logp.sum()), slopes, h
+
+
 def train(net: Net, lex: Lexicon, codes: np.ndarray, rate: float = RATE) -> Net:
-    """One pass over a stream of documents by truncated backpropagation (Adam); the state is carried, and cleared after an end."""
-    lanes = int(np.clip(len(codes) // (20 * WINDOW), 1, 96))
-    steps = len(codes) // lanes
-    if not steps:
+    """One pass over a stream of documents by truncated backpropagation (Adam); the state is carried, and cleared after an end.
+
+    The stream is laid in lanes of one length, the last of which goes on with the stream's first tokens.
+    """
+    if not len(codes):
         return net
-    stream = codes[: lanes * steps].reshape(lanes, steps).T
+    lanes = int(np.clip(len(codes) // (UPDATES * WINDOW), 1, LANES))
+    steps = -(-len(codes) // lanes)
+    target = np.ascontiguousarray(np.resize(codes, lanes * steps).reshape(lanes, steps).T)
+    source = np.concatenate([np.full((1, lanes), -2), target[:-1]])
+    rows = _inputs(lex, source.ravel()).reshape(source.shape)
+    reset = (source != -2).astype(np.float32)[:, :, None]
     net = {k: v.copy() for k, v in net.items()}
     one, two = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
-    state, before = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, -2)
-    windows, n = range(0, steps, WINDOW), HIDDEN
+    h, windows = np.zeros((lanes, HIDDEN), np.float32), range(0, steps, WINDOW)
     for k, lo in enumerate(windows, 1):
-        target = stream[lo : lo + WINDOW]
-        source = np.concatenate([before[None], target[:-1]])
-        reset = (source != -2).astype(np.float32)[:, :, None]
-        rows = _inputs(lex, source)
-        x = net["x"][rows]
-        tape, h = [], state
-        for t in range(len(target)):
-            h = h * reset[t]
-            new, gates, cand, hu = _step(net, x[t], h)
-            tape.append((h, gates, cand, hu))
-            h = new
-        states = np.concatenate([g[:, :n] * (p - c) + c for p, g, c, _ in tape])
-        slopes = {k_: np.zeros_like(v) for k_, v in net.items()}
-        _, back = _outputs(net, lex, states, target.ravel(), slopes)
-        back = back.reshape(len(target), lanes, n)
-        dh, dx = np.zeros_like(state), np.zeros((len(target), lanes, 3 * n), np.float32)
-        for t in range(len(target) - 1, -1, -1):
-            p, gates, cand, hu = tape[t]
-            z, r = gates[:, :n], gates[:, n:]
-            dh = dh + back[t]
-            dcand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (p - cand) * z * (1 - z)
-            dr = dcand * hu * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dcand
-            du = np.concatenate([dz, dr, dcand * r], 1)
-            slopes["u"] += p.T @ du
-            dh = (dh * z + du @ net["u"].T) * reset[t]
-        np.add.at(slopes["x"], rows.ravel(), dx.reshape(-1, 3 * n))
-        state, before = h, target[-1]
-        scale = 1.0 / target.size
+        part = slice(lo, lo + WINDOW)
+        _, slopes, h = slopes_of(net, lex, rows[part], reset[part], target[part], h)
+        scale = np.float32(1 / target[part].size)
         step = rate * (1 - 0.9 * k / (len(windows) + 1))
         for name, g in slopes.items():
             g *= scale
@@ -277,12 +311,20 @@ def _unpack(flat: np.ndarray, like: Net) -> Net:
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for b in batches:
-        for lo, hi, buf, texts in W.slices(b.column(column), limit):
+        for lo, hi, buf, texts in W.slices(b.column(column)):
             yield b.slice(lo, hi - lo), W.lowered(buf), texts
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offs = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]], offs - offs[0]
+
+
 def count(texts: DataFrame) -> DataFrame:
     """``(h, c)``: how often each word occurs in ``texts (text)``; summed in the tasks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +333,7 @@ def count(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
         held, n = [], 0
-        for _, buf, bounds in _slices(batches, 0, W.SLICE_BYTES):
+        for _, buf, bounds in _slices(batches, 0):
             held.append(W.hashes(W.words(buf, bounds)))
             n += len(held[-1])
             if n > 3_000_000:
@@ -316,55 +358,77 @@ def _head(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(like >= bar) if bar is not None else counts.limit(0)
 
 
+def coded(rows: DataFrame, lex) -> DataFrame:
+    """``rows (id, held_out, row, h, text)`` with ``codes`` and the hashes ``rest`` of unknown words in place of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, buf, bounds in _slices(batches, 4):
+            codes, offs, h = _codes(lex.value, buf, bounds)
+            rest = codes[codes > -2] < 0
+            where = np.concatenate([[0], np.cumsum(W.per_text(rest, offs - np.arange(len(offs))))])
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v)) for o, v in ((offs, codes.astype(np.int32)), (where, h[rest]))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *lists], ["id", "held_out", "row", "h", "codes", "rest"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, held_out boolean, row long, h long, codes array<int>, rest array<long>")
+
+
+def _dealt(texts: DataFrame, tokens: int) -> DataFrame:
+    """``(round, stream, h, codes)`` for each of ``texts (id, h, codes)``; rows of one id and text are spread like any others."""
+    streams = max(1, -(-tokens // (ROUNDS * STREAM)))
+    again = settle(texts.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of"), F.col("h").alias("has"), "n"), "lm-again")
+    same = texts["id"].eqNullSafe(again["of"]) & (texts["h"] == again["has"])
+    once = texts.join(again, same, "left_anti").select("id", "h", "codes", F.lit(1).alias("copy"))
+    more = texts.join(again, same).groupBy("id", "h").agg(F.first("codes").alias("codes"), F.first("n").alias("n"))
+    more = more.select("id", "h", "codes", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    place = lambda seed, n: F.pmod(F.xxhash64("id", "h", "copy", F.lit(seed)), F.lit(n))
+    return once.union(more).select(place(1, ROUNDS).alias("round"), place(2, streams).alias("stream"), "h", "codes")
+
+
 def _round(texts: DataFrame, net: Net, lex) -> Net:
-    """Weights trained in every partition from the same start, averaged by tokens in two steps."""
+    """Weights trained on every stream of ``texts (stream, h, codes)`` from the same start, averaged by tokens in two steps."""
     start = texts.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tokens, parts, held = start.value, 0, [], 0
-
-        def learn() -> None:
-            nonlocal now, tokens, parts, held
-            if held:
-                now, tokens, parts, held = train(now, lex.value, np.concatenate(parts)), tokens + held, [], 0
-
-        for _, buf, bounds in _slices(batches, 0, W.SLICE_BYTES):
-            parts.append(_codes(lex.value, buf, bounds)[0])
-            held += len(parts[-1])
-            if held > 2_000_000:
-                learn()
-        learn()
-        if tokens:
-            flat = _pack(now)
-            blocks = [flat[k : k + _BLOCK] for k in range(0, len(flat), _BLOCK)]
-            part = TaskContext.get().partitionId() // 128
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int64()), pa.array([tokens] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float32()))], ["part", "block", "tokens", "values"])
+    def learn(table: pa.Table) -> pa.Table:
+        codes, offs = _lists(table.column("codes"))
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        lens = np.diff(offs)[order]
+        codes = codes[np.repeat(offs[:-1][order] - (np.cumsum(lens) - lens), lens) + np.arange(len(codes))]
+        flat = _pack(train(start.value, lex.value, codes.astype(np.int64)))
+        blocks = [flat[k : k + _BLOCK] for k in range(0, len(flat), _BLOCK)]
+        n = len(blocks)
+        own = int(table.column("stream")[0].as_py())
+        return pa.table({"part": pa.array([own // 128] * n), "from": pa.array([own] * n), "block": pa.array(range(n), pa.int64()), "tokens": pa.array([len(codes)] * n), "values": pa.array(blocks, pa.list_(pa.float32()))})
 
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("from")
         n = table.column("tokens").to_numpy()
         v = np.array([x.values.to_numpy() for x in table.column("values")], np.float64)
         avg = (v * (n / n.sum())[:, None]).sum(0).astype(np.float32)
-        return pa.table({"part": pa.array([0], pa.int64()), "block": pa.array([table.column("block")[0].as_py()], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()), "values": pa.array([avg], pa.list_(pa.float32()))})
+        first = lambda c: pa.array([table.column(c)[0].as_py()], pa.int64())
+        return pa.table({"part": pa.array([0], pa.int64()), "from": first("part"), "block": first("block"), "tokens": pa.array([int(n.sum())], pa.int64()), "values": pa.array([avg], pa.list_(pa.float32()))})
 
-    kinds = "part long, block long, tokens long, values array<float>"
-    got = texts.mapInArrow(run, kinds).groupBy("part", "block").applyInArrow(mean, kinds).groupBy("block").applyInArrow(mean, kinds)
+    kinds = "part long, from long, block long, tokens long, values array<float>"
+    got = texts.groupBy("stream").applyInArrow(learn, kinds).groupBy("part", "block").applyInArrow(mean, kinds).groupBy("block").applyInArrow(mean, kinds)
     blocks = sorted(((r["block"], r["values"]) for r in got.collect()), key=lambda x: x[0])  # the size of one network
     return _unpack(np.concatenate([np.array(v, np.float32) for _, v in blocks]), net) if blocks else net
 
 
-def fit(rows: DataFrame) -> tuple[Net, Lexicon, DataFrame]:
-    """Network and lexicon of ``rows (id, text)``, and the settled counts of all words."""
+def fit(rows: DataFrame) -> tuple[Net, Lexicon, DataFrame, DataFrame]:
+    """From ``rows (id, held_out, text)``: network and lexicon of those not held out, the settled counts of their words, and all rows as codes."""
     sc = rows.sparkSession.sparkContext
-    counts = settle(count(rows.select("text")), "lm-counts")
+    train_rows = rows.where("not held_out")
+    counts = settle(count(train_rows.select("text")), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = rows.count()
+    ends = train_rows.count()
     head = _head(counts, HEAD).toPandas().sort_values(["c", "h"], ascending=[False, True])
     lex = lexicon(head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), int(total[0]) + ends, int(total[1]) + (ends > 0), ends)
     net, shared = fresh(lex), sc.broadcast(lex)
-    turn = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))  # copies are dealt to all rounds
+    numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), "text")
+    codes = settle(coded(numbered, shared), "lm-codes")
+    dealt = _dealt(codes.where("not held_out").select("id", "h", "codes"), lex.tokens)
     for k in range(ROUNDS):
-        net = _round(rows.where(turn == k).select("text"), net, shared)
-    return net, lex, counts
+        net = _round(dealt.where(F.col("round") == k).select("stream", "h", "codes"), net, shared)
+    return net, lex, counts, codes
 
 
 def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2):
@@ -375,33 +439,30 @@ def held_out(id_col: str = "doc_id", parts: int = 7, part: int = 2):
 def score_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row, learning from those not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col).alias("held_out"))
-    net, lex, counts = fit(rows.where("not held_out"))
+    net, lex, counts, codes = fit(rows)
     held = rows.sparkSession.sparkContext.broadcast((net, lex))
-    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, lex = held.value
-        known = np.log10(lex.count + 1.0)
-        for b, buf, bounds in _slices(batches, 3, STEP_BYTES):
-            codes, offs, h = _codes(lex, buf, bounds)
-            words = codes[codes > -2]
-            cut = offs - np.arange(len(offs))
-            base = np.concatenate([[0.0], np.cumsum(np.where(words >= 0, known[np.maximum(words, 0)] if len(known) else 0.0, 0.0))])
-            rest = W.per_text(words < 0, cut)
-            where = np.concatenate([[0], np.cumsum(rest)])
-            arrays = [
-                pa.array(np.diff(offs)), pa.array(W.per_text(words >= 0, cut) + (lex.ends > 0)),
-                pa.array(base[cut[1:]] - base[cut[:-1]] + np.log10(lex.ends + 1.0)), pa.array(score(net, lex, codes, offs) / np.log(10)),
-                pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(h[words < 0])),
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], ["id", "held_out", "row", "n_tokens", "n_known", "base", "model", "rest"])
-
-    numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), "text")
-    scored = settle(numbered.mapInArrow(run, f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, model double, rest array<long>"), "lm-scored")
+        known = np.append(np.log10(lex.count + 1.0), [np.log10(lex.ends + 1.0), 0.0])  # by code: those of the end and of the rest come last
+        for b in batches:
+            all_codes, bounds = _lists(b.column(3))
+            lo = 0
+            while lo < b.num_rows:  # whole texts, about as many tokens as are scored in step
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + STEP_TOKENS, "right")) - 1)
+                codes, offs = all_codes[bounds[lo] : bounds[hi]].astype(np.int64), bounds[lo : hi + 1] - bounds[lo]
+                base = np.add.reduceat(known[codes], offs[:-1])
+                found = W.per_text(codes >= 0, offs) + (lex.ends > 0)
+                arrays = [pa.array(np.diff(offs)), pa.array(found), pa.array(base), pa.array(score(net, lex, codes, offs) / np.log(10))]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:3], *arrays], ["id", "held_out", "row", "n_tokens", "n_known", "base", "model"])
+                lo = hi
+
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = codes.select("id", "held_out", "row", "codes").mapInArrow(run, f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, model double")
     # The other words: none of them is frequent, so the join has no hot key.
-    tail = scored.select("row", F.explode("rest").alias("h")).join(counts, "h", "left")
+    tail = codes.select("row", F.explode("rest").alias("h")).join(counts, "h", "left")
     tail = tail.groupBy("row").agg(F.count("*").alias("n"), F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"))
-    out = scored.drop("rest").join(tail, "row", "left")
+    out = scored.join(tail, "row", "left")
     known, logs, n = (F.coalesce(c, F.lit(0)) for c in ("known", "logs", "n"))
     base = F.col("base") + logs - F.col("n_tokens") * float(np.log10(lex.tokens + lex.kinds + 1.0))
     model = F.col("model") + logs - n * float(np.log10(lex.rest_tokens + lex.rest_kinds + 1.0))

@@ -297,3 +297,22 @@ def test_shard_repeats_against_counts():
 
 def test_digest_of_nothing():
     assert fm_dedup._NO_WORDS == hashlib.sha256(b"").hexdigest()
+
+
+def test_slopes_through_time():
+    rng = np.random.default_rng(6)
+    counts = np.sort(rng.integers(1, 400, 2100))[::-1].astype(np.int64)
+    lex = gru_lm.lexicon(np.arange(2100) * 7919, counts, int(counts.sum()) + 500, 2300, 100)
+    net = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) * (k != "wb") for k, v in gru_lm.fresh(lex).items()}
+    target = rng.integers(0, 2048, (7, 3))
+    rows, reset = rng.integers(0, 40, (7, 3)), np.ones((7, 3, 1))
+    reset[4, 1] = 0  # a document ends within the window
+    h = rng.normal(size=(3, gru_lm.HIDDEN))
+    _, slopes, _ = gru_lm.slopes_of(net, lex, rows, reset, target, h)
+    for name, at in (("x", (rows[0, 0], 3)), ("x", (rows[2, 1], gru_lm.HIDDEN + 2)), ("x", (rows[5, 2], 2 * gru_lm.HIDDEN)), ("u", (1, 0)), ("u", (2, gru_lm.HIDDEN + 1)), ("u", (0, 2 * gru_lm.HIDDEN + 4))):
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = {k: v.copy() for k, v in net.items()}
+            moved[name][at] += step
+            ends.append(-gru_lm.slopes_of(moved, lex, rows, reset, target, h)[0])
+        assert slopes[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-7)
