@@ -41,7 +41,8 @@ HIDDEN, WINDOW = 24, 16
 ROUNDS, STREAM, LANES, UPDATES, RATE = 2, 3_000_000, 512, 366, 0.03
 #: Tokens that are scored in step.
 STEP_TOKENS = 1 << 20
-_BLOCK = 4096
+#: Weights of a row when networks are averaged; tasks of a round.
+_BLOCK, MOST_TASKS = 4096, 20_000
 
 
 class Lexicon(NamedTuple):
@@ -372,9 +373,8 @@ def coded(rows: DataFrame, lex) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, row long, h long, codes array<int>, rest array<long>")
 
 
-def _dealt(texts: DataFrame, tokens: int) -> DataFrame:
+def _dealt(texts: DataFrame, streams: int) -> DataFrame:
     """``(round, stream, h, codes)`` for each of ``texts (id, h, codes)``; rows of one id and text are spread like any others."""
-    streams = max(1, -(-tokens // (ROUNDS * STREAM)))
     again = settle(texts.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of"), F.col("h").alias("has"), "n"), "lm-again")
     same = texts["id"].eqNullSafe(again["of"]) & (texts["h"] == again["has"])
     once = texts.join(again, same, "left_anti").select("id", "h", "codes", F.lit(1).alias("copy"))
@@ -384,8 +384,8 @@ def _dealt(texts: DataFrame, tokens: int) -> DataFrame:
     return once.union(more).select(place(1, ROUNDS).alias("round"), place(2, streams).alias("stream"), "h", "codes")
 
 
-def _round(texts: DataFrame, net: Net, lex) -> Net:
-    """Weights trained on every stream of ``texts (stream, h, codes)`` from the same start, averaged by tokens in two steps."""
+def _round(texts: DataFrame, net: Net, lex, streams: int = 1) -> Net:
+    """Weights trained on each of the ``streams`` of ``texts (stream, h, codes)`` from the same start, averaged by tokens in two steps."""
     start = texts.sparkSession.sparkContext.broadcast(net)
 
     def learn(table: pa.Table) -> pa.Table:
@@ -408,7 +408,9 @@ def _round(texts: DataFrame, net: Net, lex) -> Net:
         return pa.table({"part": pa.array([0], pa.int64()), "from": first("part"), "block": first("block"), "tokens": pa.array([int(n.sum())], pa.int64()), "values": pa.array([avg], pa.list_(pa.float32()))})
 
     kinds = "part long, from long, block long, tokens long, values array<float>"
-    got = texts.groupBy("stream").applyInArrow(learn, kinds).groupBy("part", "block").applyInArrow(mean, kinds).groupBy("block").applyInArrow(mean, kinds)
+    # A stream is small for a shuffle and long for a task, so tasks are not to be joined by size.
+    dealt = texts.repartition(min(streams, MOST_TASKS), "stream")
+    got = dealt.groupBy("stream").applyInArrow(learn, kinds).groupBy("part", "block").applyInArrow(mean, kinds).groupBy("block").applyInArrow(mean, kinds)
     blocks = sorted(((r["block"], r["values"]) for r in got.collect()), key=lambda x: x[0])  # the size of one network
     return _unpack(np.concatenate([np.array(v, np.float32) for _, v in blocks]), net) if blocks else net
 
@@ -425,9 +427,10 @@ def fit(rows: DataFrame) -> tuple[Net, Lexicon, DataFrame, DataFrame]:
     net, shared = fresh(lex), sc.broadcast(lex)
     numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), "text")
     codes = settle(coded(numbered, shared), "lm-codes")
-    dealt = _dealt(codes.where("not held_out").select("id", "h", "codes"), lex.tokens)
+    streams = max(1, -(-lex.tokens // (ROUNDS * STREAM)))
+    dealt = _dealt(codes.where("not held_out").select("id", "h", "codes"), streams)
     for k in range(ROUNDS):
-        net = _round(dealt.where(F.col("round") == k).select("stream", "h", "codes"), net, shared)
+        net = _round(dealt.where(F.col("round") == k).select("stream", "h", "codes"), net, shared, streams)
     return net, lex, counts, codes
 
 
