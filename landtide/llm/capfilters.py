@@ -2,9 +2,11 @@
 
 Filter directions are a product code: a random rotation, two halves, ``codes``
 random unit vectors for each half; a direction is a pair of them. A vector's score
-in a direction is the sum of its halves' inner products, so all directions above a
-threshold are list-decoded from two sorted lists. Vectors that share a filter are
-compared in double precision, blocks of a filter's members at a time.
+in a direction is the sum of its halves' inner products, so the ``filters`` best
+directions are list-decoded from the best few of each half. Vectors that share a
+filter are compared in double precision, blocks of a filter's members at a time.
+How many filters a vector has follows from how many vectors there are: as many as
+pairs made up at the cosine itself need to share one with a chance of ``RECALL``.
 
 Equal vectors are one row with a multiplicity. A pair is counted in the first of
 the filters that both members have, found by a product of membership matrices, so
@@ -14,8 +16,10 @@ chunks meet in a cell of their own.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components have no links and are their own component, as have vectors of another
-dimension than all others; repeated rows of equal ids count as rows; a group of equal vectors without any id is named by a hash of them; other
-columns are not read.
+dimension than all others; repeated rows of equal ids count as rows; rows without
+an id link like any other but never name a component, and one of such rows alone
+has no name; vectors are equal if two 64-bit hashes of them are; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -30,12 +34,39 @@ from pyspark.sql import functions as F
 from landtide.llm.graph import components
 from landtide.llm.store import settle
 
-COSINE = 0.95
-#: Filters that a vector has on average, and at least; members of a filter on average; members compared in one piece.
-FILTERS, LEAST, MEMBERS, CELL = 10, 6, 128, 512
+COSINE, RECALL = 0.95, 0.99
+#: Filters of a vector at least, members of a filter on average, members compared in one piece.
+LEAST, MEMBERS, CELL = 10, 128, 512
 SEED = 5
 
 
+def codes_for(total: int, filters: int) -> int:
+    """Codes of a half such that filters have ``MEMBERS`` members on average."""
+    return max(8, int(np.ceil((total * filters / MEMBERS) ** 0.5)))
+
+
+def filters_for(dim: int, total: int, cosine: float = COSINE, recall: float = RECALL, pairs: int = 1024) -> int:
+    """The filters that a vector needs, by trial on made-up pairs of vectors at ``cosine``."""
+    rng = np.random.default_rng(SEED)
+    one, two = rng.normal(size=(2, pairs, dim))
+    one = _unit(one)
+    two -= (one * two).sum(1, keepdims=True) * one
+    size = np.linalg.norm(two, axis=1, keepdims=True)
+    two = cosine * one + (1 - cosine**2) ** 0.5 * two / np.where(size > 1e-9, size, 1.0)
+    filters = LEAST
+    while True:
+        codes = codes_for(total, filters)
+        parts = directions(dim, codes)
+        step = max(16, (1 << 22) // codes)
+        met = 0
+        for lo in range(0, pairs, step):
+            a, b = decode(one[lo : lo + step], parts, filters), decode(two[lo : lo + step], parts, filters)
+            met += int((a[:, :, None] == b[:, None]).any((1, 2)).sum())
+        if met >= recall * pairs or filters >= codes * codes:
+            return filters
+        filters = -(-filters * 6 // 5)
+
+
 def directions(dim: int, codes: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation and the unit vectors of both halves."""
     rng = np.random.default_rng(seed)
@@ -44,38 +75,28 @@ def directions(dim: int, codes: int, seed: int = SEED) -> tuple[np.ndarray, np.n
     return turn, one / np.maximum(np.linalg.norm(one, axis=1, keepdims=True), 1e-300), two / np.maximum(np.linalg.norm(two, axis=1, keepdims=True), 1e-300)
 
 
-def decode(x: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray], filters: int = FILTERS, least: int = LEAST) -> list[np.ndarray]:
-    """The filters of each unit vector: those whose score passes the threshold, and the best ``least`` in any case."""
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, best first, and where they are."""
+    at = np.argpartition(scores, -k, 1)[:, -k:] if k < scores.shape[1] else np.repeat(np.arange(k)[None], len(scores), 0)
+    top = np.take_along_axis(scores, at, 1)
+    order = np.argsort(-top, 1, kind="stable")
+    return np.take_along_axis(top, order, 1), np.take_along_axis(at, order, 1)
+
+
+def decode(x: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray], filters: int) -> np.ndarray:
+    """The ``filters`` directions of the best scores of each unit vector, in rising order; all, if there are fewer.
+
+    The sum of the i-th best of one half and the j-th best of the other has i * j - 1
+    sums that are no worse, so pairs of ranks beyond ``filters`` need not be looked at.
+    """
     turn, one, two = parts
-    y = x @ turn
-    a, b = y[:, : one.shape[1]] @ one.T, y[:, one.shape[1] :] @ two.T
-    # Scores are close to normal with variance 2 / dim: this share of the directions passes.
-    share = min(0.5, filters / (len(one) * len(two)))
-    bar = np.sqrt(2 / x.shape[1]) * _normal_tail(share)
-    low, at_a = np.sort(a, 1)[:, ::-1], np.argsort(-a, 1)
-    high, at_b = np.sort(b, 1)[:, ::-1], np.argsort(-b, 1)
-    out = []
-    for k in range(len(x)):
-        reach = np.searchsorted(-high[k], low[k] - bar, "right")  # for each vector of one half, how many of the other suffice
-        if reach.sum() < least:
-            top = min(least, len(one)), min(least, len(two))  # the best sums lie in this corner
-            s = low[k, : top[0], None] + high[k, None, : top[1]]
-            i, j = np.unravel_index(np.argsort(-s, axis=None)[:least], s.shape)
-        else:
-            i = np.repeat(np.arange(len(reach)), reach)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
-        out.append(np.sort(at_a[k, i].astype(np.int64) * len(two) + at_b[k, j]))
-    return out
-
-
-def _normal_tail(share: float) -> float:
-    lo, hi = 0.0, 9.0
-    from math import erfc, sqrt
-
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if erfc(mid / sqrt(2)) / 2 > share else (lo, mid)
-    return lo
+    y = (x @ turn).astype(np.float32)
+    filters = min(filters, len(one) * len(two))
+    low, at_a = _best(y[:, : one.shape[1]] @ one.T.astype(np.float32), min(filters, len(one)))
+    high, at_b = _best(y[:, one.shape[1] :] @ two.T.astype(np.float32), min(filters, len(two)))
+    i, j = np.nonzero(np.outer(np.arange(1, low.shape[1] + 1), np.arange(1, high.shape[1] + 1)) <= filters)
+    _, at = _best(low[:, i] + high[:, j], filters)
+    return np.sort(np.take_along_axis(at_a, i[at], 1) * len(two) + np.take_along_axis(at_b, j[at], 1), 1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -93,16 +114,14 @@ def _block(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.n
     node = table.column("node").to_numpy()
     mult = table.column("mult").to_numpy()
     side = table.column("side").to_numpy()
-    own = table.column("filter").to_numpy()[0]
-    lists = table.column("filters").combine_chunks()
+    lists = table.column("earlier").combine_chunks()
     x = _unit(_matrix(table.column("vector").combine_chunks()))
     n = len(node)
     owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
     values = lists.flatten().to_numpy()
-    early = values < own
-    distinct, inverse = np.unique(values[early], return_inverse=True)
+    distinct, inverse = np.unique(values, return_inverse=True)
     has = np.zeros((n, max(1, len(distinct))), np.float32)
-    has[owner[early], inverse] = 1
+    has[owner, inverse] = 1
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
     if table.column("across")[0].as_py():  # two chunks: only pairs across them
@@ -123,29 +142,30 @@ def _block(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.n
 
 def links(reps: DataFrame, dim: int, total: int, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """From ``reps (node, mult, vector)``: rows ``(node, n, other)``, either ``n`` more links of a node or an edge to ``other``."""
-    codes = int(np.clip(2 ** np.ceil(np.log2(max(1.0, total * FILTERS / MEMBERS) ** 0.5)), 8, 4096))
-
+    filters = filters_for(dim, total, cosine)
+    codes = codes_for(total, filters)
     kind = reps.schema["vector"].dataType.simpleString()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = directions(dim, codes)
+        parts, step = directions(dim, codes), max(16, (1 << 22) // codes)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                s = b.slice(lo, 1024)
-                found = [x.astype(np.int32) for x in decode(_unit(_matrix(s.column(2))), parts)]
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(found, pa.list_(pa.int32()))], ["node", "mult", "vector", "filters"])
-
-    each = settle(reps.mapInArrow(listed, f"node long, mult long, vector {kind}, filters array<int>"), "caps-filters")
-    each = each.withColumn("filter", F.explode("filters"))
-    large = each.groupBy("filter").count().where(F.col("count") > cell).select("filter", F.ceil(F.col("count") / cell).cast("int").alias("chunks"))
-    rest = each.join(large, "filter", "left_anti").withColumn("cell", F.col("filter")).withColumn("side", F.lit(0)).withColumn("across", F.lit(False))
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    split = each.join(large, "filter").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            for lo in range(0, b.num_rows, step):
+                s = b.slice(lo, step)
+                found = decode(_unit(_matrix(s.column(2))), parts, filters)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*s.columns, lists], ["node", "mult", "vector", "filters"])
+
+    listed_rows = settle(reps.mapInArrow(listed, f"node long, mult long, vector {kind}, filters array<long>"), "caps-filters")
+    # The count of a filter's members needs the filters alone; what is over the limit is written, so Spark knows its size.
+    large = listed_rows.select(F.explode("filters").alias("filter")).groupBy("filter").count().where(F.col("count") > cell)
+    large = settle(large.select("filter", F.ceil(F.col("count") / cell).cast("int").alias("chunks")), "caps-large")
+    each = listed_rows.select("node", "mult", "vector", "filters", F.posexplode("filters").alias("k", "filter"))
+    each = each.select("node", "mult", "vector", F.slice("filters", 1, F.col("k")).alias("earlier"), "filter").join(large, "filter", "left")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    split = each.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     # A chunk also meets itself; cells of two chunks hold only pairs across them.
     split = split.withColumn("cell", F.xxhash64("filter", F.least("side", "other"), F.greatest("side", "other")))
-    split = split.withColumn("across", F.col("side") != F.col("other"))
-    columns = ("cell", "filter", "side", "across", "node", "mult", "vector", "filters")
-    cells = rest.select(*columns).unionByName(split.select(*columns))
+    cells = split.select("cell", "side", (F.col("side") != F.col("other")).alias("across"), "node", "mult", "vector", "earlier")
 
     def run(table: pa.Table) -> pa.Table:
         a, n, u, v = _block(table, cosine)
@@ -161,12 +181,11 @@ def groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    rows = rows.withColumn("key", F.when(sound, F.xxhash64("vector")))
-    # Members of a hash are told apart by the vector itself; its first digest only spreads the rows.
-    rows = settle(rows, "caps-rows")
+    key = F.struct(F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(SEED), "vector").alias("k2"))
+    rows = settle(rows.select("id", F.when(sound, F.col("vector")).alias("vector"), F.when(sound, key).alias("key")), "caps-rows")
     shape = rows.where("key is not null").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
-    reps = rows.where("key is not null").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("mult"))
-    reps = settle(reps.withColumn("node", F.coalesce("least", F.xxhash64("vector"))), "caps-reps")
+    reps = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("mult"), F.first("vector").alias("vector"))
+    reps = settle(reps.withColumn("node", F.monotonically_increasing_id()), "caps-reps")
     found = None
     for r in shape:  # one pass for each dimension in the table
         part = links(reps.where(F.size("vector") == r["dim"]).select("node", "mult", "vector"), r["dim"], r["count"], cosine)
@@ -175,8 +194,12 @@ def groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     found = settle(found, "caps-found")
     counts = found.where("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
-    names = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "caps-links")
-    of = reps.join(counts, "node", "left").join(names, "node", "left")
-    of = of.select("vector", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(of.withColumnRenamed("vector", "of"), F.col("vector").eqNullSafe(F.col("of")) & F.col("key").isNotNull(), "left")
+    linked = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "caps-links")
+    # A component is named by the smallest id of its rows; those without an id have no say in it.
+    linked = settle(linked.join(reps.select("node", "least"), "node"), "caps-linked")
+    names = linked.groupBy("component").agg(F.min("least").alias("name"))
+    names = linked.join(names, "component").select("node", "name")
+    of = reps.select("key", "node", "mult", "least").join(counts, "node", "left").join(names, "node", "left")
+    of = of.select(F.col("key").alias("of"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("component"))
+    out = rows.select("id", "key").join(of, F.col("key") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

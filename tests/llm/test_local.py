@@ -277,12 +277,23 @@ def test_list_decoding_finds_all_filters_above_the_bar():
     parts = capfilters.directions(16, 16)
     y = x @ parts[0]
     scores = (y[:, :8] @ parts[1].T)[:, :, None] + (y[:, 8:] @ parts[2].T)[:, None]
-    bar = np.sqrt(2 / 16) * capfilters._normal_tail(10 / 256)
-    for k, got in enumerate(capfilters.decode(x, parts, 10, 4)):
-        want = np.flatnonzero(scores[k].ravel() >= bar)
-        if len(want) < 4:
-            want = np.sort(np.argsort(-scores[k].ravel())[:4])
-        assert got.tolist() == want.tolist()
+    for filters in (1, 10, 40, 256, 999):
+        for k, got in enumerate(capfilters.decode(x, parts, filters)):
+            assert got.tolist() == np.sort(np.argsort(-scores[k].ravel())[:filters]).tolist()
+
+
+@pytest.mark.parametrize("total", [50_000, 10**6, 10**9])
+def test_planted_pairs_share_filters_whatever_the_size(total):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 600, 64))
+    a = capfilters._unit(a)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + (1 - 0.95**2) ** 0.5 * capfilters._unit(b)
+    filters = capfilters.filters_for(64, total)
+    codes = capfilters.codes_for(total, filters)
+    parts = capfilters.directions(64, codes, seed=99)
+    met = sum(bool(set(x) & set(y)) for lo in range(0, 600, 200) for x, y in zip(*(capfilters.decode(v[lo : lo + 200], parts, filters).tolist() for v in (a, b))))
+    assert met >= 0.97 * 600 and codes * codes * capfilters.MEMBERS >= total * filters
 
 
 def test_shard_repeats_against_counts():

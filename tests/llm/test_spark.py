@@ -281,6 +281,30 @@ def test_vectors_against_all_pairs(spark):
     assert capfilters.groups(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids_name_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 64))
+    rows = [(11 + k, v.tolist()) for k, v in enumerate(x)] + [(None, (v + 0.01 * rng.normal(size=64)).tolist()) for v in x] + [(None, rng.normal(size=64).tolist())]
+    got = rows_of(capfilters.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [r for r in got if r[0] is not None] == [(11 + k, 1, 11 + k) for k in range(6)]
+    assert sorted((r[1:] for r in got if r[0] is None), key=repr) == sorted([(1, 11 + k) for k in range(6)] + [(0, None)], key=repr)
+
+
+def test_planted_pairs_of_a_table_are_found(spark, sf_dir):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rng = np.random.default_rng(17)
+    far = 10**9
+    near = []
+    for r in rows.limit(400).collect():
+        v = capfilters._unit(np.array(r["embedding"], np.float64)[None])[0]
+        w = rng.normal(size=64)
+        w -= (w @ v) * v
+        near.append((far + r["vec_id"], (0.951 * v + (1 - 0.951**2) ** 0.5 * w / np.linalg.norm(w)).astype(np.float32).tolist()))
+    both = rows.union(spark.createDataFrame(near, rows.schema))
+    found = capfilters.groups(both).where(F.col("vec_id") >= far)
+    assert found.where((F.col("n_links") == 1) & (F.col("component_id") == F.col("vec_id") - far)).count() >= 0.97 * 400
+
+
 def test_url_rules(spark):
     urls = [None, "", "foo", "HTTP://WWW.Example.COM/en/7?x", "a://example.com?x/y", "x://y#z", "http://a.com/en/\nfoo#b", "http://É.com/en/a://b", "http://com/en/", "http://xcom/en/", "http://a.example.net/de/81"]
     df = spark.createDataFrame([(k, u, "x", k) for k, u in enumerate([*urls, urls[3]])], "page_id long, url string, host string, score int")
@@ -456,7 +480,7 @@ def test_long_texts_teach_the_field(spark, monkeypatch):
 def test_language_model_trains_on_every_text(spark, monkeypatch):
     seen = []
 
-    def noted(texts, net, lex):
+    def noted(texts, net, lex, streams):
         seen.extend(tuple(r["codes"]) for r in texts.collect())
         return net
 
@@ -465,9 +489,9 @@ def test_language_model_trains_on_every_text(spark, monkeypatch):
     texts = [(k, f"text {k}") for k in range(200)] + [(k, "copy") for k in range(200, 250)] + [(None, "copy")] * 50 + [(7, "copy")] * 9
     lex, codes = gru_lm.fit(spark.createDataFrame(texts, "id long, text string").withColumn("held_out", F.lit(False)))[1::2]
     assert len(seen) == len(texts) and max(Counter(seen).values()) == 109
-    assert sorted(seen) == sorted(tuple(r["codes"]) for r in codes.collect()) and lex.tokens == 718
-    streams = gru_lm._dealt(codes.select("id", "h", "codes"), lex.tokens).groupBy("round", "stream").count().collect()
-    assert len(streams) == 8 and max(r["count"] for r in streams) < 80  # the many copies of one row are spread, too
+    assert sorted(seen) == sorted(tuple(r["codes"]) for r in codes.collect()) and lex.tokens == 818
+    streams = gru_lm._dealt(codes.select("id", "h", "codes"), 5).groupBy("round", "stream").count().collect()
+    assert len(streams) == 10 and max(r["count"] for r in streams) < 80  # the many copies of one row are spread, too
 
 
 def test_language_model_does_not_depend_on_partitions(spark, docs, monkeypatch):
