@@ -97,6 +97,13 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def sized_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text in ``column``; a longer text is a batch of its own."""
+    for b in batches:
+        for lo, hi, _, _ in slices(b.column(column), limit):
+            yield b.slice(lo, hi - lo)
+
+
 def string_batches(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``."""
     for b in batches:
