@@ -8,7 +8,10 @@ row a word, one merge a row and round. Very long words use a heap. What no piece
 covers falls back to byte pieces, or the unknown piece where there are none.
 
 Every word is held against the sentencepiece library in the Arrow batch that
-first has it, and counts as the library has it should they ever differ.
+first has it. Should they ever differ it counts as the library has it, and each
+text tells how many of its words do (``n_overruled``). One text of every batch is
+also held against the library as a whole; there a difference ends the job, as it
+does from the start for a model that normalises its texts.
 
 Defined results: a null text is empty and gives begin and end only; repeated rows
 and ids are coded row by row; texts are coded whole; other columns are not read.
@@ -81,6 +84,8 @@ class Codec:
         n = sp.get_piece_size()
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
         plain = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+        if sp.normalize("\ufb01  \u2460\uff21") != "\u2581\ufb01\u2581\u2581\u2460\uff21":
+            raise ValueError("the model normalises texts beyond a leading word start")
         if any(SPACE in p.lstrip(SPACE) for p in plain):
             raise ValueError("pieces run over word starts: this vocabulary needs whole-text agendas")
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
@@ -103,6 +108,7 @@ class Codec:
         self.known: dict[str, int] = {}
         self.flat, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.overruled = np.zeros(1 << 14, bool)
 
     def _finish(self, word: str, ids: list[int]) -> list[int]:
         """Symbols without an id of their own become bytes."""
@@ -220,8 +226,8 @@ class Codec:
             flat[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return lens, flat
 
-    def _checked(self, batch: list[str], lens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same, with the library's ids for words that it codes otherwise.
+    def _checked(self, batch: list[str], lens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, with the library's ids for words that it codes otherwise, and which these are.
 
         The library puts a word start before every text; a word that has none is
         coded behind a line feed, which never merges, and stripped of both.
@@ -235,31 +241,34 @@ class Codec:
             expected[batch.index(SPACE)] = [self.symbols[SPACE]] if self.symbols.get(SPACE, -1) in range(self.pieces) else [self.unk]
         flat = np.fromiter((x for p in expected for x in p), np.int32, sum(map(len, expected)))
         if np.array_equal(flat, ids):
-            return lens, ids
-        return np.fromiter(map(len, expected), np.int64, len(expected)), flat
+            return lens, ids, np.zeros(len(batch), bool)
+        cuts = np.cumsum(lens)[:-1]
+        differs = np.array([own.tolist() != theirs for own, theirs in zip(np.split(ids, cuts), expected)])
+        return np.fromiter(map(len, expected), np.int64, len(expected)), flat, differs
 
     def _learn(self, fresh: list[str]) -> None:
-        lens, ids = self._checked(fresh, *self.merge(fresh))
+        lens, ids, differs = self._checked(fresh, *self.merge(fresh))
         first, total = len(self.known), len(ids)
         while len(self.begin) < first + len(fresh):
-            self.begin, self.length = np.concatenate([self.begin, self.begin]), np.concatenate([self.length, self.length])
+            self.begin, self.length, self.overruled = (np.concatenate([x, x]) for x in (self.begin, self.length, self.overruled))
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, self.flat])
         self.flat[self.used : self.used + total] = ids
         self.begin[first : first + len(fresh)] = self.used + np.cumsum(lens) - lens
         self.length[first : first + len(fresh)] = lens
+        self.overruled[first : first + len(fresh)] = differs
         self.used += total
         self.known.update(zip(fresh, range(first, first + len(fresh))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with begin and end."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text with begin and end, and how many of its words the library has otherwise."""
         parts = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBER:
             self._reset()
         fresh = list({w for p in parts for w in p if w not in self.known})
         if fresh:
             self._learn(fresh)
-        out = []
+        out, overruled = [], []
         for p in parts:
             at = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
             lens = self.length[at]
@@ -268,14 +277,19 @@ class Codec:
             ids[0], ids[-1] = self.bos, self.eos
             ids[1:-1] = self.flat[np.repeat(self.begin[at] - (np.cumsum(lens) - lens), lens) + np.arange(total)]
             out.append(ids)
-        return out
+            overruled.append(int(self.overruled[at].sum()))
+        if texts:
+            k = min(range(len(texts)), key=lambda k: abs(len(texts[k]) - 3000))
+            if out[k].tolist() != self.library.encode(texts[k], add_bos=True, add_eos=True, num_threads=1):
+                raise RuntimeError(f"a text of {len(texts[k])} characters is coded otherwise by the library")
+        return out, overruled
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row a text: ``(id, n_tokens, ids, decoded)``, or with ``digests`` the SHA-256 of ids and decoded text.
+    """One row a text: ``(id, n_tokens, ids, decoded, n_overruled)``, with ``digests`` the SHA-256 of ids and decoded text in their place.
 
     The model file is read by the driver and broadcast; its size does not depend on the data.
     """
@@ -283,9 +297,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
-        for b in W.string_batches(batches, 256):
+        for b in W.sized_batches(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            own = codec.encode(texts)
+            own, overruled = codec.encode(texts)
             ids = [x.tolist() for x in own]
             decoded = codec.decode(ids)
             first = [b.column(0), pa.array([len(x) for x in own], pa.int64())]
@@ -293,10 +307,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 last = [pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])]
             else:
                 last = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*first, *last], names)
+            yield pa.RecordBatch.from_arrays([*first, *last, pa.array(overruled, pa.int64())], names)
 
-    names = ["id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
+    names = ["id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]), "n_overruled"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, {last}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, {last}, n_overruled long").withColumnRenamed("id", id_col)

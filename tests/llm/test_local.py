@@ -107,7 +107,7 @@ def test_bit_sliced_groups(radius):
 
 def test_tables_meet_every_link():
     rng = random.Random(2)
-    masks = simhash._tables(simhash.BLOCKS, simhash.RADIUS)
+    masks = simhash._tables(simhash.blocks_for(0), simhash.RADIUS)
     for _ in range(500):
         x = rng.getrandbits(64)
         y = x ^ sum(1 << b for b in rng.sample(range(64), simhash.RADIUS))
@@ -138,7 +138,7 @@ def test_agenda_equals_the_library(codec):
     words = list({w for t in texts for w in codec.split(pieces.SPACE + t.replace(" ", pieces.SPACE))})
     lens, flat = codec.merge(words)
     assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [codec.agenda(w) for w in words]
-    ids = [x.tolist() for x in codec.encode(texts)]
+    ids = [x.tolist() for x in codec.encode(texts)[0]]
     assert ids == codec.library.encode(texts, add_bos=True, add_eos=True)
     assert codec.decode(ids) == [codec.library.decode(x) for x in ids]
 
@@ -327,3 +327,32 @@ def test_slopes_through_time():
             moved[name][at] += step
             ends.append(-gru_lm.slopes_of(moved, lex, rows, reset, target, h)[0])
         assert slopes[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+def test_slopes_of_the_field():
+    rng = np.random.default_rng(8)
+    weights, moves = rng.normal(size=(int(crf_secrets.OFFSETS[-1]), 3)), rng.normal(size=(3, 3))
+    parts = []
+    for n in (1, 4, 7):
+        codes = rng.integers(0, crf_secrets.SHAPES * crf_secrets.ROLES * crf_secrets.MARKS, n)
+        parts.append((crf_secrets.features(codes, np.array([0, n])), np.array([0, 1, 2, 2, 0, 1, 0])[:n]))
+    value, slope, move = crf_secrets.gradient(weights, moves, parts)
+    for part, tags in parts:  # all paths of a part have a chance of one together
+        paths = [p for p in itertools.product(range(3), repeat=len(part)) if p[0] != 2 and (0, 2) not in zip(p, p[1:])]
+        assert sum(math.exp(crf_secrets.gradient(weights, moves, [(part, np.array(p))])[0]) for p in paths) == pytest.approx(1)
+    at = parts[2][0][3, 5]
+    for name, own, key in (("w", slope, (at, 2)), ("m", move, (1, 2)), ("m", move, (0, 1))):
+        ends = []
+        for step in (1e-5, -1e-5):
+            w, m = weights.copy(), moves.copy()
+            (w if name == "w" else m)[key] += step
+            ends.append(crf_secrets.gradient(w, m, parts)[0])
+        assert own[key] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-5)
+
+
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**10, 10**12)] == [6, 6, 6, 7, 8]
+    pair = (0x0123456789ABCDEF, 0x0123456789ABCDEF ^ (1 | 1 << 20 | 1 << 40 | 1 << 63))
+    for blocks in (6, 7, 8):
+        masks = simhash._tables(blocks, simhash.RADIUS)
+        assert any(pair[0] & m == pair[1] & m for m in masks) and all(m.bit_count() >= 64 * (blocks - 4) // blocks - 2 for m in masks)
