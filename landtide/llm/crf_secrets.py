@@ -2,14 +2,16 @@
 
 Words of a text are tagged as secret begin, inside or outside. Features of a word
 are its shape (kinds of characters, length, how mixed they are), the kinds of the
-two words before and of the one after (credential names, assignment signs), and
-one of the whole text (whether it has credential names). The weights are fitted
-by gradient ascent on the likelihood of a bounded sample of texts, in which what
-the patterns find are the labels; each labelled place is also given a made-up
-secret of mixed letters and digits, with and without the name before it, so that
-shapes count beyond what the sample happens to hold. Viterbi
-decoding runs over many texts in step. A decoded span is kept if it touches no
-span of the patterns.
+two words before and of the one after (credential names, assignment signs), whether
+it opens or closes a quotation, and one of the whole text (whether it has
+credential names, and how many signs). The weights are fitted by gradient ascent on
+the likelihood of a bounded sample of texts, in which what the patterns find are the
+labels, at most ``PLACES`` of a text; each such place, and one more of every text,
+is also given made-up secrets: of mixed letters and digits, with and without the
+name before them; such secrets over several words, like keys in lines; and phrases
+in quotation marks behind a name and a sign, beside phrases without these, which are
+none. A step looks at ``BATCH`` sequences. Viterbi decoding runs over many texts in
+step. Words of a decoded span that touch no span of the patterns are kept.
 
 Defined results: a null text is empty and has no spans; repeated rows and ids are
 scanned row by row; whole texts are scanned; other columns are not read.
@@ -31,6 +33,8 @@ from landtide.llm.samples import smallest
 
 #: Texts with and without pattern spans that the model is fitted on.
 SAMPLE_WITH, SAMPLE_WITHOUT = 400, 200
+#: Labelled places of a sampled text that are learned from, words on each side of a place, sequences of a step, steps.
+PLACES, AROUND, BATCH, STEPS = 8, 12, 200, 120
 KINDS = ("assign", "access", "hex", "crf")
 MASK = "[SECRET]"
 
@@ -61,8 +65,16 @@ _EDGE = b"\"'`.,;:!?()[]{}<>|#*$%&"
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+[.,;:!?]*")
 _KEY = re.compile(rb"(?i)(pass|pwd|secret|token|key|credential|auth|bearer)")
 _SIGN = re.compile(rb"[^A-Za-z0-9\x80-\xff]*[:=][^A-Za-z0-9\x80-\xff]*")
+_QUOTES = b"\"'`"
 #: Shape classes: 0 plain word, 1 sign, 2 number-like, 3 short mixed, 4 long hex, 5 long mixed of three kinds, 6 long mixed of two kinds, 7 long of one kind, 8 address-like.
-SHAPES, ROLES = 9, 4
+#: Roles for neighbours: 0 none, 1 credential name, 2 sign, 3 ends with a sign. Marks: opens a quotation (1), closes one (2).
+SHAPES, ROLES, MARKS, FILES = 9, 4, 4, 6
+
+
+def code(word: bytes) -> int:
+    """Shape class, role and marks of a word as one number."""
+    core = word.rstrip(b".,;:!?)]}")
+    return shape(word) * MARKS + (word.lstrip(b"([{")[:1] in _QUOTES and len(core) > 1) + 2 * (core[-1:] in _QUOTES and len(core) > 1)
 
 
 def shape(word: bytes) -> int:
@@ -87,31 +99,39 @@ def shape(word: bytes) -> int:
 
 
 class Shapes(dict):
-    """Word to shape class; forgets all once it holds too many words."""
+    """Word to code; forgets all once it holds too many words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        got = self[word] = shape(word)
+        got = self[word] = code(word)
         return got
 
 
-#: Feature blocks: own shape, roles of the two words before and of the next, names in the text, all with the tag; own shape with the roles before.
-SIZES = (SHAPES, ROLES, ROLES, ROLES, 2, SHAPES * ROLES * ROLES)
+#: Feature blocks: own shape, roles of the two words before and of the next, the text, own shape with the roles before, own marks with the role before, own shape with the marks of the word before.
+SIZES = (SHAPES, ROLES, ROLES, ROLES, FILES, SHAPES * ROLES * ROLES, MARKS * ROLES, SHAPES * MARKS)
 OFFSETS = np.cumsum((0, *SIZES))
 
 
-def features(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Six feature numbers for each word of texts bounded by ``offs``."""
+def of_files(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The feature of each text: no signs, few, or over one in fifty words, without and with credential names."""
+    role = codes // MARKS % ROLES
+    signs, names, n = W.per_text(role >= 2, offs), W.per_text(role == 1, offs), np.diff(offs)
+    return (signs > 0).astype(np.int64) + (50 * signs > n) + 3 * (names > 0)
+
+
+def features(codes: np.ndarray, offs: np.ndarray, files: np.ndarray | None = None) -> np.ndarray:
+    """Eight feature numbers for each word of texts bounded by ``offs``; ``files`` are features of texts that these are parts of."""
     n = len(codes)
-    own, role = codes // ROLES, codes % ROLES
+    own, role, mark = codes // (MARKS * ROLES), codes // MARKS % ROLES, codes % MARKS
     text = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    before, before2, after = np.zeros((3, n), np.int64)
-    before[1:] = np.where(text[1:] == text[:-1], role[:-1], 0)
-    before2[2:] = np.where(text[2:] == text[:-2], role[:-2], 0)
-    after[:-1] = np.where(text[1:] == text[:-1], role[1:], 0)
-    named = W.per_text(role == 1, offs) > 0
-    return np.stack([own, OFFSETS[1] + before, OFFSETS[2] + before2, OFFSETS[3] + after, OFFSETS[4] + named[text], OFFSETS[5] + (own * ROLES + before) * ROLES + before2], 1)
+    before, before2, after, marked = np.zeros((4, n), np.int64)
+    same = text[1:] == text[:-1]
+    before[1:], marked[1:], after[:-1] = role[:-1] * same, mark[:-1] * same, role[1:] * same
+    before2[2:] = role[:-2] * (text[2:] == text[:-2])
+    files = of_files(codes, offs) if files is None else files
+    blocks = (own, before, before2, after, files[text], (own * ROLES + before) * ROLES + before2, mark * ROLES + before, own * MARKS + marked)
+    return np.stack([o + x for o, x in zip(OFFSETS, blocks)], 1)
 
 
 # ---------------------------------------------------------------------------------------------- the field
@@ -163,79 +183,108 @@ def viterbi(emit: np.ndarray, moves: np.ndarray, offs: np.ndarray) -> np.ndarray
     return tags
 
 
-def _gradient(weights: np.ndarray, moves: np.ndarray, feats: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood of one text's tags, and its slopes."""
-    n = len(feats)
-    emit, full = weights[feats].sum(1), moves + _FORBID
-    emit[0, 2] -= 1e4
-    alpha, beta = np.zeros((n, 3)), np.zeros((n, 3))
-    alpha[0] = emit[0]
-    for t in range(1, n):
-        x = alpha[t - 1][:, None] + full
-        top = x.max(0)
-        alpha[t] = top + np.log(np.exp(x - top).sum(0)) + emit[t]
-    for t in range(n - 2, -1, -1):
-        x = full + (emit[t + 1] + beta[t + 1])[None]
-        top = x.max(1)
-        beta[t] = top + np.log(np.exp(x - top[:, None]).sum(1))
-    top = alpha[-1].max()
-    total = top + np.log(np.exp(alpha[-1] - top).sum())
-    own = np.exp(alpha + beta - total)
-    pair = np.exp(alpha[:-1, :, None] + full[None] + (emit[1:] + beta[1:])[:, None, :] - total)
-    hot = np.eye(3)[tags]
-    slope = np.zeros_like(weights)
-    np.add.at(slope, feats.ravel(), np.repeat(hot - own, feats.shape[1], axis=0))
-    move = -pair.sum(0)
-    np.add.at(move, (tags[:-1], tags[1:]), 1.0)
-    value = emit[np.arange(n), tags].sum() + full[tags[:-1], tags[1:]].sum() - total
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return top.squeeze(axis) + np.log(np.exp(x - top).sum(axis))
+
+
+def gradient(weights: np.ndarray, moves: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of the tags of all ``parts (features, tags)``, and its slopes; forward and backward run over all parts in step."""
+    lens = np.array([len(t) for _, t in parts])
+    inside = np.arange(lens.max()) < lens[:, None]
+    feats, tags = np.zeros((*inside.shape, len(SIZES)), np.int64), np.zeros(inside.shape, np.int64)
+    feats[inside], tags[inside] = np.concatenate([f for f, _ in parts]), np.concatenate([t for _, t in parts])
+    emit, full = weights[feats].sum(2), moves + _FORBID
+    emit[:, 0, 2] -= 1e4
+    alpha, beta = np.empty(emit.shape), np.zeros(emit.shape)
+    alpha[:, 0] = emit[:, 0]
+    for t in range(1, emit.shape[1]):
+        alpha[:, t] = np.where(inside[:, t, None], _lse(alpha[:, t - 1, :, None] + full, 1) + emit[:, t], alpha[:, t - 1])
+    for t in range(emit.shape[1] - 2, -1, -1):
+        beta[:, t] = np.where(inside[:, t + 1, None], _lse(full + (emit[:, t + 1] + beta[:, t + 1])[:, None], 2), 0)
+    total = _lse(alpha[:, -1], 1)
+    own = np.exp(alpha + beta - total[:, None, None])[inside]
+    follow = inside[:, 1:]
+    pair = np.exp(alpha[:, :-1, :, None] + full + (emit + beta)[:, 1:, None] - total[:, None, None, None])[follow]
+    slope, move = np.zeros_like(weights), -pair.sum(0)
+    np.add.at(slope, feats[inside].ravel(), np.repeat(np.eye(3)[tags[inside]] - own, len(SIZES), axis=0))
+    before, after = tags[:, :-1][follow], tags[:, 1:][follow]
+    np.add.at(move, (before, after), 1.0)
+    value = np.take_along_axis(emit, tags[:, :, None], 2)[inside].sum() + full[before, after].sum() - total.sum()
     return float(value), slope, move
 
 
 def _labels(text: str) -> tuple[list[bytes], np.ndarray]:
-    """Words of a text and their tags by the patterns' values."""
-    ws, tags, spans = [], [], base_spans(text)
-    values = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, b, k in spans if k]
+    """Words of a text and their tags by the patterns' values: 1 for the first word of a value, 2 for its others."""
+    ws, tags = [], []
+    values = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, b, k in base_spans(text) if k]
     for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
         ws.append(m[0].encode())
-        tags.append(int(any(a < m.end() and b > m.start() for a, b in values)))
+        touched = [a for a, b in values if a < m.end() and b > m.start()]
+        tags.append(0 if not touched else 1 if any(a >= m.start() for a in touched) else 2)
     return ws, np.array(tags, np.int64)
 
 
 _LETTERS = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "0123456789")
-
-
-def fit(texts: list[str], rounds: int = 60, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+_CREDENTIALS = [b"passphrase", b"password", b"secret", b"api_key", b"token", b"credentials", b"PASSWORD", b"auth_key"]
+Sequence = tuple[list[bytes], list[int]]
+
+
+def made_up(rng: np.random.Generator, plain: list[bytes]) -> tuple[list[Sequence], list[Sequence]]:
+    """Secrets of several makes, as words with tags, and quoted words that are none; ``plain`` are words to make phrases of."""
+    token = lambda lo, hi: "".join(rng.choice(_LETTERS, int(rng.integers(lo, hi)))).encode()
+    some = lambda lo, hi: [plain[int(k)] for k in rng.integers(len(plain), size=int(rng.integers(lo, hi)))]
+    quote = (b'"', b"'")[int(rng.integers(2))]
+    name = _CREDENTIALS[int(rng.integers(len(_CREDENTIALS)))]
+    lead = [name + b":"] if rng.integers(2) else [name, b"="]
+    one, many = [token(18, 44)], [token(20, 65) for _ in range(int(rng.integers(2, 6)))]
+    phrase = some(3, 7)
+    quoted = [quote + phrase[0], *phrase[1:-1], phrase[-1] + quote]
+    other = some(1, 3) + [quote + phrase[0], *phrase[1:-1], phrase[-1] + quote]
+    tagged = lambda ws: [1] + [2] * (len(ws) - 1)
+    secrets = [(head + ws, [0] * len(head) + tagged(ws)) for head, ws in ((lead, one), ([], one), (lead, many), ([], many), (lead, quoted))]
+    return secrets, [(other, [0] * len(other))]
+
+
+def examples(text: str, rng: np.random.Generator) -> list[tuple[list[bytes], np.ndarray, int]]:
+    """Windows of a text, as it is and with made-up secrets, with their tags and the feature of the text."""
+    ws, tags = _labels(text)
+    if not ws:
+        return []
+    codes = np.array([code(x) for x in ws], np.int64)
+    file = int(of_files(codes, np.array([0, len(ws)]))[0])
+    plain = [x for x, c in zip(ws, codes.tolist()) if c == 0] or [b"word"]
+    out = []
+    for at in [*np.flatnonzero(tags)[:PLACES].tolist(), int(rng.integers(len(ws)))]:
+        lo, hi = max(0, at - AROUND), at + AROUND + 1
+        part, own = ws[lo:hi], tags[lo:hi].tolist()
+        out.append((part, own, file))
+        secrets, others = made_up(rng, plain)
+        k = at - lo
+        named = any(c // MARKS % ROLES == 1 for c in codes[lo:hi])
+        for words, marks in [*secrets, *others]:
+            before, after = (part[:k], own[:k]), (part[k + 1 :], own[k + 1 :])
+            if named and not any(t == 0 for t in marks[:1]):  # without a name: the one that stands there goes as well
+                keep = [i for i in range(k) if own[i] or codes[lo + i] // MARKS % ROLES == 0]
+                before = [part[i] for i in keep], [own[i] for i in keep]
+            out.append((before[0] + words + after[0], before[1] + marks + after[1], file))
+    return [(p, np.array(t, np.int64), f) for p, t, f in out]
+
+
+def fit(texts: list[str], rounds: int = STEPS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Weights (a row a feature, a column a tag) and moves, fitted on windows of the texts round labelled words and elsewhere."""
     rng = np.random.default_rng(seed)
-    data = []
-    for text in texts:
-        ws, tags = _labels(text)
-        if not ws:
-            continue
-        spots = [*np.flatnonzero(tags)[:8].tolist(), int(rng.integers(len(ws)))]
-        for at in spots:
-            lo, hi = max(0, at - 12), at + 13
-            part, own = list(ws[lo:hi]), tags[lo:hi].copy()
-            data.append((part, own))
-            if tags[at]:  # the same place with a secret of another make, then without its name and sign
-                made = "".join(rng.choice(_LETTERS, int(rng.integers(18, 44)))).encode()
-                part = [re.sub(rb"[A-Za-z0-9+/_.=-]{16,}", made, x) if own[k] else x for k, x in enumerate(part)]
-                data.append((part, own))
-                keep = [k for k in range(len(part)) if own[k] or shape(part[k]) % ROLES == 0]
-                if keep:
-                    data.append(([part[k] for k in keep], own[keep]))
     weights, moves = np.zeros((int(OFFSETS[-1]), 3)), np.zeros((3, 3))
     ready = []
-    for part, own in data:
-        codes = np.array([shape(x) for x in part], np.int64)
-        ready.append((features(codes, np.array([0, len(codes)])), own))
+    for text in texts:
+        for part, own, file in examples(text, rng):
+            codes = np.array([code(x) for x in part], np.int64)
+            ready.append((features(codes, np.array([0, len(codes)]), np.array([file])), own))
     seen_w, seen_m = np.full(weights.shape, 1e-8), np.full(moves.shape, 1e-8)
     for _ in range(rounds if ready else 0):
         slope_w, slope_m = -1e-2 * weights, -1e-2 * moves
-        for k in rng.permutation(len(ready))[:200]:
-            _, w, m = _gradient(weights, moves, *ready[k])
-            slope_w += w
-            slope_m += m
+        _, w, m = gradient(weights, moves, [ready[k] for k in rng.permutation(len(ready))[:BATCH]])
+        slope_w, slope_m = slope_w + w, slope_m + m
         seen_w += slope_w**2
         seen_m += slope_m**2
         weights += 0.5 * slope_w / np.sqrt(seen_w)
@@ -253,7 +302,7 @@ def scan(texts: list[bytes], weights: np.ndarray, moves: np.ndarray, shapes: Sha
     offs = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
     look = shapes.__getitem__
     codes = np.fromiter((look(w) for x in split for w in x), np.int64, int(offs[-1]))
-    feats = features(codes, offs) if len(codes) else np.zeros((0, 6), np.int64)
+    feats = features(codes, offs) if len(codes) else np.zeros((0, len(SIZES)), np.int64)
     emit = np.zeros((len(codes), 3))
     for k in range(feats.shape[1]):
         emit += weights[feats[:, k]]
@@ -270,18 +319,24 @@ def scan(texts: list[bytes], weights: np.ndarray, moves: np.ndarray, shapes: Sha
         if k in told:
             bounds = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
             run: list[tuple[int, int]] = []
+            last = -2
             for at in told[k]:
                 a, b = bounds[at]
-                if tags[offs[k] + at] == 2 and run:
+                if any(a < y and x < b for x, y, _ in spans):
+                    continue  # the patterns have this word; what follows it stands alone
+                if tags[offs[k] + at] == 2 and run and last == at - 1:
                     run[-1] = (run[-1][0], b)
                 else:
                     run.append((a, b))
+                last = at
             edge = _EDGE.decode()
+            found = []
             for a, b in run:
                 a += len(text[a:b]) - len(text[a:b].lstrip(edge))
                 b -= len(text[a:b]) - len(text[a:b].rstrip(edge))
-                if a < b and not any(a < y and x < b for x, y, _ in spans):
-                    spans.append((a, b, 3))
+                if a < b:
+                    found.append((a, b, 3))
+            spans += found
             spans.sort(key=lambda s: (s[0], s[2]))
         out.append(spans)
     return out
@@ -318,7 +373,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in W.string_batches(batches, 512):
+        for b in W.sized_batches(batches, 1):
             found = scan([(t or "").encode() for t in b.column(1).to_pylist()], *held.value, shapes)
             counts = [pa.array([sum(k == n for _, _, k in s) for s in found], pa.int64()) for n in range(4)]
             texts = [pa.array([_spans_text([x for x in s if x[2] < 3]) for s in found], pa.string()), pa.array([_spans_text(s) for s in found], pa.string())]
@@ -331,12 +386,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
 def mask(docs: DataFrame, text_col: str = "text", model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """``docs`` with the spans of its texts masked; a null text stays null, other columns are as they were."""
+    at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in W.string_batches(batches, 512):
-            at = b.schema.get_field_index(text_col)
+        for b in W.sized_batches(batches, at):
             texts = b.column(at).to_pylist()
             found = scan([(t or "").encode() for t in texts], *held.value, shapes)
             new = pa.array([t and masked(t, s) for t, s in zip(texts, found)], b.schema.field(at).type)
