@@ -174,7 +174,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each segment of each text, with its words."""
-    for b in W.string_batches(batches, 256):
+    for b in W.sized_batches(batches, 2):
         rows = []
         for key, alone, text, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
             ws = (text or "").encode().split()
@@ -221,7 +221,7 @@ def _search(table: pa.Table) -> pa.Table:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its spans."""
-    for b in W.string_batches(batches, 256):
+    for b in W.sized_batches(batches, 1):
         rows = []
         for key, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             ws = (text or "").encode().split()

@@ -1,8 +1,8 @@
 """SimHash fingerprints and near-duplicate groups by bit-sliced comparison.
 
 Fingerprints that differ in at most ``RADIUS`` of 64 bits are linked. The 64 bits
-are cut into ``BLOCKS`` blocks; such fingerprints agree on at least
-``BLOCKS - RADIUS`` whole blocks, so a table keyed on each choice of that many
+are cut into blocks, more of them the more fingerprints there are; such fingerprints agree on at least
+all but ``RADIUS`` whole blocks, so a table keyed on each choice of that many
 blocks meets every link. Within a bucket of a table, bit planes are stored
 vertically and many distances are updated at once by carry-save counters; blocks
 of 64 pairs leave as soon as all of them exceed the radius.
@@ -18,8 +18,8 @@ wider reach, to find candidates that are then held against their texts' shingles
 
 Defined results: a null text is empty; a text without words has fingerprint zero
 and is linked like any other; rows with equal texts have equal fingerprints; a
-row whose id is null belongs to its group but never names it; an empty table
-gives no rows. Columns other than the two named ones are not read.
+row whose id is null links like any other but never names a group, and a group of
+such rows alone has no name; an empty table gives no rows. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from landtide.llm import words as W
 from landtide.llm.graph import components
 from landtide.llm.store import settle
 
-RADIUS, BLOCKS, SHINGLE, SEED = 4, 6, 4, 42
-#: Rows of a bucket that are compared in one piece.
-CELL = 2048
+RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Rows of a bucket that are compared in one piece; rows of a bucket on average, at most, were fingerprints even.
+CELL, BUCKET = 2048, 512
 
 
 def fingerprints(column: pa.Array, width: int = SHINGLE) -> np.ndarray:
@@ -212,22 +212,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(reps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+def blocks_for(count: int, radius: int = RADIUS) -> int:
+    """Blocks to cut fingerprints into: ``radius + 2`` (a key of two blocks), and more where buckets of such keys would be large."""
+    blocks = radius + 2
+    while blocks < 2 * radius and count > BUCKET << (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def links(reps: DataFrame, radius: int = RADIUS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """Edges ``(a, b)`` between the nodes of ``reps (node, fp)`` that keep all groups within ``radius`` connected."""
-    keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in _tables(blocks, radius)])).alias("t", "part"))
+    tables = _tables(blocks or blocks_for(reps.count(), radius), radius)
+    keyed = reps.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in tables])).alias("t", "part"))
     keyed = keyed.select("node", "fp", F.xxhash64("t", "part").alias("key"))
     return _compared(keyed, cell, lambda key, fps, nodes: star_edges(key, fps, nodes, radius))
 
 
 def _dealt(keyed: DataFrame, cell: int) -> DataFrame:
-    """``keyed (key, node, ...)`` with large buckets cut into cells that have keys of their own."""
+    """``keyed (key, node, ...)`` with large buckets cut into cells that have keys of their own.
+
+    A bucket above the limit has a cell for every two of its chunks; each row goes to
+    the cells of its own chunk. The large buckets are written, so Spark knows their size.
+    """
     others = [c for c in keyed.columns if c != "key"]
     large = keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / (cell // 2)).cast("int").alias("chunks"))
-    # A bucket above the limit has a cell for every two of its chunks; each row goes to the cells of its own chunk.
-    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    rest = keyed.join(large, "key", "left_anti").select("key", *others)
-    cells = keyed.join(large, "key").withColumn("i", chunk).select(*others, "key", "i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    return rest.union(cells.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *others))
+    every = keyed.join(settle(large, "large-buckets"), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    every = every.withColumn("i", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return every.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *others)
 
 
 def _compared(keyed: DataFrame, cell: int, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -345,9 +356,13 @@ def remaining(keyed: DataFrame, sets: DataFrame, similarity: float, cell: int =
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(id, fp, component_id)`` for every row of ``docs``; the component is the smallest id that links reach."""
     rows = settle(fingerprint_rows(docs, id_col, text_col), "simhash")
-    reps = settle(rows.groupBy("fp").agg(F.min("id").alias("node")), "simhash-reps")
-    found = components(links(reps.where("node is not null"), radius), "simhash-links")
-    named = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    reps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-reps")
+    # A fingerprint is a node of its own; a component is named by the smallest id of its rows.
+    linked = components(links(reps.select(F.col("fp").alias("node"), "fp"), radius), "simhash-links")
+    linked = settle(linked.join(reps, F.col("node") == F.col("fp")).select("fp", "component", "least"), "simhash-linked")
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(names, "component").select("fp", "component_id")
+    named = reps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id"), "fp", "component_id")
 
 
@@ -382,7 +397,7 @@ def _first() -> Column:
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """``(id, h, node, fp, keys)``: ``h`` is a hash of the text, ``node`` one of the words; ``fp`` counts each distinct shingle once; each key is one of the two least shingles under two orders."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.string_batches(batches, 512):
+        for b in W.sized_batches(batches, 2):
             got = [_sketch((t or "").encode(), width) for t in b.column(2).to_pylist()]
             fps, keys = np.zeros(len(got), np.uint64), []
             for k, (_, h) in enumerate(got):
@@ -404,7 +419,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WORDS) -> DataFrame:
     """``(node, shingles)``: the distinct shingles of each text, as 32 bits of their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.string_batches(batches, 512):
+        for b in W.sized_batches(batches, 0):
             got = [_sketch((t or "").encode(), width) for t in b.column(0).to_pylist()]
             sets = [np.unique(np.array(h, np.uint64).astype(np.uint32)).view(np.int32) for _, h in got]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([n for n, _ in got], np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])

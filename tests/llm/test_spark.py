@@ -98,6 +98,14 @@ def test_simhash_cells_of_a_large_bucket(spark):
     assert small == large and len(small) >= 300 * 0.8
 
 
+def test_links_through_rows_without_ids(spark, monkeypatch):
+    fps = [(7, 0b0), (None, 0b111), (3, 0b1111111), (None, 0b1111 << 40), (None, (0b1111 << 40) + 1)]
+    rows = spark.createDataFrame(fps, "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprint_rows", lambda *_: rows)
+    got = rows_of(simhash.groups(rows))
+    assert got == sorted([(7, 0, 3), (None, 7, 3), (3, 127, 3), (None, 15 << 40, 3), (None, (15 << 40) + 1, None)][:3] + [(None, 15 << 40, 3), (None, (15 << 40) + 1, 3)], key=repr)
+
+
 def test_simhash_odd_rows(odd):
     got = {(r["id"], r["fp"]): r["component_id"] for r in simhash.groups(odd).collect()}
     zero = {k: v for k, v in got.items() if k[1] == 0}
@@ -191,12 +199,81 @@ def test_secrets(spark, docs, odd):
     assert crf_secrets.find(odd.limit(0)).count() == 0
 
 
-def test_every_pattern_span_of_the_documents_stays(docs):
-    got = {r["doc_id"]: r for r in crf_secrets.find(docs).collect()}
-    for r in docs.collect():
-        want = ",".join(f"{crf_secrets.KINDS[k]}:{a}:{b}" for a, b, k in crf_secrets.base_spans(r["text"] or ""))
-        assert got[r["doc_id"]]["base_spans"] == want
-        assert set(filter(None, want.split(","))) <= set(got[r["doc_id"]]["spans"].split(","))
+def _spans_by_hand(text):
+    """The three patterns written once more, without those of the operator."""
+    out, low = [], text.translate({c: c + 32 for c in range(65, 91)})
+    value, at = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), 0
+    while at < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        end = None
+        if name:
+            i = at + len(name)
+            i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] in (":", "="):
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+                j = i
+                while j < len(text) and text[j] in value:
+                    j += 1
+                if j > i:
+                    end = j
+                    if j - i >= 6:
+                        out.append((at, 0, j))
+        at = end or at + 1
+    for kind, first, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            j = at + len(first)
+            while text.startswith(first, at) and j < len(text) and text[j] in chars:
+                j += 1
+            if not text.startswith(first, at) or j == at + len(first):
+                at += 1
+                continue
+            if j - at >= least:
+                out.append((at, kind, j))
+            at = j
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_patterns_are_those_written_by_hand(spark, docs):
+    odd = ["tokentoken = secret=abcdef token:'x' api key=abcdef APIKEY ='' AKIAAKIA1", "password:  secret: token=====a passwd\" : \"abc.def", "AKIA" * 6 + "\u212a", "f" * 23 + " " + "0f" * 12 + "g", "to\u212aen = abcdefg", "SECRET='ab" + "c" * 4]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1 - k, t) for k, t in enumerate(odd)]
+    got = {r["doc_id"]: r for r in crf_secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = _spans_by_hand(text or "")
+        assert got[i]["base_spans"] == want, text
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+
+
+def test_planted_secrets_of_texts_not_learned_from(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 300 and 8000")
+    model = crf_secrets.train(docs.where("doc_id % 2 = 0"))
+    rng, rows, where = np.random.default_rng(31), [], {}
+    for r in docs.where("doc_id % 2 = 1").collect():
+        ws = r["text"].encode().split()
+        secrets, others = crf_secrets.made_up(rng, [w for w in ws if crf_secrets.code(w) == 0] or [b"word"])
+        k = len(rows) % 6
+        words, tags = [*secrets, *others][k]
+        at = int(rng.integers(1, len(ws)))
+        head, inside = b" ".join(ws[:at]).decode() + " ", b" ".join(words).decode()
+        first = len(head) + len(b" ".join([*words[: tags.index(1)], b""]).decode()) if 1 in tags else 0
+        where[r["doc_id"]] = (k, len(head), len(head) + len(inside), first)
+        rows.append((r["doc_id"], head + inside + " " + b" ".join(ws[at:]).decode()))
+    stray, found, whole, planted = 0, 0, 0, 0
+    for r in crf_secrets.find(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect():
+        k, lo, hi, first = where[r["doc_id"]]
+        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in filter(None, r["spans"].split(","))]
+        stray += sum(kind == "crf" and (b <= lo or a >= hi or k == 5) for kind, a, b in spans)
+        if k < 5:
+            hit = [(a, b) for _, a, b in spans if b > first and a < hi]
+            planted, found = planted + 1, found + bool(hit)
+            whole += bool(hit) and min(a for a, _ in hit) <= first + 1 and max(b for _, b in hit) >= hi - 1
+    assert planted > 200 and found >= 0.97 * planted and whole >= 0.8 * planted and stray <= 0.02 * found
 
 
 def _mix(rows):
@@ -329,6 +406,15 @@ def test_url_rules(spark):
     assert url_filter.judge(df.limit(0), Q.URL_RULES).count() == 0
 
 
+def test_urls_of_any_length_and_rows_without_ids(spark):
+    good = [f"http://www.example.com/en/7/{k}?page={k}" for k in range(60)]
+    bad = [f"http://shop.com/en/{k}/" + "buy-now/" * 400 for k in range(60)]  # all over 2000 characters
+    other = ["http://elsewhere.info/q?" + "buy-now/" * 500, "http://elsewhere.info/q?page=5"]
+    df = spark.createDataFrame([(None, u, u) for u in good + bad + other + [None]], "page_id long, url string, address string")
+    kept = {r["url"] for r in url_filter.keep(df, Q.URL_RULES).collect()}
+    assert kept == {*good, other[1], None} and url_filter.keep(df, Q.URL_RULES).columns == df.columns
+
+
 def test_url_model_tells_rules_apart(spark, sf_dir):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = url_filter.judge(pages, Q.URL_RULES).where("rule is null and path like '/es/%' and host like '%.org%'")
