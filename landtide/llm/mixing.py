@@ -4,7 +4,7 @@
    share the words of all documents; a target stops at ``MOST`` times its
    source's size, and the excess is shared again by weight (water filling).
 2. Draws: a source's documents are in the order of a digest, which also deals them
-   into blocks (its leading digits). Whole passes over the source are taken as
+   into blocks (its leading digits, as many as the number of shards asks for). Whole passes over the source are taken as
    often as they fit in its target; of one more pass, the leading documents up to
    the number of words that is nearest. The place where that pass ends is found
    digit by digit: sums of blocks first, then of the blocks within one block, so
@@ -12,8 +12,9 @@
 3. Shards: the block quotas of all sources are split among the output shards by a
    binary tree of multivariate hypergeometric draws: at each node, block after
    block goes left with the chance that its half has of the places that remain.
-   Each source's drawn blocks, in a permuted order, fill its quotas; documents are
-   shuffled within their shard.
+   Each source's drawn blocks, in a permuted order, fill its quotas: blocks and
+   places of shards are both numbered bucket by bucket and joined by number, so no
+   task holds the blocks of a source. Documents are shuffled within their shard.
 
 Everything follows from digests, so reruns agree. Defined results: a null text has
 size 0; a source of size 0 has target 0; rows of equal id and text are drawn
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from landtide.llm.store import settle
 
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Hexadecimal digits of a block, and of each further step towards the end of the last pass.
+#: Hexadecimal digits of each step towards the end of the last pass, and such steps.
 DIGITS, STEPS = 2, 3
-#: Words of a shard where the number of shards isn't given; the logarithm of the most shards.
-SHARD_WORDS, MOST_DEPTH = 1 << 20, 12
+#: Words of a shard where the number of shards isn't given; rows that one task numbers, on average.
+SHARD_WORDS, BUCKET = 1 << 20, 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -132,34 +133,47 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << depth)).alias("shard"), F.explode(each).alias("q")).select("q.source", "shard", "q.quota")
 
 
+def numbered(rows: DataFrame, bucket: Column, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``: a number from 1 on within each ``source``, by ``bucket``, then by ``order``; each bucket is numbered on its own."""
+    rows = rows.withColumn("__bucket", bucket)
+    sizes = rows.groupBy("source", "__bucket").count()
+    before = F.sum("count").over(Window.partitionBy("source").orderBy("__bucket")) - F.col("count")
+    sizes = sizes.select(F.col("source").alias("__of"), F.col("__bucket").alias("__in"), before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("source", "__bucket").orderBy(*order))
+    joined = rows.withColumn("__own", own).join(sizes, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
+    return joined.withColumn("place", F.col("__own") + F.col("__before")).drop("__bucket", "__own", "__of", "__in", "__before")
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", depth: int | None = None, seed: int = 1) -> DataFrame:
     """A row for each document: ``(id, source, size, digest, source_size, target, draws)``; ``draws`` has the shard and place of each copy."""
     sized = settle(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     goals = settle(targets(sized), "mix-targets")
     if depth is None:
         words = goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-        depth = min(MOST_DEPTH, max(0, -(-words // SHARD_WORDS) - 1).bit_length())
+        depth = max(0, -(-words // SHARD_WORDS) - 1).bit_length()
+    digits = depth // 4 + 2  # sixteen blocks of a source and more for each shard
     ends = _last_pass(sized, goals)
     # Units: a block of a source in a pass. The block in which the last pass ends is drawn in part.
     bound = ends.withColumnRenamed("source", "of")
     per = goals.join(bound, goals["source"].eqNullSafe(bound["of"]), "left").drop("of")
-    blocks = sized.groupBy("source", F.substring("digest", 1, DIGITS).alias("block")).count().drop("count").alias("k")
+    blocks = sized.groupBy("source", F.substring("digest", 1, digits).alias("block")).count().drop("count").alias("k")
     joined = blocks.join(per.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.source", "block", "passes", (F.col("rest") > 0).alias("more"), "bound", "source_size", "target")
-    extra = F.col("more") & (F.col("bound").isNull() | (F.col("block") <= F.substring("bound", 1, DIGITS)))
+    extra = F.col("more") & (F.col("bound").isNull() | (F.col("block") <= F.substring("bound", 1, digits)))
     joined = joined.withColumn("units", F.col("passes") + extra.cast("int"))
     joined = settle(joined, "mix-blocks")
     quotas = settle(splitting_tree(joined.groupBy("source").agg(F.sum("units").alias("quota")), depth, seed), "mix-quotas")
     units = joined.where("units > 0").select("source", "block", F.explode(F.sequence(F.lit(1), "units")).alias("pass"))
-    permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block", "pass"), "block", "pass")
-    units = units.withColumn("place", F.row_number().over(permuted))
-    filled = quotas.withColumn("upto", F.sum("quota").over(Window.partitionBy("source").orderBy("shard")))
-    filled = filled.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("fill")).withColumnRenamed("source", "of")
-    dealt = units.join(filled, units["source"].eqNullSafe(filled["of"]))
-    shard = F.element_at(F.filter("fill", lambda x: x["upto"] >= F.col("place")), 1)["shard"]
-    dealt = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", shard.alias("shard")))).alias("shards"))
+    many = joined.groupBy("source").agg(F.sum("units").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    buckets = max(1, -(-many // BUCKET))
+    draw = F.xxhash64(F.lit(seed), "source", "block", "pass")
+    units = numbered(units, F.pmod(draw, F.lit(buckets)), [draw, F.col("block"), F.col("pass")])
+    slots = quotas.where("quota > 0").select("source", "shard", F.explode(F.sequence(F.lit(1), "quota")).alias("k"))
+    slots = numbered(slots, F.expr(f"shard * {buckets}L div {1 << depth}L"), [F.col("shard"), F.col("k")]).select(F.col("source").alias("of"), F.col("place").alias("at"), "shard")
+    dealt = units.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
+    dealt = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("shards"))
     dealt = dealt.select(F.col("source").alias("of"), F.col("block").alias("in"), "shards")
     joined = joined.join(dealt, joined["source"].eqNullSafe(dealt["of"]) & (joined["block"] == dealt["in"]), "left").select(F.col("source").alias("of"), F.col("block").alias("in"), "passes", "bound", "more", "source_size", "target", "shards")
-    rows = sized.join(joined, sized["source"].eqNullSafe(joined["of"]) & (F.substring(sized["digest"], 1, DIGITS) == joined["in"]))
+    rows = sized.join(joined, sized["source"].eqNullSafe(joined["of"]) & (F.substring(sized["digest"], 1, digits) == joined["in"]))
     taken = F.coalesce(F.filter("shards", lambda x: (x["pass"] <= F.col("passes")) | F.col("bound").isNull() | (F.col("digest") < F.col("bound"))), F.array().cast("array<struct<pass:int,shard:int>>"))
     draws = F.transform(taken, lambda x: F.struct(x["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("digest"), x["pass"]).alias("place")))
     return rows.select("id", "source", "size", "digest", "source_size", "target", draws.alias("draws"))
