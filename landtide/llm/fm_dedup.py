@@ -9,10 +9,13 @@ start anywhere else, in any text, is removed.
    once are done.
 2. Texts that are equal as wholes are one text with a multiplicity; all their
    windows repeat.
-3. Segments are dealt to shards by anchor. A shard's segments, each distinct one
-   once, form one sequence with an FM-index: suffix array, Burrows-Wheeler
-   transform, wavelet matrix. Backward search of every window that is not already
-   known to repeat gives its interval; an interval of two or more means a repeat.
+3. Segments are dealt to shards by anchor. A shard's distinct segments, twice those
+   that it holds more than once, form one sequence with an FM-index: suffix array,
+   Burrows-Wheeler transform, wavelet matrix. Segments are streamed against it:
+   backward search gives matching statistics, the longest stretch of words up to a
+   place whose interval is two or more. A window whose statistic reaches its length
+   repeats. From one word to the next a statistic grows by one at most, so those of
+   some places rule out the windows that end soon after, and these aren't searched.
 4. An anchor with very many segments is salted over several shards. Windows that
    stay alone in such a shard are counted across shards by digest.
 
@@ -35,8 +38,8 @@ from landtide.llm import words as W
 from landtide.llm.store import settle
 
 WINDOW, GRAM = 35, 8
-#: Segments of a shard, on average; an anchor with more of them is salted.
-SHARD = 2000
+#: Segments of a shard, on average; an anchor with more of them is salted. Windows from one that is searched first to the next.
+SHARD, STRIDE = 2000, 5
 
 #: A spot is the first window of a segment times this, plus how many there are; a run of windows with one anchor has at most WINDOW - GRAM + 1.
 _RUN = 64
@@ -123,39 +126,56 @@ class FMIndex:
         base = self.first[symbol] - zero
         return base + self._rank(symbol, lo), base + self._rank(symbol, hi)
 
-    def repeated(self, seq: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        """Whether the window at each start occurs twice or more; a search ends once its interval is a single one."""
-        out, live = np.zeros(len(starts), bool), np.arange(len(starts))
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n)
-        for k in range(window - 1, -1, -1):
-            lo, hi = self.extend(seq[starts[live] + k], lo, hi)
+    def statistics(self, seq: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+        """For each place, the words of the longest stretch that ends with it and occurs twice or more, up to ``most``."""
+        out, live = np.full(len(ends), most), np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
+        for k in range(most):
+            lo, hi = self.extend(seq[ends[live] - k], lo, hi)
             stay = hi - lo > 1
-            live, lo, hi = live[stay], lo[stay], hi[stay]
-        out[live] = True
+            if not stay.all():
+                out[live[~stay]] = k
+                live, lo, hi = live[stay], lo[stay], hi[stay]
+        return out
+
+    def repeated(self, seq: np.ndarray, starts: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
+        """Whether the window at each start occurs twice or more; ``starts`` rise, and follow each other within a text."""
+        out, first = np.zeros(len(starts), bool), np.r_[True, np.diff(starts) != 1]
+        index = np.arange(len(starts))
+        run = index - np.maximum.accumulate(np.where(first, index, 0))
+        probe = np.flatnonzero(run % stride == 0)
+        found = self.statistics(seq, starts[probe] + window - 1, window)
+        out[probe] = found >= window
+        # The next probe of a text is ``stride`` further on; windows until then can only repeat once the statistic may have grown to their length.
+        last = np.maximum.accumulate(np.where(run % stride == 0, index, 0))
+        of = np.searchsorted(probe, last)
+        rest = np.flatnonzero((run % stride > 0) & (found[of] + index - last >= window))
+        out[rest] = self.statistics(seq, starts[rest] + window - 1, window) >= window
         return out
 
 
 def shard_repeats(segments: list[bytes], windows: np.ndarray, wanted: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment a flag for each of its windows; segments not ``wanted`` are in the index but get none searched."""
+    """For each segment a flag for each of its windows; segments not ``wanted`` are in the index but not streamed against it."""
     place: dict[bytes, int] = {}
     which = np.fromiter((place.setdefault(s, len(place)) for s in segments), np.int64, len(segments))
     often = np.bincount(which) > 1
     code: dict[bytes, int] = {}
     parts, at, begin = [], 0, []
-    for s in place:
+    for k, s in enumerate(place):
         ids = [code.setdefault(x, len(code) + 1) for x in s.split(b" ")]
         begin.append(at)
-        parts.append(ids + [0])
-        at += len(ids) + 1
+        for _ in range(1 + int(often[k])):
+            parts.append(ids + [0])
+            at += len(ids) + 1
     seq = np.fromiter((x for p in parts for x in p), np.int64, at)
-    search = np.flatnonzero(wanted & ~often[which])
     found = [np.ones(n, bool) for n in windows]
-    if len(search):
-        counts = windows[search]
-        starts = np.repeat(np.array(begin)[which[search]], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        flags = FMIndex(seq, window).repeated(seq, starts, window)
-        for k, part in zip(search, np.split(flags, np.cumsum(counts)[:-1])):
-            found[k] = part
+    which_wanted, first = np.unique(which[wanted], return_index=True)  # each distinct segment once
+    if len(which_wanted):
+        counts = windows[np.flatnonzero(wanted)[first]]
+        starts = np.repeat(np.array(begin)[which_wanted], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        flags = dict(zip(which_wanted.tolist(), np.split(FMIndex(seq, window).repeated(seq, starts, window), np.cumsum(counts)[:-1])))
+        for k in np.flatnonzero(wanted).tolist():
+            found[k] = flags[int(which[k])]
     return found
 
 
