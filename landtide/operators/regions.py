@@ -1,16 +1,21 @@
-"""Connected regions of equal value on a grid: labels, areas, sieving and outlines.
+"""Connected regions of equal value on a grid: labels, areas, sieving, outlines and polygons.
+
+``scene`` names the columns that tell grids of one table apart (tiles, images); a
+region's number is unique within its scene.
 
 Blocks of the grid are labelled on their own (one grouped task a block), then
 labels that touch across block edges are merged by contracting the small graph of
 touching labels. Only edge cells of blocks take part in that, and every round is
-cut by a checkpoint.
+written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtide.session import scratch
@@ -62,61 +67,138 @@ def _labels(block: pd.DataFrame, connectivity: int, width: int) -> pd.DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    scratch(df.sparkSession, "regions")  # sets a folder where a local session has none
-    return df.checkpoint()
+    """``df`` as a written table of the shared folder: computed once, and of a size that Spark knows."""
+    path = scratch(df.sparkSession, "regions")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def label(cells: DataFrame, value: str, width: int, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
-    """``(row, col, value, region)``: the region is its least ``row * width + col``. Other connectivities than 4 and 8 mean 4."""
-    connectivity = connectivity if connectivity == 8 else 4
-    keyed = cells.select("row", "col", F.col(value).alias("value"), F.expr(f"row div {block}").alias("br"), F.expr(f"col div {block}").alias("bc"))
-    kind = keyed.schema["value"].dataType.simpleString()
-    own = keyed.groupBy("br", "bc").applyInPandas(lambda b: _labels(b, connectivity, width), f"row int, col int, value {kind}, label long")
-    own = checkpointed(own)
-    edge = own.where(f"row % {block} in (0, {block - 1}) or col % {block} in (0, {block - 1})")
-    d = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _steps(connectivity))))
-    moved = edge.select("value", F.col("label").alias("a"), F.col("row").alias("r"), F.col("col").alias("c"), d.alias("d")).select("value", "a", (F.col("r") + F.col("d.i")).alias("row"), (F.col("c") + F.col("d.j")).alias("col"))
-    links = moved.join(edge.select("row", "col", "value", F.col("label").alias("b")), ["row", "col", "value"]).where("a <> b").select("a", "b").distinct()
-    names = merged(links)
-    return own.join(names, own["label"] == names["node"], "left").select("row", "col", "value", F.coalesce("component", "label").alias("region"))
+def _moves(steps: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
 
 
-def merged(links: DataFrame) -> DataFrame:
-    """``(node, component)`` of an edge list: each node's least neighbour by rounds, with pointer jumping, until nothing changes."""
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    names = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
+def label(cells: DataFrame, value: str, width: int, connectivity: int = 4, block: int = BLOCK, scene: Sequence[str] = ()) -> DataFrame:
+    """``(scene, row, col, value, region)``: the region is its least ``row * width + col``. Other connectivities than 4 and 8 mean 4."""
+    connectivity = connectivity if connectivity == 8 else 4
+    keyed = cells.select(*scene, "row", "col", F.col(value).alias("value"), F.expr(f"row div {block}").alias("br"), F.expr(f"col div {block}").alias("bc"))
+    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    own_scene = list(scene)
+
+    def labels(b: pd.DataFrame) -> pd.DataFrame:
+        out = _labels(b, connectivity, width)
+        for k, name in enumerate(own_scene):
+            out.insert(k, name, b[name].iloc[0])
+        return out
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*scene, "row", "col", "value"]) + ", label long"
+    own = checkpointed(keyed.groupBy(*scene, "br", "bc").applyInPandas(labels, schema))
+    edge = own.where(f"row % {block} in (0, {block - 1}) or col % {block} in (0, {block - 1})")
+    moved = edge.select(*scene, "value", F.col("label").alias("a"), F.col("row").alias("r"), F.col("col").alias("c"), _moves(_steps(connectivity)).alias("d"))
+    moved = moved.select(*scene, "value", "a", (F.col("r") + F.col("d.i")).alias("row"), (F.col("c") + F.col("d.j")).alias("col"))
+    links = moved.join(edge.select(*scene, "row", "col", "value", F.col("label").alias("b")), [*scene, "row", "col", "value"]).where("a <> b").select(*scene, "a", "b").distinct()
+    names = merged(links, scene).withColumnRenamed("node", "label")
+    return own.join(names, [*scene, "label"], "left").select(*scene, "row", "col", "value", F.coalesce("component", "label").alias("region"))
+
+
+def merged(links: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
+    """``(scene, node, component)`` of an edge list: each node's least neighbour by rounds, with pointer jumping, until nothing changes."""
+    keys = list(scene)
+    both = checkpointed(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
     while True:
-        near = both.join(names, both["b"] == names["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        hop = names.alias("x").join(near, F.col("x.node") == F.col("a")).select("x.node", F.least("x.component", "near").alias("c"), F.col("x.component").alias("was"))
-        jump = hop.alias("p").join(hop.alias("q"), F.col("p.c") == F.col("q.node"), "left").select("p.node", F.least("p.c", F.coalesce("q.c", "p.c")).alias("component"), "p.was")
+        near = both.withColumnRenamed("b", "node").join(names, [*keys, "node"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hop = names.join(near, [*keys, "node"]).select(*keys, "node", F.least("component", "near").alias("c"), F.col("component").alias("was"))
+        up = hop.select(*keys, F.col("node").alias("c"), F.col("c").alias("further"))
+        jump = hop.join(up, [*keys, "c"], "left").select(*keys, "node", F.least("c", F.coalesce("further", "c")).alias("component"), "was")
         jump = checkpointed(jump)
-        names = jump.select("node", "component")
+        names = jump.select(*keys, "node", "component")
         if jump.where("component <> was").isEmpty():
             return names
 
 
-def areas(labelled: DataFrame) -> DataFrame:
+def areas(labelled: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
     """Cells and bounding box of each region."""
-    return labelled.groupBy("region", "value").agg(F.count("*").alias("cells"), F.min("row").alias("row1"), F.max("row").alias("row2"), F.min("col").alias("col1"), F.max("col").alias("col2"))
+    return labelled.groupBy(*scene, "region", "value").agg(F.count("*").alias("cells"), F.min("row").alias("row1"), F.max("row").alias("row2"), F.min("col").alias("col1"), F.max("col").alias("col2"))
 
 
-def sieve(cells: DataFrame, value: str, width: int, least: int, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
-    """``(row, col, value)``: regions of fewer than ``least`` cells take the value of their largest neighbour, the lowest region among equals."""
+def sieve(cells: DataFrame, value: str, width: int, least: int, connectivity: int = 4, block: int = BLOCK, scene: Sequence[str] = ()) -> DataFrame:
+    """``(scene, row, col, value)``: regions of fewer than ``least`` cells take the value of their largest neighbour, the lowest region among equals."""
     connectivity = connectivity if connectivity == 8 else 4
-    named = checkpointed(label(cells, value, width, connectivity, block))
-    size = named.groupBy("region", "value").agg(F.count("*").alias("cells"))
+    named = checkpointed(label(cells, value, width, connectivity, block, scene))
+    size = named.groupBy(*scene, "region", "value").agg(F.count("*").alias("cells"))
     steps = [s for i, j in _steps(connectivity) for s in ((i, j), (-i, -j))]
-    d = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
-    small = named.join(size.where(F.col("cells") < least).select("region"), "region")
-    near = small.select(F.col("region").alias("small"), "row", "col", d.alias("d")).select("small", (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"))
-    beside = near.join(named, ["row", "col"]).where("region <> small").select("small", "region").distinct().join(size, "region")
-    into = beside.groupBy("small").agg(F.max_by("value", F.struct("cells", (-F.col("region")).alias("r"))).alias("new"))
-    return named.join(into, named["region"] == into["small"], "left").select("row", "col", F.coalesce("new", "value").alias("value"))
+    small = named.join(size.where(F.col("cells") < least).select(*scene, "region"), [*scene, "region"])
+    near = small.select(*scene, F.col("region").alias("small"), "row", "col", _moves(steps).alias("d")).select(*scene, "small", (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"))
+    beside = near.join(named, [*scene, "row", "col"]).where("region <> small").select(*scene, "small", "region").distinct().join(size, [*scene, "region"])
+    into = beside.groupBy(*scene, F.col("small").alias("region")).agg(F.max_by("value", F.struct("cells", (-F.col("region")).alias("r"))).alias("new"))
+    return named.join(into, [*scene, "region"], "left").select(*scene, "row", "col", F.coalesce("new", "value").alias("value"))
+
 
+#: Sides of a cell in clockwise order: name, the neighbour's offset, the side's first corner and its last (row and column).
+_SIDES = (("n", (-1, 0), (0, 0), (0, 1)), ("e", (0, 1), (0, 1), (1, 1)), ("s", (1, 0), (1, 1), (1, 0)), ("w", (0, -1), (1, 0), (0, 0)))
 
-def outlines(labelled: DataFrame) -> DataFrame:
+
+def outlines(labelled: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
     """Edges of each region: the sides of cells whose neighbour is another region or none."""
-    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(n).alias("side")) for i, j, n in ((-1, 0, "n"), (1, 0, "s"), (0, -1, "w"), (0, 1, "e")))))
-    looked = labelled.select("region", "row", "col", sides.alias("s")).select("region", "row", "col", "s.side", (F.col("row") + F.col("s.i")).alias("r"), (F.col("col") + F.col("s.j")).alias("c"))
-    other = labelled.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("region").alias("other"))
-    return looked.join(other, ["r", "c"], "left").where("other is null or other <> region").select("region", "row", "col", "side")
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(n).alias("side")) for n, (i, j), _, _ in _SIDES)))
+    looked = labelled.select(*scene, "region", "row", "col", sides.alias("s")).select(*scene, "region", "row", "col", "s.side", (F.col("row") + F.col("s.i")).alias("r"), (F.col("col") + F.col("s.j")).alias("c"))
+    other = labelled.select(*scene, F.col("row").alias("r"), F.col("col").alias("c"), F.col("region").alias("other"))
+    return looked.join(other, [*scene, "r", "c"], "left").where("other is null or other <> region").select(*scene, "region", "row", "col", "side")
+
+
+def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequence[str] = ()) -> DataFrame:
+    """``(scene, region, ring, k, x, y, hole)``: the corners of each region's boundary, ring by ring, outer ones clockwise on the image.
+
+    ``x`` and ``y`` count columns and rows; ``ring`` is its least side. Every side
+    knows the one that follows it; where two regions' corners touch it turns so that
+    the region stays connected as it was labelled. Rings and places in them come by
+    pointer jumping, in rounds that grow with the logarithm of the longest ring, so
+    no task holds a region's outline.
+    """
+    keys = [*scene, "region"]
+    turn, at = F.element_at, F.element_at(F.create_map(*(F.lit(x) for k, s in enumerate(_SIDES) for x in (s[0], k))), F.col("side"))
+    corner = lambda which, axis: turn(F.array(*(F.lit(s[which][axis]) for s in _SIDES)), F.col("d") + 1)
+    edges = outlines(labelled, scene).withColumn("d", at)
+    edges = edges.select(*keys, ((F.col("row") * F.lit(width).cast("long") + F.col("col")) * 4 + F.col("d")).alias("side"), "d",
+                         (F.col("col") + corner(2, 1)).alias("x"), (F.col("row") + corner(2, 0)).alias("y"), (F.col("col") + corner(3, 1)).alias("x2"), (F.col("row") + corner(3, 0)).alias("y2"))
+    edges = checkpointed(edges)
+    after = edges.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("side").alias("next"), F.col("d").alias("to"))
+    prefer = F.pmod(F.col("to") - F.col("d") - (1 if connectivity != 8 else 3), F.lit(4))  # right turns first, or left ones
+    follow = edges.join(after, [*keys, "x2", "y2"]).groupBy(*keys, "side").agg(F.min_by("next", prefer).alias("next"))
+    now = checkpointed(follow.select(*keys, "side", "next", F.least("side", "next").alias("ring"), F.lit(True).alias("moved")))
+    first = now.select(*keys, "side", F.col("next").alias("after"))
+    while True:  # each side's least among the next 1, 2, 4, ... of its ring
+        ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("ring").alias("other"))
+        now = now.join(ahead, [*keys, "next"]).select(*keys, "side", F.col("further").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("moved"))
+        now = checkpointed(now)
+        if now.where("moved").isEmpty():
+            break
+    named = now.select(*keys, "side", "ring")
+    # Sides to go until the ring's first one comes again: the place, counted from behind.
+    now = first.join(named, [*keys, "side"]).select(*keys, "side", "ring", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("next"), F.when(F.col("after") != F.col("ring"), 1).otherwise(0).cast("long").alias("left"))
+    now = checkpointed(now)
+    while not now.where("next is not null").isEmpty():
+        ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("left").alias("more"))
+        now = now.join(ahead, [*keys, "next"], "left").select(*keys, "side", "ring", F.col("further").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        now = checkpointed(now)
+    placed = now.select(*keys, "side", "ring", "left").join(edges, [*keys, "side"])
+    whole = placed.groupBy(*keys, "ring").agg(F.max("left").alias("last"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) < 0).alias("hole"))
+    before = placed.select(*keys, F.col("x2").alias("x"), F.col("y2").alias("y"), "ring", "left", F.col("d").alias("from"))
+    # A corner: the side before it has another direction. Before the first side comes the last.
+    placed = placed.join(whole, [*keys, "ring"]).withColumn("behind", F.when(F.col("left") == F.col("last"), 0).otherwise(F.col("left") + 1))
+    before = before.select(*keys, "ring", F.col("left").alias("behind"), "from")
+    corners = placed.join(before, [*keys, "ring", "behind"]).where("d <> from")
+    return corners.select(*keys, "ring", (F.col("last") - F.col("left")).alias("k"), "x", "y", "hole")
+
+
+def polygons(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequence[str] = (), nodata: Sequence[int] = ()) -> DataFrame:
+    """A row for each region whose value is not in ``nodata``: value, outer ring and holes as closed ``array<struct<x,y>>``."""
+    keys = [*scene, "region"]
+    wanted = labelled.where(~F.col("value").isin(*nodata)) if nodata else labelled
+    point = F.struct("k", F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
+    each = rings(wanted, width, connectivity, scene).groupBy(*keys, "ring", "hole").agg(F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"]).alias("points"))
+    each = each.withColumn("points", F.concat("points", F.slice("points", 1, 1)))
+    shell, inner = F.first(F.when(~F.col("hole"), F.col("points")), ignorenulls=True), F.collect_list(F.when(F.col("hole"), F.struct("ring", "points")))
+    whole = each.groupBy(*keys).agg(shell.alias("shell"), F.transform(F.array_sort(inner), lambda v: v["points"]).alias("holes"))
+    values = wanted.groupBy(*keys).agg(F.first("value").alias("value"))
+    return whole.join(values, keys)

@@ -172,7 +172,7 @@ def change_report_summary(spark, sf_dir):
 
 # Regions.
 
-LABELS = """cells AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, (p_size % 7 < 3)::INT AS value FROM part WHERE p_partkey < 400),
+LABELS = """cells AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, (p_size % 7 < 3)::INT AS value FROM part),
  n AS (SELECT "row" * 50 + col AS id, * FROM cells), reach(id, to_id, value) AS (SELECT id, id, value FROM n UNION SELECT r.id, b.id, r.value FROM reach r JOIN n a ON a.id = r.to_id JOIN n b ON b.value = r.value AND abs(a."row" - b."row") + abs(a.col - b.col) = 1),
  labelled AS (SELECT n."row", n.col, n.value, r.region FROM n JOIN (SELECT id, min(to_id)::BIGINT AS region FROM reach GROUP BY id) r USING (id))"""
 
@@ -183,12 +183,12 @@ def _cells(spark, sf_dir):
 
 @query("WITH RECURSIVE " + LABELS + ' SELECT "row", col, value, region FROM labelled')
 def region_label(spark, sf_dir):
-    return regions.label(_cells(spark, sf_dir).where("pixel < 400"), "value", model.WIDTH, block=4)
+    return regions.label(_cells(spark, sf_dir), "value", model.WIDTH)
 
 
 @query("WITH RECURSIVE " + LABELS + ' SELECT region, value, count(*) AS cells, min("row") AS row1, max("row") AS row2, min(col) AS col1, max(col) AS col2 FROM labelled GROUP BY region, value')
 def region_area(spark, sf_dir):
-    return regions.areas(regions.label(_cells(spark, sf_dir).where("pixel < 400"), "value", model.WIDTH, block=4))
+    return regions.areas(regions.label(_cells(spark, sf_dir), "value", model.WIDTH))
 
 
 @query("WITH RECURSIVE " + LABELS + """, sized AS (SELECT region, value, count(*) AS cells FROM labelled GROUP BY region, value),
@@ -196,16 +196,16 @@ def region_area(spark, sf_dir):
  into_ AS (SELECT small, value AS new FROM (SELECT small, s.value, row_number() OVER (PARTITION BY small ORDER BY cells DESC, b.region) AS k FROM beside b JOIN sized s ON s.region = b.region) WHERE k = 1)
  SELECT "row", col, coalesce(new, value) AS value FROM labelled LEFT JOIN into_ ON small = region""")
 def sieve_small(spark, sf_dir):
-    return regions.sieve(_cells(spark, sf_dir).where("pixel < 400"), "value", model.WIDTH, 4, block=4)
+    return regions.sieve(_cells(spark, sf_dir), "value", model.WIDTH, 4)
 
 
 @query("WITH RECURSIVE " + LABELS + """, d(i, j, side) AS (VALUES (-1, 0, 'n'), (1, 0, 's'), (0, -1, 'w'), (0, 1, 'e'))
  SELECT a.region, a."row", a.col, side FROM labelled a CROSS JOIN d LEFT JOIN labelled b ON b."row" = a."row" + i AND b.col = a.col + j WHERE b.region IS NULL OR b.region <> a.region""")
 def region_outlines(spark, sf_dir):
-    return regions.outlines(regions.label(_cells(spark, sf_dir).where("pixel < 400"), "value", model.WIDTH, block=4))
+    return regions.outlines(regions.label(_cells(spark, sf_dir), "value", model.WIDTH))
 
 
-# The same over the whole grid, beyond recursive SQL.
+# The same in small blocks, so that most regions are merged across their edges.
 
 @query()
 def region_label_whole(spark, sf_dir):
@@ -227,6 +227,21 @@ def region_outlines_whole(spark, sf_dir):
     return regions.outlines(region_label_whole(spark, sf_dir))
 
 
+RINGS = LABELS + """, d(k, side, i, j, r1, c1, r2, c2) AS (VALUES (0, 'n', -1, 0, 0, 0, 0, 1), (1, 'e', 0, 1, 0, 1, 1, 1), (2, 's', 1, 0, 1, 1, 1, 0), (3, 'w', 0, -1, 1, 0, 0, 0)),
+ edge AS (SELECT a.region, (a."row" * 50 + a.col) * 4 + k AS id, k, a.col + c1 AS x, a."row" + r1 AS y, a.col + c2 AS x2, a."row" + r2 AS y2 FROM labelled a CROSS JOIN d LEFT JOIN labelled b ON b."row" = a."row" + i AND b.col = a.col + j WHERE b.region IS NULL OR b.region <> a.region),
+ follow AS (SELECT a.id, arg_min(b.id, (b.k - a.k + 7) % 4) AS next FROM edge a JOIN edge b ON b.region = a.region AND b.x = a.x2 AND b.y = a.y2 GROUP BY a.id),
+ walk(id, spot) AS (SELECT id, id FROM edge UNION SELECT w.id, f.next FROM walk w JOIN follow f ON f.id = w.spot),
+ ring AS (SELECT id, min(spot) AS ring FROM walk GROUP BY id), steps(ring, spot, k) AS (SELECT DISTINCT ring, ring, 0 FROM ring UNION ALL SELECT s.ring, f.next, s.k + 1 FROM steps s JOIN follow f ON f.id = s.spot WHERE f.next <> s.ring),
+ sided AS (SELECT e.region, s.ring, s.k AS place, e.x, e.y, e.x2, e.y2, e.k <> coalesce(lag(e.k) OVER (PARTITION BY s.ring ORDER BY s.k), last_value(e.k) OVER (PARTITION BY s.ring ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS corner FROM steps s JOIN edge e ON e.id = s.spot)"""
+
+
+@query("WITH RECURSIVE " + RINGS + """ SELECT region, ring, sum(x * y2 - x2 * y) < 0 AS hole, string_agg(CASE WHEN corner THEN x || ' ' || y END, ', ' ORDER BY place) AS corners FROM sided GROUP BY region, ring""")
+def region_rings(spark, sf_dir):
+    corners = regions.rings(regions.label(_cells(spark, sf_dir), "value", model.WIDTH), model.WIDTH)
+    text = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    return corners.groupBy("region", "ring", "hole").agg(F.array_join(text, ", ").alias("corners"))
+
+
 # Terrain.
 
 SURFACE = """surface AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, CAST(p_size AS DOUBLE) AS z, p_partkey AS pixel FROM part),
