@@ -25,10 +25,12 @@ URL_RULES = (
 
 
 def op1_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; a null URL has neither host nor path and is allowed."""
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; a group of rows without ids has no name."""
     rows = simhash.groups(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -41,44 +43,53 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document; a null text is empty."""
     return pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out; ``und`` for texts without letters."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out()))
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of every document under unigrams and the recurrent model; a null text is its end alone."""
     return gru_lm.score_all(_table(spark, sf_dir, "documents"))
 
 
 def op6_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that start anywhere else as well."""
     return fm_dedup.removed(_table(spark, sf_dir, "documents"))
 
 
 def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by patterns and by the field; a null text has none."""
     rows = crf_secrets.find(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_crf")
 
 
 def op8_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; null is a source of its own, the last one."""
     rows = mixing.plan(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
 def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector; vectors that are null, zero or not finite have no links."""
     rows = capfilters.groups(_table(spark, sf_dir, "embeddings"))
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition of every document and whether it is kept; a null text fails."""
     rows = repetition.measure(_table(spark, sf_dir, "documents"))
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict()).drop("covered_words", "longest_repeat")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``corpus_pipeline.run``."""
     import corpus_pipeline  # it takes its tokenizer's place from here
 
     return corpus_pipeline.run(spark, sf_dir)
