@@ -1,6 +1,12 @@
 """A corpus pipeline over ``documents``: five stages, each on all that the stage before kept.
 
 Every stage but the last returns the columns of ``documents``.
+
+Defined results: a null or empty text has no words, so the quality rules reject it;
+a null id, language, source or count goes along as it is (null is a source of its
+own in the mix); of rows that repeat an id and a text, or are near duplicates, one
+stays; texts are read whole, however long; an empty table gives empty results;
+columns of other names go along until the last stage.
 """
 
 from __future__ import annotations
