@@ -35,6 +35,8 @@ from landtide.llm.samples import smallest
 SAMPLE_WITH, SAMPLE_WITHOUT = 400, 200
 #: Labelled places of a sampled text that are learned from, words on each side of a place, sequences of a step, steps.
 PLACES, AROUND, BATCH, STEPS = 8, 12, 200, 120
+#: Bytes of text whose words are tagged in step.
+STEP_BYTES = 3 << 20
 KINDS = ("assign", "access", "hex", "crf")
 MASK = "[SECRET]"
 
@@ -170,7 +172,7 @@ def viterbi(emit: np.ndarray, moves: np.ndarray, offs: np.ndarray) -> np.ndarray
         best = step.argmax(1)
         at = begin[:live] + t
         back[at] = best
-        score = np.take_along_axis(step, best[:, None], 1)[:, 0] + emit[at]
+        score = step.max(1) + emit[at]
     filled = lens > 0
     last, tag = (begin + lens - 1)[filled], final[filled]
     left = lens[filled].copy()
@@ -373,7 +375,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in W.sized_batches(batches, 1):
+        for b in W.sized_batches(batches, 1, STEP_BYTES):
             found = scan([(t or "").encode() for t in b.column(1).to_pylist()], *held.value, shapes)
             counts = [pa.array([sum(k == n for _, _, k in s) for s in found], pa.int64()) for n in range(4)]
             texts = [pa.array([_spans_text([x for x in s if x[2] < 3]) for s in found], pa.string()), pa.array([_spans_text(s) for s in found], pa.string())]
@@ -391,7 +393,7 @@ def mask(docs: DataFrame, text_col: str = "text", model: tuple[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in W.sized_batches(batches, at):
+        for b in W.sized_batches(batches, at, STEP_BYTES):
             texts = b.column(at).to_pylist()
             found = scan([(t or "").encode() for t in texts], *held.value, shapes)
             new = pa.array([t and masked(t, s) for t, s in zip(texts, found)], b.schema.field(at).type)
