@@ -48,9 +48,7 @@ def national(tiles: DataFrame, settings: Settings) -> DataFrame:
 
 
 def roll_baseline(baseline: DataFrame, latest: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The baseline with the latest valid values put in, band by band."""
-    out = None
-    for name in names:
-        part = composites.update(baseline, latest, PIXEL, name)
-        out = part if out is None else out.join(part, list(PIXEL))
-    return out
+    """The baseline with the latest valid values of all bands put in: one join."""
+    new = latest.select(*PIXEL, *(bands.present(F.col(n), 0).alias(f"__new_{n}") for n in names))
+    joined = baseline.select(*PIXEL, *names).join(new, list(PIXEL), "full")
+    return joined.select(*PIXEL, *(F.coalesce(f"__new_{n}", n).alias(n) for n in names))

@@ -125,6 +125,16 @@ def acquisition_time(spark, sf_dir):
     return _names(spark, sf_dir).select("uuid", names.acquired(t).cast("timestamp_ntz").alias("acquired"), swapped.alias("renamed"))
 
 
+@query("WITH " + NAMES + r""" SELECT uuid, split_part(title, '_', 1) AS satellite, split_part(title, '_', 3) AS date, split_part(title, '_', 5) AS orbit, split_part(title, '_', 6) AS granule, o_orderdate::TIMESTAMP AS processed,
+ strftime(o_orderdate, '%Y-%m-%d') AS day, replace(replace(title, 'MSIL1C', 'MSIL2A'), split_part(title, '_', 4), 'N0500')[: length(title) - 20] || '20240102T030405.SAFE' AS renamed FROM named""")
+def product_identifiers(spark, sf_dir):
+    t = F.col("title")
+    who = names.identifiers(t)
+    day = names.iso_date(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    renamed = names.corrected_output_name(t, "20240102T030405", "0500")
+    return _names(spark, sf_dir).select("uuid", *(who[c].alias(c) for c in ("satellite", "date", "orbit", "granule")), names.processing_time(t).cast("timestamp_ntz").alias("processed"), day.alias("day"), renamed.alias("renamed"))
+
+
 @query("SELECT o_orderkey AS uuid, strftime(DATE '2000-01-01' + CAST(o_custkey AS INT), '%Y-%m-%d') AS day, 'band' || CAST(1 + o_custkey % 18 AS VARCHAR) AS band, datediff('day', DATE '2000-01-01', CAST(o_orderdate AS DATE))::INT AS number FROM orders")
 def serial_date(spark, sf_dir):
     o = model.table(spark, sf_dir, "orders")

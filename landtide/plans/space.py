@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landtide import model
 from landtide.functions import bands, geo
-from landtide.operators import grid, regions, zonal
+from landtide.operators import grid, polygons, regions, zonal
 from landtide.plans.pixels import REPORT, report18
 from landtide.plans.registry import query
 
@@ -112,6 +112,53 @@ def burn_polygons(spark, sf_dir):
     return _base(spark, sf_dir).select("row", "col", F.when(inside, 3).otherwise(0).alias("burnt"))
 
 
+# Polygons with holes on pixels, and on each other: boxes as rings, each with an inner ring.
+
+FRAMED = """{base}, {boxes}, spots AS (SELECT pixel, "row", col, reflectance, col + 0.5 AS x, 60 - ("row" + 0.5) AS y FROM base),
+ inside AS (SELECT s.*, b.area, b.region FROM spots s JOIN boxes b ON x > xmin AND x < xmax AND y > ymin AND y < ymax AND NOT (x > xmin + 3 AND x < xmax - 3 AND y > ymin + 3 AND y < ymax - 3))"""
+
+
+def _framed(spark, sf_dir):
+    ring = lambda cut: geo.box_ring(F.col("xmin") + cut, F.col("ymin") + cut, F.col("xmax") - cut, F.col("ymax") - cut)
+    return model.boxes(spark, sf_dir).select("area", "region", F.array(ring(0), ring(3)).alias("rings"))
+
+
+@query("WITH " + FRAMED + " SELECT area, count(*) AS cells, round(sum(reflectance), 4) AS reflectance, min(pixel) AS first FROM inside GROUP BY area")
+def polygon_pixels(spark, sf_dir):
+    on = polygons.cells_within(_base(spark, sf_dir), _framed(spark, sf_dir), 0.0, 60.0, 1.0)
+    return on.groupBy("area").agg(F.count("*").alias("cells"), F.round(F.sum("reflectance"), 4).alias("reflectance"), F.min("pixel").alias("first"))
+
+
+@query("WITH " + FRAMED + ', top AS (SELECT "row", col, max(region + 1) AS burnt FROM inside GROUP BY ALL) SELECT base."row", base.col, coalesce(burnt, 0)::INT AS burnt FROM base LEFT JOIN top ON top."row" = base."row" AND top.col = base.col')
+def burn_layer(spark, sf_dir):
+    layer = _framed(spark, sf_dir).withColumn("burnt", (F.col("region") + 1).cast("int"))
+    return polygons.burn(_base(spark, sf_dir), layer, "burnt", 0.0, 60.0, 1.0)
+
+
+@query("""WITH {boxes} SELECT a.area AS a, b.area AS b, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)), 6) AS shared, 144.0::DOUBLE - 36 AS frame
+ FROM boxes a JOIN boxes b ON a.area < b.area AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax""")
+def polygon_overlap(spark, sf_dir):
+    n = model.boxes(spark, sf_dir).drop("region")
+    a, b = (n.select(*(F.col(c).alias(f"{p}{c}") for c in n.columns)) for p in ("a_", "b_"))
+    met = zonal.intersecting_boxes(a, b, 20.0).where("a_area < b_area")
+    ring = lambda p, cut=0: geo.box_ring(*(F.col(f"{p}{c}") + s * cut for c, s in (("xmin", 1), ("ymin", 1), ("xmax", -1), ("ymax", -1))))
+    shared = geo.ring_area(polygons.clipped(ring("a_"), ring("b_")))
+    return met.select(F.col("a_area").alias("a"), F.col("b_area").alias("b"), F.round(shared, 6).alias("shared"), polygons.area(F.array(ring("a_"), ring("a_", 3))).alias("frame"))
+
+
+@query("""WITH {base}, c AS (SELECT *, abs("row" % 4 - 2) + abs(col % 4 - 2) AS away FROM base), r AS (SELECT *, row_number() OVER (PARTITION BY "row" // 4, col // 4 ORDER BY away, "row", col) AS k FROM c)
+ SELECT ("row" // 4)::BIGINT AS "row", (col // 4)::BIGINT AS col, CAST(trunc(least(greatest(reflectance * 255 / 2000, 0), 255)) AS INT) AS reflectance FROM r WHERE k = 1""")
+def thumbnail(spark, sf_dir):
+    return grid.quicklook(_base(spark, sf_dir).select("row", "col", "reflectance"), 4, ["reflectance"])
+
+
+@query("""WITH {boxes} SELECT area, floor(xmax - xmin)::BIGINT AS width, CAST(trunc((300 - ymax) / 3) AS INT) AS row1, CAST(trunc((300 - ymin) / 3) AS INT) + 1 AS row2, CAST(trunc(xmin / 3) AS INT) AS col1, CAST(trunc(xmax / 3) AS INT) + 1 AS col2 FROM boxes""")
+def box_offsets(spark, sf_dir):
+    box = F.struct("xmin", "ymin", "xmax", "ymax")
+    whole, at = geo.whole_extent(box), geo.box_to_offsets(box, F.lit(0.0), F.lit(300.0), F.lit(3.0))
+    return model.boxes(spark, sf_dir).select("area", (whole["xmax"] - whole["xmin"]).cast("long").alias("width"), *(at[c].alias(c) for c in ("row1", "row2", "col1", "col2")))
+
+
 # Zones and alerts.
 
 ZONES = REPORT + """, cells AS (SELECT r.*, p_size % 40 AS zone FROM report r JOIN part ON p_partkey = pixel)"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landtide.functions import bands, geo, names
-from landtide.operators import change, composites, grid, masks, regions, sampling, training, zonal
+from landtide.operators import change, composites, grid, masks, polygons, regions, sampling, training, zonal
 from landtide.sources import listing, rasters
 from landtide.streaming import report as streaming
 
@@ -119,6 +119,47 @@ def test_sieve(spark):
     assert matrix(regions.sieve(cells(spark, [[1, 1, 1, 1], [1, 2, 1, 1], [1, 1, 1, 3]]), "value", 4, 2)) == [[1, 1, 1, 1]] * 3
 
 
+def test_regions_of_tiles_apart(spark):
+    one_tile, other = cells(spark, [[1, 1, 2], [2, 1, 2]]), cells(spark, [[1, 2, 2], [2, 2, 1]])
+    both = one_tile.withColumn("tile", F.lit("a")).union(other.withColumn("tile", F.lit("b")))
+    for block in (2, 256):
+        got = regions.label(both, "value", 3, block=block, scene=["tile"])
+        for tile, alone in (("a", one_tile), ("b", other)):
+            assert matrix(got.where(F.col("tile") == tile), "region") == matrix(regions.label(alone, "value", 3), "region")
+    assert regions.sieve(both, "value", 3, 2, scene=["tile"]).where("tile = 'b' and value = 1").count() == 0
+    assert regions.areas(got, ["tile"]).count() == 3 + 3 and regions.rings(got, 3, scene=["tile"]).select("tile", "region", "ring").distinct().count() == 6
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_polygons_of_regions(spark, connectivity):
+    a = [[5, 5, 5, 5, 0], [5, 0, 7, 5, 0], [5, 7, 0, 5, 5], [5, 5, 5, 5, 0], [0, 0, 0, 0, 7]]
+    labelled = regions.label(cells(spark, a), "value", 5, connectivity)
+    got = {r["region"]: r for r in regions.polygons(labelled, 5, connectivity, nodata=[0]).collect()}
+    size = {r["region"]: r["cells"] for r in regions.areas(labelled).where("value <> 0").collect()}
+    ring = lambda p: [(v["x"], v["y"]) for v in p]
+    area = lambda p: sum(x * y2 - x2 * y for (x, y), (x2, y2) in zip(ring(p), ring(p)[1:])) / 2
+    assert got.keys() == size.keys()
+    for k, r in got.items():  # outer rings run clockwise on the image, holes the other way
+        assert area(r["shell"]) > 0 > max(map(area, r["holes"]), default=-1) and area(r["shell"]) + sum(map(area, r["holes"])) == size[k]
+    assert [ring(h) for h in got[0]["holes"]] == [[(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]]
+    assert ring(got[0]["shell"]) == [(0, 0), (4, 0), (4, 2), (5, 2), (5, 3), (4, 3), (4, 4), (0, 4), (0, 0)]
+    assert ({k: len(ring(r["shell"])) for k, r in got.items() if r["value"] == 7}) == ({7: 5, 11: 5, 24: 5} if connectivity == 4 else {7: 9, 24: 5})
+
+
+def test_polygon_on_cells_and_window(spark):
+    ring = lambda *points: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
+    outer, hole = ring((1, 1), (9, 1), (9, 9), (1, 9), (1, 1)), ring((3, 3), (7, 3), (7, 7), (3, 7), (3, 3))
+    layer = spark.range(1).select(F.lit(4).alias("value"), F.array(outer, hole).alias("rings"))
+    got = matrix(polygons.burn(cells(spark, [[0] * 10] * 10), layer, "value", 0.0, 10.0, 1.0))
+    assert got == [[4 * (1 <= i < 9 and 1 <= j < 9 and not (3 <= i < 7 and 3 <= j < 7)) for j in range(10)] for i in range(10)]
+    assert sum(map(sum, got)) == 4 * one(spark, polygons.area(F.array(outer, hole)))
+    triangle = ring((0, 0), (6, 0), (0, 6), (0, 0))
+    assert one(spark, geo.ring_area(polygons.clipped(triangle, outer))) == pytest.approx(8)
+    assert one(spark, F.size(polygons.clipped(ring((20, 20), (21, 20), (20, 21), (20, 20)), outer))) == 0
+    notch = ring((0, 2), (12, 2), (12, 8), (0, 8), (5, 5), (0, 2))  # not convex: a triangle is missing at the left, of 4 by 4.8 within the window
+    assert one(spark, geo.ring_area(polygons.clipped(notch, outer))) == pytest.approx(48 - 4 * 4.8 / 2)
+
+
 def test_sampling_design(spark):
     rows = [(1, 200_000, 0.7), (2, 150_000, 0.6), (3, 3_200_000, 0.9), (4, 6_450_000, 0.95)]
     df = spark.createDataFrame(rows, "class_code int, n long, accuracy double")
