@@ -93,6 +93,21 @@ def utm_to_latlon(x: Column, y: Column, zone: Column, north: Column) -> Column:
     return F.struct(F.degrees(lat).alias("lat"), (F.degrees(lon) + (zone - 1) * 6 - 177).alias("lon"))
 
 
+def utm_zone(lon: Column) -> Column:
+    """The UTM zone of a longitude in degrees."""
+    return (F.floor((lon + 180) / 6) + 1).cast("int")
+
+
+def is_lonlat(box: Column) -> Column:
+    """Whether a box can be in degrees of longitude and latitude."""
+    return (box["xmin"] >= -180) & (box["xmax"] <= 180) & (box["ymin"] >= -90) & (box["ymax"] <= 90)
+
+
+def reprojected(ring: Column, move) -> Column:
+    """A ring with each point carried over by ``move``, a function of x and y to a struct of both."""
+    return F.transform(ring, lambda p: move(p["x"], p["y"]))
+
+
 def latlon_to_utm(lat: Column, lon: Column, zone: Column) -> Column:
     """UTM coordinates (northern grid; add 10 000 000 to y south of the equator)."""
     e2 = _F * (2 - _F)

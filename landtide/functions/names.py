@@ -94,6 +94,17 @@ def iso_date(text: Column) -> Column:
     return F.when(found[0] != "", F.concat_ws("-", *found)).cast("string")
 
 
+def required_date(text: Column) -> Column:
+    """``iso_date``, which ends the job for a text that is no date; null stays null."""
+    got = iso_date(text)
+    return F.when(text.isNotNull() & got.isNull(), F.raise_error(F.concat(F.lit("not a date: "), text))).otherwise(got)
+
+
+def run_id(area: Column, started: Column, salt: Column) -> Column:
+    """Area, time of the start and eight digits that tell runs of one second apart."""
+    return F.concat_ws("_", area, F.date_format(started, "yyyyMMdd'T'HHmmss"), F.lower(F.substring(F.sha2(F.concat_ws("/", area, salt.cast("string")), 256), 1, 8)))
+
+
 def size_mb(text: Column) -> Column:
     """Megabytes of texts like ``1.2 GB``."""
     number, unit = F.try_to_number(F.split_part(text, F.lit(" "), F.lit(1)), F.lit("999999999D999999999")).cast("double"), F.split_part(text, F.lit(" "), F.lit(2))

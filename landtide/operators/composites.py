@@ -83,3 +83,8 @@ def class_shares(maps: DataFrame, no_data: int = 0) -> DataFrame:
 def class_coordinates(maps: DataFrame, no_data: int = 0) -> DataFrame:
     """Class and coordinates of every pixel that has data: the rows behind a class dictionary, kept distributed."""
     return maps.where(F.col("class_code") != no_data).select("class_code", "row", "col")
+
+
+def nodata_share(images: DataFrame, scene: Sequence[str], band: str, missing: float = 0) -> DataFrame:
+    """The percentage of each scene's pixels that are missing or null in ``band``."""
+    return images.groupBy(*scene).agg((100.0 * F.count_if(present(F.col(band), missing).isNull()) / F.count("*")).alias("nodata_percent"))

@@ -53,8 +53,8 @@ def allocate(classes: DataFrame, total: int, kind: str = "prop") -> DataFrame:
 
 
 def standard_errors(classes: DataFrame) -> DataFrame:
-    """``classes (class_code, n, accuracy, sample_size)`` with the error of each class's accuracy and of the overall one."""
-    own = F.col("accuracy") * (1 - F.col("accuracy")) / (F.col("sample_size") - 1)
+    """``classes (class_code, n, accuracy, sample_size)`` with the error of each class's accuracy (null for a sample of one) and of the overall one."""
+    own = F.col("accuracy") * (1 - F.col("accuracy")) / F.nullif(F.col("sample_size") - 1, F.lit(0))
     return weights(classes).withColumn("user_error", F.sqrt(own)).withColumn("overall_error", F.sqrt(F.sum(F.col("weight") ** 2 * own).over(_all())))
 
 
@@ -69,3 +69,19 @@ def stratified(cells: DataFrame, sizes: DataFrame, order: Sequence[Column | str]
 def arithmetic_hash(x: Column, seed: int = 0) -> Column:
     """Multiplicative hash modulo 2^32, the same in any SQL engine."""
     return ((x + seed) * F.lit(2654435761)) % F.lit(4294967296)
+
+
+def scenario(cells: DataFrame, accuracy: Column, error: float, order: Sequence[Column | str], corner: tuple[float, float], res: float, nodata: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A validation of a class map: its manifest, a row a class, and the points to look at.
+
+    ``cells (row, col, class_code, ...)`` are counted by class without ``nodata``;
+    ``accuracy`` is a column of ``class_code``. The total for the wanted standard
+    error is dealt in proportion to size; points are at the centres of their cells.
+    """
+    mapped = cells.where(F.col("class_code") != nodata)
+    classes = mapped.groupBy("class_code").agg(F.count("*").alias("n")).withColumn("accuracy", accuracy)
+    total = total_size(classes, error, "full").first()[0] or 0
+    manifest = standard_errors(allocate(classes, int(total)))
+    points = stratified(mapped, manifest, order)
+    x, y = F.lit(corner[0]) + (F.col("col") + 0.5) * res, F.lit(corner[1]) - (F.col("row") + 0.5) * res
+    return manifest, points.withColumns({"x": x, "y": y})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landtide.operators.polygons import cells_within
+
 
 def signatures(samples: DataFrame, label: str, bands: Sequence[str]) -> DataFrame:
     """Least, greatest, mean and sample deviation of each band in each class, a row for both."""
@@ -60,13 +62,36 @@ def classify(image: DataFrame, model, bands: Sequence[str], nodata: float = 0) -
     return scored.select(*image.columns, F.when(full, F.col("prediction").cast("int")).otherwise(0).alias("class_code"), F.when(full, vector_to_array("__probability")).alias("probabilities"))
 
 
-def cross_validated(samples: DataFrame, label: str, features: Sequence[str], folds: int = 10, trees: int = 100, seed: int = 101) -> DataFrame:
+def cross_validated(samples: DataFrame, label: str, features: Sequence[str], folds: int = 10, trees: int = 100, seed: int = 101, depth: int = 12) -> DataFrame:
     """Accuracy of each fold, trained on the others; folds follow from a hash of the features."""
     fold = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(folds))
     rows = samples.withColumn("__fold", fold)
     out = None
     for k in range(folds):
-        model = forest(rows.where(F.col("__fold") != k).drop("__fold"), label, features, trees, seed=seed)
+        model = forest(rows.where(F.col("__fold") != k).drop("__fold"), label, features, trees, depth, seed)
         part = model.transform(rows.where(F.col("__fold") == k)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).withColumn("fold", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out.select("fold", "accuracy")
+
+
+def under_polygons(cells: DataFrame, layer: DataFrame, label: str, features: Sequence[str], ulx: float, uly: float, res: float, nodata: float = 0, scene: Sequence[str] = ()) -> DataFrame:
+    """Samples ``(scene, row, col, label, features)``: the cells under labelled ``layer (scene, rings, label)`` with data in every feature.
+
+    A cell under polygons of several labels is a sample of each.
+    """
+    full = F.lit(True)
+    for f in features:
+        full = full & (F.col(f) != nodata)
+    keys = [*scene, "row", "col"]
+    on = cells_within(cells.select(*keys, *features).where(full), layer.select(*scene, "rings", label), ulx, uly, res, scene)
+    return on.select(*keys, label, *features).distinct()
+
+
+def grid_search(samples: DataFrame, label: str, features: Sequence[str], grid: Sequence[dict], folds: int = 5, seed: int = 101) -> DataFrame:
+    """``(trees, depth, accuracy, deviation)`` over the folds of each of ``grid``'s settings (``trees`` and ``depth``), the best first."""
+    out = None
+    for setting in grid:
+        scored = cross_validated(samples, label, features, folds, setting["trees"], seed, setting["depth"])
+        one = scored.agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("deviation")).select(F.lit(setting["trees"]).alias("trees"), F.lit(setting["depth"]).alias("depth"), "accuracy", "deviation")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("accuracy"), "trees", "depth")

@@ -219,9 +219,9 @@ def change_report_summary(spark, sf_dir):
 
 # Regions.
 
-LABELS = """cells AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, (p_size % 7 < 3)::INT AS value FROM part),
- n AS (SELECT "row" * 50 + col AS id, * FROM cells), reach(id, to_id, value) AS (SELECT id, id, value FROM n UNION SELECT r.id, b.id, r.value FROM reach r JOIN n a ON a.id = r.to_id JOIN n b ON b.value = r.value AND abs(a."row" - b."row") + abs(a.col - b.col) = 1),
+REACH = """n AS (SELECT "row" * 50 + col AS id, * FROM cells), reach(id, to_id, value) AS (SELECT id, id, value FROM n UNION SELECT r.id, b.id, r.value FROM reach r JOIN n a ON a.id = r.to_id JOIN n b ON b.value = r.value AND abs(a."row" - b."row") + abs(a.col - b.col) = 1),
  labelled AS (SELECT n."row", n.col, n.value, r.region FROM n JOIN (SELECT id, min(to_id)::BIGINT AS region FROM reach GROUP BY id) r USING (id))"""
+LABELS = """cells AS (SELECT CAST(p_partkey // 50 AS INT) AS "row", CAST(p_partkey % 50 AS INT) AS col, (p_size % 7 < 3)::INT AS value FROM part), """ + REACH
 
 
 def _cells(spark, sf_dir):

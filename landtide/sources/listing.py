@@ -53,3 +53,9 @@ def with_stamp(listing: DataFrame, name: str = "name", recent_first: bool = True
 
 def related(listing: DataFrame, stamp: str, name: str = "name") -> DataFrame:
     return listing.where(F.contains(name, F.lit(stamp)))
+
+
+def lines(texts: DataFrame, part: str, keys: Sequence[str] = ("path",), text: str = "text") -> DataFrame:
+    """``(keys, line, value)``: lines of whole texts that contain ``part``, numbered from 0; a null text has none."""
+    each = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "value"))
+    return each.where(F.contains("value", F.lit(part)))

@@ -52,3 +52,14 @@ def write_features(features: DataFrame, path: str) -> None:
 def placemark(name: Column, ring: Column) -> Column:
     point = lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))
     return F.concat(F.lit("<Placemark><name>"), name, F.lit("</name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), F.concat_ws(" ", F.transform(ring, point)), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
+
+
+def projection(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, crs)``: the named reference system of each GeoJSON file, longitude and latitude where it names none."""
+    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.from_json("value", "crs struct<properties:struct<name:string>>").alias("j"))
+    return text.select("path", F.coalesce("j.crs.properties.name", F.lit("urn:ogc:def:crs:OGC:1.3:CRS84")).alias("crs"))
+
+
+def required_ring(kind: Column, ring: Column) -> Column:
+    """The ring of an area of interest; a geometry of another kind than a polygon ends the job."""
+    return F.when(kind == "Polygon", ring).otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, F.lit("no geometry")))))
