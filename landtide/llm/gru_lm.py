@@ -147,41 +147,50 @@ def _step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return cand + gates[:, :n] * (h - cand), gates, cand, hu[:, 2 * n :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _chances(logits: np.ndarray, place: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of logits (first axis: choices; changed in place), the log chance of the choice at ``place``, and the slopes of its negative if asked for."""
+    at = np.arange(len(place))
+    logits -= logits.max(0)
+    own = logits[place, at]
+    total = np.exp(logits, out=logits).sum(0)
+    if slope:
+        logits /= total
+        logits[place, at] -= 1
+    return own - np.log(total), logits
 
 
 def _outputs(net: Net, lex: Lexicon, h: np.ndarray, codes: np.ndarray, slopes: Net | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log chance of each token (of a token of the rest: of that class), and the slope to ``h``."""
+    slope = slopes is not None
     group = _classes_of(lex, codes)
-    at = np.arange(len(codes))
-    logp = _log_softmax(h @ net["c"] + net["cb"])
-    out = logp[at, group].astype(np.float64)
-    back = None
-    if slopes is not None:
-        d = np.exp(logp)
-        d[at, group] -= 1
-        slopes["c"] += h.T @ d
-        slopes["cb"] += d.sum(0)
-        back = d @ net["c"].T
+    logits = net["c"].T @ h.T
+    logits += net["cb"][:, None]
+    logp, d = _chances(logits, group, slope)
+    out, back = logp.astype(np.float64), None
+    if slope:
+        slopes["c"] += (d @ h).T
+        slopes["cb"] += d.sum(1)
+        back = d.T @ net["c"].T
     own = np.flatnonzero((codes >= 0) & (codes < OUT))
-    own = own[np.argsort(group[own], kind="stable")]
+    own = own[np.argsort(group[own].astype(np.int16), kind="stable")]
     cuts = np.searchsorted(group[own], np.arange(OUT // WIDE + 1))
+    place, states, logs = codes[own] % WIDE, h[own], np.empty(len(own), h.dtype)
+    more = np.empty_like(states) if slope else None
     for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a == b:
             continue
-        rows, words = own[a:b], slice(g * WIDE, (g + 1) * WIDE)
-        part = _log_softmax(h[rows] @ net["w"][words].T + net["wb"][words])
-        place = codes[rows] - g * WIDE
-        out[rows] += part[np.arange(len(rows)), place]
-        if slopes is not None:
-            d = np.exp(part)
-            d[np.arange(len(rows)), place] -= 1
-            slopes["w"][words] += d.T @ h[rows]
-            slopes["wb"][words] += d.sum(0)
-            back[rows] += d @ net["w"][words]
-    if slopes is None and len(lex.inside):
+        words = slice(g * WIDE, (g + 1) * WIDE)
+        logits = net["w"][words] @ states[a:b].T
+        logits += net["wb"][words, None]
+        logs[a:b], d = _chances(logits, place[a:b], slope)
+        if slope:
+            slopes["w"][words] += d @ states[a:b]
+            slopes["wb"][words] += d.sum(1)
+            np.matmul(d.T, net["w"][words], out=more[a:b])
+    out[own] += logs
+    if slope:
+        back[own] += more
+    elif len(lex.inside):
         out += np.log(10) * np.where(codes >= 0, lex.inside[np.maximum(codes, 0)], 0)
     return out, back
 
