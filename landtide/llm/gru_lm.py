@@ -39,8 +39,8 @@ HEAD, OUT, WIDE, STATIC = 1 << 18, 2048, 64, 16
 HIDDEN, WINDOW = 24, 16
 #: Rounds that the training texts are dealt to, tokens of a stream on average; a stream is read in up to ``LANES`` lanes, for about ``UPDATES`` updates.
 ROUNDS, STREAM, LANES, UPDATES, RATE = 2, 3_000_000, 512, 366, 0.03
-#: Tokens that are scored in step.
-STEP_TOKENS = 1 << 20
+#: Tokens that are scored in step, and those of them whose outputs are computed at once.
+STEP_TOKENS, BLOCK = 1 << 20, 1 << 14
 #: Weights of a row when networks are averaged; tasks of a round.
 _BLOCK, MOST_TASKS = 4096, 20_000
 
@@ -134,15 +134,20 @@ def fresh(lex: Lexicon, seed: int = 3) -> Net:
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """In place; far below zero the exponential is infinite and the result 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step of the unit: new state, gates, candidate, and what the reset gate scales."""
     n = HIDDEN
     hu = h @ net["u"]
-    gates = x[:, : 2 * n] + hu[:, : 2 * n]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5  # logistic
+    gates = _logistic(x[:, : 2 * n] + hu[:, : 2 * n])
     cand = np.tanh(x[:, 2 * n :] + gates[:, n:] * hu[:, 2 * n :])
     return cand + gates[:, :n] * (h - cand), gates, cand, hu[:, 2 * n :]
 
@@ -195,11 +200,18 @@ def _outputs(net: Net, lex: Lexicon, h: np.ndarray, codes: np.ndarray, slopes: N
     return out, back
 
 
-def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray, often: int = 12) -> None:
+    """``table[rows] += values`` where rows repeat: frequent rows are summed one by one, the others turn by turn, each once a turn."""
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # there are fewer rows than that
+    r, values = rows[order], values.take(order, axis=0)
     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    table[r[first]] += np.add.reduceat(values[order], first, axis=0)
+    sizes = np.diff(np.r_[first, len(r)])
+    for a, n in zip(first[sizes > often], sizes[sizes > often]):
+        table[r[a]] += values[a : a + n].sum(0)
+    rare, sizes = first[sizes <= often], sizes[sizes <= often]
+    for turn in range(sizes.max(initial=0)):
+        at = rare[sizes > turn] + turn
+        table[r[at]] += values.take(at, axis=0)
 
 
 def slopes_of(net: Net, lex: Lexicon, rows: np.ndarray, reset: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[float, Net, np.ndarray]:
@@ -210,15 +222,11 @@ def slopes_of(net: Net, lex: Lexicon, rows: np.ndarray, reset: np.ndarray, targe
     size, lanes = rows.shape
     n, kind = HIDDEN, net["u"].dtype
     before, cand, hu, state = (np.empty((size, lanes, n), kind) for _ in range(4))
-    gates, x, u = np.empty((size, lanes, 2 * n), kind), net["x"][rows], net["u"]
+    gates, x, u = np.empty((size, lanes, 2 * n), kind), net["x"].take(rows, axis=0), net["u"]
     for t in range(size):
         h = np.multiply(h, reset[t], out=before[t])
         a = h @ u
-        g = np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=gates[t])
-        g *= 0.5
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5  # logistic
+        g = _logistic(np.add(x[t, :, : 2 * n], a[:, : 2 * n], out=gates[t]))
         hu[t] = a[:, 2 * n :]
         c = np.multiply(g[:, n:], hu[t], out=cand[t])
         c += x[t, :, 2 * n :]
@@ -300,7 +308,8 @@ def score(net: Net, lex: Lexicon, codes: np.ndarray, offs: np.ndarray, window: i
             states.append(h)
             place.append(at)
             lane.append(np.arange(n))
-        logp, _ = _outputs(net, lex, np.concatenate(states), codes[np.concatenate(place)])
+        states, words = np.concatenate(states), codes[np.concatenate(place)]
+        logp = np.concatenate([_outputs(net, lex, states[k : k + BLOCK], words[k : k + BLOCK])[0] for k in range(0, len(words), BLOCK)])
         total += np.bincount(np.concatenate(lane), logp, len(total))
     out = np.empty(len(order))
     out[order] = total
