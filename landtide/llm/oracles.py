@@ -56,3 +56,21 @@ def near_vectors(cosine: float) -> str:
  reach(a, b) AS (SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b),
  far AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
  SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(far.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(far.b, vec_id)) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN far ON far.a = vec_id"""
+
+
+def clusters(dim: int, scale: int, centres: int, rounds: int, seed: int) -> str:
+    """Rounds of plain assignment, one after another, in whole numbers."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT r, num, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM v, c{k}),
+ a{k} AS MATERIALIZED (SELECT r, min_by(num, struct_pack(d := d, num := num)) AS cluster, min(d) AS d FROM d{k} GROUP BY r)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT cluster, i, sum(x[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM v JOIN a{k} USING (r), range(1, {dim + 1}) t(i) GROUP BY cluster, i),
+ m{k} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{k} GROUP BY cluster),
+ c{k + 1} AS MATERIALIZED (SELECT num, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON cluster = num)""")
+    return f"""WITH sound AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)) AS x FROM embeddings
+ WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), v AS MATERIALIZED (SELECT * FROM sound),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS num, x AS c FROM v WHERE vec_id IS NOT NULL ORDER BY num LIMIT {centres}),
+ {", ".join(steps)}
+ SELECT vec_id, cluster::INT AS cluster, d::BIGINT AS distance, sum(d::BIGINT) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d::BIGINT) OVER ()::BIGINT AS inertia,
+ sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN c{rounds} ON cluster = num"""

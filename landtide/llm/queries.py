@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landtide.llm import capfilters, crf_secrets, fm_dedup, gru_lm, langid, mixing, oracles, pieces, repetition, simhash, url_filter
+from landtide.llm import capfilters, crf_secrets, fm_dedup, gru_lm, langid, mixing, oracles, packing, pieces, repetition, simhash, url_filter, whitening, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,22 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.verdict()).drop("covered_words", "longest_repeat")
 
 
+def op11_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes; a null text is its end alone."""
+    rows = packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector of 64 finite components, with figures of its cluster."""
+    return yinyang.summary(*yinyang.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every finite vector; a deviation beyond 64 bits is null."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``corpus_pipeline.run``."""
     import corpus_pipeline  # it takes its tokenizer's place from here
@@ -106,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_target_mix": op8_target_mix,
     "op9_cap_filters": op9_cap_filters,
     "op10_suffix_repetition": op10_suffix_repetition,
+    "op11_sum_of_squares_packing": op11_sum_of_squares_packing,
+    "op12_yinyang_clusters": op12_yinyang_clusters,
+    "op13_svd_whitening": op13_svd_whitening,
     "pipeline": pipeline,
 }
 
@@ -114,4 +133,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_target_mix": oracles.mix(mixing.WEIGHTS, mixing.MOST),
     "op9_cap_filters": oracles.near_vectors(capfilters.COSINE),
     "op10_suffix_repetition": oracles.repetition(repetition.MIN_WORDS, repetition.MAX_COVERED, repetition.MAX_REPEAT),
+    "op12_yinyang_clusters": oracles.clusters(yinyang.DIM, yinyang.SCALE, yinyang.CENTRES, yinyang.ROUNDS, 2),
 }
