@@ -10,8 +10,8 @@
    digit by digit: sums of blocks first, then of the blocks within one block, so
    no task ever sorts a source.
 3. Shards: the block quotas of all sources are split among the output shards by a
-   binary tree of multivariate hypergeometric draws: at each node, block after
-   block goes left with the chance that its half has of the places that remain.
+   binary tree of multivariate hypergeometric draws: at each node, source after
+   source sends as many of its blocks left as the law of the places that remain has it.
    Each source's drawn blocks, in a permuted order, fill its quotas: blocks and
    places of shards are both numbered bucket by bucket and joined by number, so no
    task holds the blocks of a source. Documents are shuffled within their shard.
@@ -24,6 +24,8 @@ columns are read for the plan; ``mix`` returns its columns as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ WEIGHTS, MOST = (1, 2, 3), 3
 DIGITS, STEPS = 2, 3
 #: Words of a shard where the number of shards isn't given; rows that one task numbers, on average.
 SHARD_WORDS, BUCKET = 1 << 20, 1 << 16
+#: Variance up to which numbers of blocks are drawn by inversion.
+EXACT = 1000.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,27 +105,59 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def hypergeometric(units: Column, places: Column, own: Column, u: Column, z: Column) -> Column:
+    """How many of ``own`` of the ``units`` come to ``places`` of them: one draw by the uniform ``u`` or the normal ``z``.
+
+    Up to a variance of ``EXACT`` by inversion: weights follow from each other by their
+    ratio, from ten deviations below the mean to ten above it, so neither factorials nor their
+    logarithms are needed. Beyond that the law is the normal one, rounded. A draw
+    takes as many steps as there are numbers within ten deviations, whatever the number of units.
+    """
+    n, k, q = (c.cast("double") for c in (units, places, own))
+    mean = F.try_divide(q * k, n)
+    spread = F.sqrt(F.greatest(F.lit(0.0), mean * F.try_divide(n - k, n) * F.try_divide(n - q, F.greatest(n - 1, F.lit(1.0)))))
+    edges = F.struct(F.greatest(F.lit(0.0), q + k - n).alias("low"), F.least(q, k).alias("high"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(spread, F.lit(0.0)).alias("sd"), n.alias("n"), k.alias("k"), q.alias("q"), u.alias("u"), z.alias("z"))
+
+    def steps(e: Column) -> Column:
+        first = F.greatest(e["low"], F.floor(e["mean"] - 10 * e["sd"] - 20).cast("double"))
+        last = F.least(e["high"], F.ceil(e["mean"] + 10 * e["sd"] + 20).cast("double"))
+        none = F.array().cast("array<long>")
+        return _let(F.struct(first.alias("first"), F.when(last > first, F.sequence(first.cast("long"), last.cast("long") - 1)).otherwise(none).alias("at")), lambda r: inverted(e, r))
+
+    def inverted(e: Column, r: Column) -> Column:
+        ratio = lambda x: (e["q"] - x) * (e["k"] - x) / ((x + 1) * (e["n"] - e["q"] - e["k"] + x + 1))
+        one = F.lit(1.0)
+        total = F.aggregate(r["at"], F.struct(one.alias("w"), one.alias("sum")), lambda s, x: _let(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))), lambda s: s["sum"])
+        # The number of steps before the sum of weights passes the draw.
+        seek = lambda bar: F.aggregate(r["at"], F.struct(one.alias("w"), one.alias("sum"), F.lit(0.0).alias("k")), lambda s, x: _let(s["w"] * ratio(x), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"), (s["k"] + (s["sum"] <= bar).cast("double")).alias("k"))), lambda s: s["k"])
+        return r["first"] + _let(e["u"] * total, seek)
+
+    normal = lambda e: F.least(e["high"], F.greatest(e["low"], F.rint(e["mean"] + e["sd"] * e["z"])))
+    return _let(edges, lambda e: F.when(e["sd"] * e["sd"] > EXACT, normal(e)).otherwise(steps(e))).cast("long")
+
+
 def _left(quotas: Column, node: Column, seed: int) -> Column:
-    """How many of each source's blocks go left: one multivariate hypergeometric draw."""
-    total = F.aggregate(quotas, F.lit(0), lambda a, q: a + q)
+    """How many of each source's blocks go left: one multivariate hypergeometric draw, source after source."""
+    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, q: a + q)
 
     def one(state: Column, q: Column) -> Column:
-        def draw(s: Column, j: Column) -> Column:
-            goes = (_uniform(F.lit(seed), node, s["units"]) * s["units"] < s["places"]).cast("int")
-            return F.struct((s["units"] - 1).alias("units"), (s["places"] - goes).alias("places"), (s["got"] + goes).alias("got"))
-
-        start = F.struct(state["units"].alias("units"), state["places"].alias("places"), F.lit(0).alias("got"))
-        end = F.aggregate(F.when(q > 0, F.sequence(F.lit(1), q)).otherwise(F.array().cast("array<int>")), start, draw)
-        return F.struct(end["units"].alias("units"), end["places"].alias("places"), F.array_append(state["out"], end["got"]).alias("out"))
+        chance = [_uniform(F.lit(seed), node, F.size(state["out"]), F.lit(k)) for k in range(3)]
+        z = F.sqrt(-2 * F.log(1 - chance[1])) * F.cos(chance[2] * 6.283185307179586)
+        return _let(hypergeometric(state["units"], state["places"], q, chance[0], z), lambda got: F.struct((state["units"] - q).alias("units"), (state["places"] - got).alias("places"), F.array_append(state["out"], got).alias("out")))
 
-    zero = F.struct(total.alias("units"), F.floor(total / 2).cast("int").alias("places"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(total.alias("units"), F.floor(total / 2).cast("long").alias("places"), F.array().cast("array<long>").alias("out"))
     return F.aggregate(quotas, zero, one, lambda s: s["out"])
 
 
 def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """``(source, shard, quota)`` from ``(source, quota)``: exact shares of the quotas for ``2 ** depth`` shards."""
     order = F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("source"), F.col("quota").alias("quota"))))
-    nodes = quotas.agg(order.alias("all")).select(F.lit(1).alias("node"), F.transform("all", lambda x: x["source"]).alias("sources"), F.transform("all", lambda x: x["quota"].cast("int")).alias("quotas"))
+    nodes = quotas.agg(order.alias("all")).select(F.lit(1).alias("node"), F.transform("all", lambda x: x["source"]).alias("sources"), F.transform("all", lambda x: x["quota"].cast("long")).alias("quotas"))
     for _ in range(depth):
         both = nodes.withColumn("left", _left(F.col("quotas"), F.col("node"), seed))
         sides = F.array(
