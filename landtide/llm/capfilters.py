@@ -179,7 +179,7 @@ def groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """``(id, n_links, component_id)`` for every row of ``vectors``."""
     # Single-precision input stays so until it is compared, in double precision.
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"))
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     key = F.struct(F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(SEED), "vector").alias("k2"))
     rows = settle(rows.select("id", F.when(sound, F.col("vector")).alias("vector"), F.when(sound, key).alias("key")), "caps-rows")

@@ -82,8 +82,8 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in W.string_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), width).view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -412,8 +412,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             nodes = np.array([n for n, _ in got], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "fp", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, h long, node long, fp long, keys array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, node long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WORDS) -> DataFrame:
@@ -457,7 +457,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, wid
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     nodes = settle(keyed.join(shared, "key", "left_semi").select("node").distinct(), "similar-nodes")
     ids = reps.join(nodes, "node", "left_semi").select(F.col("first.id").alias("__first"), F.col("first.h").alias("__of"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), _text_hash(text_col).alias("__h"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), _text_hash(text_col).alias("__h"))
     texts = texts.join(ids, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__h") == F.col("__of")), "left_semi")
     sets = settle(shingle_sets(texts, "__id", "__text", width).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
     one, two = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
@@ -481,6 +481,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = _grouped(docs, id_col, text_col, similarity, width)[2]
     first = F.min(F.struct("first.nameless", "first.id", "node", "first.h"))
     kept = grouped.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias("__keep"), F.col("first.h").alias("__of"))
-    rows = docs.withColumn("__h", _text_hash(text_col))
-    same = rows[id_col].cast("long").eqNullSafe(kept["__keep"]) & (rows["__h"] == kept["__of"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__h"]).drop("__h")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # so no name of the table's own is in the way
+    rows = docs.select(whole.alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("h"))
+    same = F.col("id").eqNullSafe(F.col("__keep")) & (F.col("h") == F.col("__of"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "h"]).select("row.*")
