@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landtide.functions import geo
@@ -32,26 +32,46 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(F.flatten(F.transform(rings, _edges)), crosses)) % 2 == 1
 
 
+def scan_lines(polygons: DataFrame, ulx: float, uly: float, res: float, keys: Sequence[str]) -> DataFrame:
+    """``(keys, row, col1, col2)``: the runs of cells of each row whose centres lie in the polygon of ``keys``, from ``polygons (keys, rings)``.
+
+    Every side goes to the rows whose centre line it crosses; a row's crossings, in
+    order, begin and end runs by turns. The cost is that of sides and rows. A centre
+    on a side belongs to the run that begins there.
+    """
+    sides = polygons.select(*keys, F.explode(F.flatten(F.transform("rings", _edges))).alias("s")).select(*keys, *(F.col(f"s.{p}.{c}").alias(f"{c}{p}") for p in "ab" for c in "xy"))
+    # Centre lines y of rows with min < = y < max of the side: a row's centre is uly - (row + 0.5) res.
+    line = lambda y: (uly - y) / res - 0.5
+    first, last = F.floor(line(F.greatest("ya", "yb"))) + 1, F.floor(line(F.least("ya", "yb")))
+    on = sides.where(F.col("ya") != F.col("yb")).withColumns({"first": first, "last": last}).where("first <= last").withColumn("row", F.explode(F.sequence("first", "last")))
+    y = F.lit(uly) - (F.col("row") + 0.5) * res
+    at = F.col("xa") + (F.col("xb") - F.col("xa")) * (y - F.col("ya")) / F.nullif(F.col("yb") - F.col("ya"), F.lit(0.0))
+    order = Window.partitionBy(*keys, "row").orderBy("x")
+    crossed = on.select(*keys, "row", at.alias("x")).withColumns({"k": F.row_number().over(order), "until": F.lead("x").over(order)}).where("k % 2 = 1")
+    col = lambda x: F.ceil((x - ulx) / res - 0.5)
+    return crossed.select(*keys, F.col("row").cast("int").alias("row"), col(F.col("x")).alias("col1"), (col(F.col("until")) - 1).alias("col2")).where("col1 <= col2")
+
+
 def cells_within(cells: DataFrame, polygons: DataFrame, ulx: float, uly: float, res: float, scene: Sequence[str] = (), block: int = 64) -> DataFrame:
     """``cells (scene, row, col, ...)`` with the columns of each of ``polygons (scene, rings, ...)`` that has their centre.
 
-    Both sides meet by blocks of the grid that a polygon's box touches, so the join
-    is on equal keys; only cells of these blocks are held against its rings.
+    Each shape is drawn once as runs of cells, which meet the cells by row and block
+    of columns; rings go no further than that. Shapes are told apart by two hashes.
     """
-    box = geo.bounding_box(F.flatten("rings"))
-    row = lambda y: F.floor((uly - y) / res / block)
-    col = lambda x: F.floor((x - ulx) / res / block)
-    placed = polygons.withColumn("__box", box).withColumn("__br", F.explode(F.sequence(row(F.col("__box.ymax")), row(F.col("__box.ymin")))))
-    placed = placed.withColumn("__bc", F.explode(F.sequence(col(F.col("__box.xmin")), col(F.col("__box.xmax"))))).drop("__box")
-    keyed = cells.withColumn("__br", F.floor(F.col("row") / block)).withColumn("__bc", F.floor(F.col("col") / block))
-    x, y = F.lit(ulx) + (F.col("col") + 0.5) * res, F.lit(uly) - (F.col("row") + 0.5) * res
-    return keyed.join(placed, [*scene, "__br", "__bc"]).where(contains(F.col("rings"), x, y)).drop("__br", "__bc", "rings")
-
-
-def burn(cells: DataFrame, polygons: DataFrame, value: str, ulx: float, uly: float, res: float, scene: Sequence[str] = (), nodata: int = 0) -> DataFrame:
-    """``(scene, row, col, value)``: the greatest ``value`` of the polygons on each cell, or no data."""
+    key = [F.xxhash64("rings").alias("__s1"), F.xxhash64(F.lit(1), "rings").alias("__s2")]
+    shapes = polygons.select("rings", *key).dropDuplicates(["__s1", "__s2"])
+    runs = scan_lines(shapes, ulx, uly, res, ["__s1", "__s2"]).select("__s1", "__s2", F.col("row").alias("__row"), "col1", "col2")
+    placed = polygons.select(*polygons.columns, *key).drop("rings").join(runs, ["__s1", "__s2"])
+    placed = placed.withColumn("__bc", F.explode(F.sequence(F.floor(F.col("col1") / block), F.floor(F.col("col2") / block)))).withColumnsRenamed({"col1": "__col1", "col2": "__col2"})
+    keyed = cells.withColumns({"__row": F.col("row"), "__bc": F.floor(F.col("col") / block)})
+    return keyed.join(placed, [*scene, "__row", "__bc"]).where("col between __col1 and __col2").drop("__row", "__bc", "__s1", "__s2", "__col1", "__col2")
+
+
+def burn(cells: DataFrame, polygons: DataFrame, value: str, ulx: float, uly: float, res: float, scene: Sequence[str] = (), nodata: int = 0, order: str | None = None) -> DataFrame:
+    """``(scene, row, col, value)``: the ``value`` of the last polygon in ``order`` on each cell, or no data; without an order the greatest value."""
     keys = [*scene, "row", "col"]
-    on = cells_within(cells.select(*keys), polygons.select(*scene, value, "rings"), ulx, uly, res, scene).groupBy(*keys).agg(F.max(value).alias(value))
+    rank = polygons.select(*scene, F.col(value).alias("__value"), F.struct(F.col(order or value).alias("o"), F.col(value).alias("v")).alias("__rank"), "rings")
+    on = cells_within(cells.select(*keys), rank, ulx, uly, res, scene).groupBy(*keys).agg(F.max_by("__value", "__rank").alias(value))
     return cells.select(*keys).join(on, keys, "left").withColumn(value, F.coalesce(value, F.lit(nodata)))
 
 

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from landtide.plans import pixels, products, space, statistics, workflows
+from landtide.plans import overlays, pixels, products, space, statistics, workflows
 from landtide.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "pixels", "products", "space", "statistics", "workflows"]
+__all__ = ["QUERIES", "SQL", "overlays", "pixels", "products", "space", "statistics", "workflows"]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def builder(name: str = "landtide", **conf: str) -> SparkSession.Builder:
@@ -40,8 +41,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="landtide-")
         sc.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, made: list[str], done: Sequence[str] = ()) -> DataFrame:
+    """``df`` as a written table of the shared folder, whose path goes to ``made``; ``done``, tables that nothing reads any more then, are deleted."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    made.append(path)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for old in done:
+        where = jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(conf).delete(where, True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
