@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landtide import model
 from landtide.config import Settings
 from landtide.functions import bands, geo, names
-from landtide.operators import composites, grid, polygons, regions, sampling, training
+from landtide.operators import composites, grid, polygons, regions, sampling, training, trees
 from landtide.plans import jobs
 from landtide.plans.pixels import REPORT, report18
 from landtide.plans.registry import query
@@ -69,6 +69,25 @@ def training_pixels(spark, sf_dir):
     return training.under_polygons(model.baseline(spark, sf_dir), layer, "label", ["b3", "b4"], 0.0, 60.0, 1.0)
 
 
+BANDS = ["b3", "b4", "reflectance"]
+
+
+@query()
+def extra_trees(spark, sf_dir):
+    """Classes of the map by extremely randomised trees that have not seen the pixels of every fourth number."""
+    cells = model.baseline(spark, sf_dir)
+    held_out = F.col("pixel") % 4 == 0
+    forest = trees.extra_trees(cells.where(~held_out), "class_code", BANDS, trees=30)
+    return trees.predict(cells, forest, BANDS).select("pixel", "class_code", held_out.alias("held_out"), "prediction")
+
+
+@query()
+def settings_search(spark, sf_dir):
+    """Settings of such trees by their accuracy over three folds, all grown at once."""
+    cells = model.baseline(spark, sf_dir)
+    return trees.search(cells, "class_code", BANDS, trees.drawn_settings(4), F.pmod("pixel", F.lit(3)), 3, 5)
+
+
 # Reprojection.
 
 def _utm_sql(lat: str, lon: str, zone: str) -> str:

@@ -48,13 +48,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for old in paths:
+        where = jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def written(df: DataFrame, name: str, made: list[str], done: Sequence[str] = ()) -> DataFrame:
-    """``df`` as a written table of the shared folder, whose path goes to ``made``; ``done``, tables that nothing reads any more then, are deleted."""
+    """``df`` as a written table of the shared folder, whose path goes to ``made``; the tables ``done`` are deleted then."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     made.append(path)
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for old in done:
-        where = jvm.org.apache.hadoop.fs.Path(old)
-        where.getFileSystem(conf).delete(where, True)
+    deleted(df.sparkSession, done)
     return df.sparkSession.read.schema(df.schema).parquet(path)
