@@ -52,6 +52,27 @@ def allocate(classes: DataFrame, total: int, kind: str = "prop") -> DataFrame:
     return classes.withColumn("sample_size", size.cast("long"))
 
 
+def by_variance(classes: DataFrame, total: int, tolerance: float) -> DataFrame:
+    """``classes (class_code, n, accuracy)`` with a ``floor`` for each class and its ``sample_size``.
+
+    The floor is the least number that keeps the variance of the class's accuracy
+    within ``tolerance``. Classes whose share of ``total`` by size is under their floor get the
+    floor; the others share what is left by size, which may bring more of them under
+    theirs. In the order of floor over size, those with a floor are the last ones: a sum
+    from the end tells for each class how it fares where all behind it have theirs, so one pass finds
+    where they begin. Where floors exceed ``total``, every class has its floor.
+    """
+    least = F.ceil(F.round(F.greatest(least_n(F.col("accuracy"), tolerance), F.lit(0.0)), 6)).cast("long")
+    rated = classes.withColumn("floor", least)
+    behind = Window.orderBy(F.desc(F.col("floor") / F.col("n")), "class_code").rowsBetween(Window.unboundedPreceding, -1)
+    pinned_before, size_before = F.coalesce(F.sum("floor").over(behind), F.lit(0)), F.coalesce(F.sum("n").over(behind), F.lit(0))
+    share = (F.lit(total) - pinned_before) / (F.sum("n").over(_all()) - size_before)  # for each unit of size, were just those before at their floors
+    rated = rated.withColumn("share", share).withColumn("under", F.col("share") * F.col("n") < F.col("floor"))
+    free = F.first(F.when(~F.col("under"), F.col("share")), ignorenulls=True).over(Window.orderBy(F.desc(F.col("floor") / F.col("n")), "class_code").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    size = F.coalesce(F.greatest(F.bround(free * F.col("n")).cast("long"), F.col("floor")), F.col("floor"))
+    return rated.withColumn("sample_size", size).drop("share", "under")
+
+
 def standard_errors(classes: DataFrame) -> DataFrame:
     """``classes (class_code, n, accuracy, sample_size)`` with the error of each class's accuracy (null for a sample of one) and of the overall one."""
     own = F.col("accuracy") * (1 - F.col("accuracy")) / F.nullif(F.col("sample_size") - 1, F.lit(0))

@@ -40,6 +40,15 @@ def proportional_allocation(spark, sf_dir):
     return one.join(sampling.allocate(k, 600, "equal").select("class_code", F.col("sample_size").alias("equal")), "class_code")
 
 
+@query("WITH RECURSIVE " + CLASSES + """, f AS (SELECT class_code, n, ceil(round(accuracy * (1 - accuracy) / 0.001, 6))::BIGINT AS floor FROM k),
+ step(k, class_code, n, floor, pinned) AS (SELECT 0, class_code, n, floor, false FROM f UNION ALL
+ SELECT k + 1, class_code, n, floor, pinned OR (1200 - coalesce(sum(CASE WHEN pinned THEN floor END) OVER (), 0)) * n::DOUBLE / sum(CASE WHEN NOT pinned THEN n ELSE 0 END) OVER () < floor FROM step WHERE k < 8)
+ SELECT class_code, floor, CASE WHEN pinned THEN floor ELSE round_even((1200 - coalesce(sum(CASE WHEN pinned THEN floor END) OVER (), 0)) * n::DOUBLE / sum(CASE WHEN NOT pinned THEN n END) OVER (), 0) END::BIGINT AS sample_size FROM step WHERE k = 8""")
+def variance_allocation(spark, sf_dir):
+    """Samples by size with a floor for each class (the SQL pins classes round by round)."""
+    return sampling.by_variance(_classes(spark, sf_dir), 1200, 0.001).select("class_code", "floor", "sample_size")
+
+
 @query("WITH " + CLASSES + " SELECT class_code, round(sqrt(accuracy * (1 - accuracy) / 99), 9) AS user_error, round(sqrt(sum(weight * weight * accuracy * (1 - accuracy) / 99) OVER ()), 9) AS overall_error, round(accuracy * (1 - accuracy) / 0.001, 6) AS least_n FROM w")
 def accuracy_se(spark, sf_dir):
     got = sampling.standard_errors(_classes(spark, sf_dir).withColumn("sample_size", F.lit(100)))

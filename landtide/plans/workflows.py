@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landtide import model
 from landtide.config import Settings
 from landtide.functions import bands, geo, names
-from landtide.operators import composites, grid, polygons, regions, sampling, training, trees
+from landtide.operators import composites, grid, numbering, polygons, regions, sampling, training, trees
 from landtide.plans import jobs
 from landtide.plans.pixels import REPORT, report18
 from landtide.plans.registry import query
@@ -150,3 +150,14 @@ def alert_polygons(spark, sf_dir):
     sized = rings.select("region", polygons.area(F.concat(F.array("shell"), "holes")).alias("area"))
     under = named.join(changed, ["row", "col"]).groupBy("region").agg(F.sum("l4").alias("detections"), F.min("l3").alias("first_day"), F.max("l8").alias("certainty"))
     return sized.join(under, "region")
+
+
+@query("WITH RECURSIVE " + REPORT + """, cells AS (SELECT CAST(pixel // 50 AS INT) AS "row", CAST(pixel % 50 AS INT) AS col, CASE WHEN pixel % 7 = 0 THEN 32767 WHEN l4 > 0 THEN 1 ELSE 0 END AS value FROM report), """ + REACH + """
+ SELECT region, value, row_number() OVER (ORDER BY region) - 1 AS id, count(*)::DOUBLE AS area FROM labelled WHERE value NOT IN (0, 32767) GROUP BY region, value""")
+def numbered_polygons(spark, sf_dir):
+    """Polygons of changed cells without those of no data, numbered 0, 1, 2, ... in the order of their regions."""
+    value = F.when(F.col("pixel") % 7 == 0, 32767).when(F.col("l4") > 0, 1).otherwise(0)
+    cells = model.cell(report18(spark, sf_dir).withColumn("value", value)).select("row", "col", "value")
+    rings = regions.polygons(regions.label(cells, "value", model.WIDTH), model.WIDTH, nodata=(0, 32767))
+    sized = rings.select("region", "value", polygons.area(F.concat(F.array("shell"), "holes")).alias("area"))
+    return numbering.dense(sized, ["region"]).select("region", "value", "id", "area")
