@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ def cirrus_corrected(x: Column, cirrus: Column) -> Column:
     return F.when(over > 0, x - over * 12 / (F.log(over) + 1))
 
 
+def cirrus_corrected_image(image: DataFrame, bands: Sequence[str], cirrus: str) -> DataFrame:
+    """All ``bands`` of an image corrected by its cirrus band, which goes."""
+    return image.withColumns({b: cirrus_corrected(F.col(b), F.col(cirrus)) for b in bands}).drop(cirrus)
+
+
 def keep_where(x: Column, mask: Column, fill: float = 0) -> Column:
     return F.when(mask == 1, x).otherwise(F.lit(fill))
 
@@ -111,6 +118,46 @@ def apply_images(df: DataFrame, keys: Sequence[str], function: Callable[[Column]
     return df.groupBy(*keys).agg(function(F.col(band)).alias(out))
 
 
+def apply_array_bands(df: DataFrame, function: Callable[..., object], bands: Sequence[str], out: str, kind: str = "double") -> DataFrame:
+    """A column made by any function of NumPy arrays, one array a band, which are whole Arrow batches; it returns one value a pixel.
+
+    For what columns cannot say; a Column entry stays within the JVM. A null is NaN.
+    """
+    names = [*df.columns, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = [b.column(b.schema.names.index(n)).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in bands]
+            made = np.asarray(function(*given))
+            if made.shape != (b.num_rows,):
+                raise ValueError(f"the function gave {made.shape} for {b.num_rows} pixels")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made).cast(to)], names)
+
+    to = {"double": pa.float64(), "float": pa.float32(), "int": pa.int32(), "long": pa.int64()}[kind]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{fields}, `{out}` {kind}")
+
+
+def apply_array_images(df: DataFrame, keys: Sequence[str], order: str, band: str, function: Callable[[object], object], out: str, images: int) -> DataFrame:
+    """A fold by any function of a matrix of ``images`` rows (in ``order``, from 0) and a column a pixel, with NaN where a pixel has no image.
+
+    Pixels' values are gathered once, as bounded rows; the function sees an Arrow batch of pixels.
+    """
+    at = F.col(order).cast("int")
+    each = df.where((at >= 0) & (at < images)).groupBy(*keys).agg(F.collect_list(F.struct(at.alias("k"), F.col(band).cast("double").alias("v"))).alias("vs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keys))
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            matrix = np.full((images, b.num_rows), np.nan)
+            matrix[flat.field(0).to_numpy(), np.repeat(np.arange(b.num_rows), sizes)] = flat.field(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(np.asarray(function(matrix)), pa.float64(), from_pandas=True)], [*keys, out])
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return each.mapInArrow(run, f"{fields}, `{out}` double")
+
+
 # Terrain illumination.
 
 def deg_sin(x: Column) -> Column:

@@ -110,6 +110,21 @@ def terrain_corrected(cells: DataFrame, band: str, illumination: str, zenith_cos
     return cells.join(F.broadcast(line)).withColumn(band, F.when(F.col(band) > 0, moved).otherwise(F.col(band).cast("double"))).drop("__slope")  # one row
 
 
+def terrain_corrected_bands(cells: DataFrame, bands: Sequence[str], illumination: str, zenith: str, slope: str, red: str, nir: str, scene: Sequence[str], steep: float = 18, green: float = 0.5) -> DataFrame:
+    """All ``bands`` of all scenes less their regression on the illumination, each scene and band with its own line.
+
+    Lines are fitted on cells steeper than ``steep`` degrees whose vegetation index is over
+    ``green``, from the sums of one aggregation a scene, which is joined back. ``zenith`` is a
+    column of degrees. Values of 0 and less stay; a scene without such cells stays.
+    """
+    index = F.try_divide(F.col(nir).cast("double") - F.col(red).cast("double"), F.col(nir).cast("double") + F.col(red).cast("double"))
+    sample = (F.coalesce(index, F.lit(0.0)) > green) & (F.col(slope) > steep)
+    lines = cells.where(sample).groupBy(*scene).agg(*(F.regr_slope(F.col(b).cast("double"), F.col(illumination)).alias(f"__m{k}") for k, b in enumerate(bands)))
+    away = F.col(illumination) - F.cos(F.radians(F.col(zenith)))
+    fixed = {b: F.when(F.col(b) > 0, F.col(b) - F.coalesce(F.col(f"__m{k}"), F.lit(0.0)) * away).otherwise(F.col(b).cast("double")) for k, b in enumerate(bands)}
+    return cells.join(lines, list(scene), "left").withColumns(fixed).drop(*(f"__m{k}" for k in range(len(bands))))
+
+
 def warp(target: DataFrame, source: DataFrame, to_source: Callable[[Column, Column], Column], target_corner: tuple[float, float], source_corner: tuple[float, float], res: float, bands: Sequence[str], nodata: float = 0) -> DataFrame:
     """``source``'s cells on another grid in another projection, by nearest neighbour.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landtide import model
@@ -280,3 +281,29 @@ def verify_change_count(spark, sf_dir):
 def date_map_combine(spark, sf_dir):
     got = composites.combine_dates(changes(spark, sf_dir), ["pixel"], "change")
     return got.withColumn("first_day", F.col("first_day").cast("int"))
+
+
+# Functions of whole arrays, where columns cannot say it.
+
+@query("WITH {obs} SELECT scene, line, CASE WHEN b2 > 100 THEN round(b1 - (b2 - 100) * 12 / (ln(b2 - 100) + 1), 4) END AS b1, CASE WHEN b2 > 100 THEN round(b3 - (b2 - 100) * 12 / (ln(b2 - 100) + 1), 4) END AS b3, CASE WHEN b2 > 100 THEN round(b4 - (b2 - 100) * 12 / (ln(b2 - 100) + 1), 4) END AS b4 FROM obs")
+def cirrus_bands(spark, sf_dir):
+    image = model.observations(spark, sf_dir).select("scene", "line", *(F.col(b).cast("double").alias(b) for b in ("b1", "b2", "b3", "b4")))
+    got = bands.cirrus_corrected_image(image, ["b1", "b3", "b4"], "b2")
+    return got.select("scene", "line", *(F.round(b, 4).alias(b) for b in ("b1", "b3", "b4")))
+
+
+@query("WITH {base} SELECT pixel, round(sqrt(b3 * b3 + b4 * b4), 6) AS length FROM base")
+def band_array_function(spark, sf_dir):
+    image = model.baseline(spark, sf_dir).select("pixel", "b3", "b4")
+    return bands.apply_array_bands(image, np.hypot, ["b3", "b4"], "length").select("pixel", F.round("length", 6).alias("length"))
+
+
+@query("""WITH {obs}, v AS (SELECT pixel, b1::DOUBLE AS b1, lag(b1::DOUBLE) OVER (PARTITION BY pixel ORDER BY acquired, scene, line) AS before FROM obs)
+ SELECT pixel, round(coalesce(sum(abs(b1 - before)), 0), 6) AS variation FROM v GROUP BY pixel""")
+def image_array_function(spark, sf_dir):
+    """The total variation of each pixel's series, by a function of the matrix of all its images."""
+    order = Window.partitionBy("pixel").orderBy("acquired", "scene", "line")
+    images = model.observations(spark, sf_dir).withColumn("k", F.row_number().over(order) - 1)
+    most = (images.agg(F.max("k")).first()[0] or 0) + 1
+    got = bands.apply_array_images(images, ["pixel"], "k", "b1", lambda m: np.nansum(np.abs(np.diff(m, axis=0)), 0), "variation", most)
+    return got.select("pixel", F.round("variation", 6).alias("variation"))

@@ -8,7 +8,7 @@ from landtide import model
 from landtide.functions import bands, geo
 from landtide.operators import grid, polygons, regions, zonal
 from landtide.plans.pixels import REPORT, report18
-from landtide.plans.registry import query
+from landtide.plans.registry import SQL, query
 
 
 def _base(spark, sf_dir):
@@ -254,22 +254,22 @@ def region_outlines(spark, sf_dir):
 
 # The same in small blocks, so that most regions are merged across their edges.
 
-@query()
+@query(SQL["region_label"])
 def region_label_whole(spark, sf_dir):
     return regions.label(_cells(spark, sf_dir), "value", model.WIDTH, block=16)
 
 
-@query()
+@query(SQL["region_area"])
 def region_area_whole(spark, sf_dir):
     return regions.areas(region_label_whole(spark, sf_dir))
 
 
-@query()
+@query(SQL["sieve_small"])
 def sieve_small_whole(spark, sf_dir):
     return regions.sieve(_cells(spark, sf_dir), "value", model.WIDTH, 4, block=16)
 
 
-@query()
+@query(SQL["region_outlines"])
 def region_outlines_whole(spark, sf_dir):
     return regions.outlines(region_label_whole(spark, sf_dir))
 
@@ -321,6 +321,19 @@ def terrain_correction(spark, sf_dir):
     return grid.terrain_corrected(lit, "z", "ic", F.cos(F.radians(F.lit(30.0))), F.col("slope") > 18).select("row", "col", F.round("z", 4).alias("z"))
 
 
+@query("WITH {base}, " + SURFACE + """, lit AS (SELECT slopes.*, b4, reflectance, pixel % 3 AS scene, 20 + 5 * (pixel % 3) AS zenith FROM slopes JOIN base USING (pixel)),
+ ill AS (SELECT *, cos(radians(zenith)) * cos(radians(slope)) + sin(radians(zenith)) * sin(radians(slope)) * cos(radians(140 - aspect)) AS ic FROM lit),
+ fit AS (SELECT scene, coalesce(regr_slope(b4, ic), 0) AS m4, coalesce(regr_slope(reflectance, ic), 0) AS mr FROM ill WHERE slope > 18 AND (reflectance - b4) / (reflectance + b4) > 0.5 GROUP BY scene)
+ SELECT scene, ill."row", ill.col, round(CASE WHEN b4 > 0 THEN b4 - coalesce(m4, 0) * (ic - cos(radians(zenith))) ELSE b4 END, 4) AS b4, round(CASE WHEN reflectance > 0 THEN reflectance - coalesce(mr, 0) * (ic - cos(radians(zenith))) ELSE reflectance END, 4) AS reflectance FROM ill LEFT JOIN fit USING (scene)""")
+def terrain_bands(spark, sf_dir):
+    """Two bands of three scenes, each with its own sun and its own line."""
+    lit = _slopes(spark, sf_dir).join(_base(spark, sf_dir).select("row", "col", "pixel", "b4", "reflectance"), ["row", "col"])
+    lit = lit.withColumns({"scene": F.col("pixel") % 3, "zenith": 20 + 5 * (F.col("pixel") % 3)})
+    lit = lit.withColumn("ic", bands.illumination(F.col("zenith"), F.lit(140.0), F.col("slope"), F.col("aspect")))
+    got = grid.terrain_corrected_bands(lit, ["b4", "reflectance"], "ic", "zenith", "slope", "b4", "reflectance", ["scene"])
+    return got.select("scene", "row", "col", F.round("b4", 4).alias("b4"), F.round("reflectance", 4).alias("reflectance"))
+
+
 @query()
 def solar_angles(spark, sf_dir):
     where = geo.utm_to_latlon(500000 + F.col("col") * 10.0, 9000000 - F.col("row") * 10.0, F.lit(36), F.lit(False))

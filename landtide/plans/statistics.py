@@ -62,10 +62,11 @@ def stratified_sample(spark, sf_dir):
     return sampling.stratified(cells, sizes, [sampling.arithmetic_hash(F.col("pixel"), 7), "pixel"])
 
 
-@query("WITH s AS (SELECT label, unnest(['e1', 'e2', 'e3']) AS band, unnest([embedding[1], embedding[2], embedding[3]])::DOUBLE AS v FROM embeddings) SELECT label, band, round(min(v), 6) AS \"min\", round(max(v), 6) AS \"max\", round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev FROM s GROUP BY label, band")
+@query("WITH s AS (SELECT label, 'e' || unnest(range(1, len(embedding) + 1)) AS band, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, band, round(min(v), 6) AS \"min\", round(max(v), 6) AS \"max\", round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev FROM s GROUP BY label, band")
 def class_signatures(spark, sf_dir):
-    e = model.table(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[k].alias(f"e{k + 1}") for k in range(3)))
-    return training.signatures(e, "label", ["e1", "e2", "e3"]).select("label", "band", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "stdev")))
+    names = [f"e{k + 1}" for k in range(64)]
+    e = model.table(spark, sf_dir, "embeddings").select("label", *(F.col("embedding")[k].alias(n) for k, n in enumerate(names)))
+    return training.signatures(e, "label", names).select("label", "band", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "stdev")))
 
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landtide import model
 from landtide.config import Settings
 from landtide.functions import bands, geo, names
-from landtide.operators import composites, grid, numbering, polygons, regions, sampling, training, trees
+from landtide.operators import composites, grid, numbering, polygons, regions, sampling, training, trees, warping
 from landtide.plans import jobs
 from landtide.plans.pixels import REPORT, report18
 from landtide.plans.registry import query
@@ -121,6 +121,41 @@ def warp_grid(spark, sf_dir):
     return grid.warp(base, base, move, (CORNER[0] - 10, CORNER[1] + 20), CORNER, RES, ["reflectance"])
 
 
+# The same map as two scenes in degrees, carried to metres on grids of their own.
+
+_DEGREE, _SCENES = 0.0001, ((0, 32.9985, -8.0), (1, 33.0021, -8.0013))
+
+
+def _krueger_sql() -> str:
+    """Borders of the scenes to UTM by Krueger's series, the grids around them, and the way back from their cells."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = " + ".join(f"{v!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, v in enumerate(beta, 1))
+    eta = " + ".join(f"{v!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, v in enumerate(beta, 1))
+    phi = " + ".join(f"{v!r} * sin({2 * k} * chi)" for k, v in enumerate(delta, 1))
+    scenes = ", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, x, y in _SCENES)
+    return f"""scene(k, ulx, uly) AS (VALUES {scenes}), high AS (SELECT (max("row") + 1) * {_DEGREE} AS h FROM base), part(s) AS (SELECT k / 20.0::DOUBLE FROM range(21) r(k)),
+ spots AS (SELECT scene.k AS scene, ulx + fx * 50 * {_DEGREE} AS lon, uly - fy * h AS lat, 36 AS z FROM scene, high, (SELECT s AS fx, 0.0::DOUBLE AS fy FROM part UNION ALL SELECT s, 1.0 FROM part UNION ALL SELECT 0.0, s FROM part UNION ALL SELECT 1.0, s FROM part)), {_utm_sql("lat", "lon", "z")},
+ grids AS (SELECT scene, floor(min(x) / 10)::BIGINT AS x1, ceil(max(x) / 10)::BIGINT AS x2, floor((min(y) + 1e7) / 10)::BIGINT AS y1, ceil((max(y) + 1e7) / 10)::BIGINT AS y2 FROM moved GROUP BY scene),
+ cell AS (SELECT scene, r AS "row", c AS col, ((y2 - r - 0.5) * 10 - 1e7) / {a!r} AS xi, ((x1 + c + 0.5) * 10 - 500000) / {a!r} AS eta FROM grids, range(200) a(r), range(200) b(c) WHERE r < y2 - y1 AND c < x2 - x1),
+ turned AS (SELECT scene, "row", col, xi - ({xi}) AS xi, eta - ({eta}) AS eta FROM cell), sphere AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM turned),
+ back AS (SELECT scene, "row", col, degrees(chi + {phi}) AS lat, 33 + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM sphere),
+ asked AS (SELECT scene, "row", col, floor((uly - lat) / {_DEGREE})::BIGINT AS r, floor((lon - ulx) / {_DEGREE})::BIGINT AS c FROM back JOIN scene ON scene.k = scene)"""
+
+
+@query("WITH {base}, " + _krueger_sql() + """ SELECT scene AS scene_id, asked."row"::INT AS "row", asked.col::INT AS col, coalesce(reflectance, -1)::DOUBLE AS reflectance
+ FROM asked LEFT JOIN base ON base."row" = r AND base.col = c AND pixel % 2 = scene""")
+def warp_system(spark, sf_dir):
+    base = model.baseline(spark, sf_dir)
+    height = (base.agg(F.max("row")).first()[0] or 0) + 1
+    grids = spark.createDataFrame([(k, x, y, _DEGREE, 50, height) for k, x, y in _SCENES], "scene_id long, ulx double, uly double, xres double, width int, height int")
+    cells = base.select((F.col("pixel") % 2).alias("scene_id"), "row", "col", F.col("reflectance").cast("double").alias("reflectance"))
+    return warping.warp(cells, grids, 4326, 32736, RES, ["reflectance"], nodata=-1, tolerance=1e-5)[0].select("scene_id", "row", "col", "reflectance")
+
+
 # Baselines of tiles.
 
 @query("""WITH {base}, {obs}, new AS (SELECT pixel, max(b3) AS b3, max(b4) AS b4 FROM obs WHERE pixel % 3 <> 0 GROUP BY pixel)
