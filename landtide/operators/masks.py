@@ -82,11 +82,6 @@ def _disk(radius: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
 
 
-def _square(size: int) -> list[tuple[int, int]]:
-    half = size // 2
-    return [(i, j) for i in range(-half, size - half) for j in range(-half, size - half)]
-
-
 def _offsets(cells: list[tuple[int, int]]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells)))
 
@@ -105,10 +100,14 @@ def erode(mask: DataFrame, radius: int, scene: Sequence[str] = ()) -> DataFrame:
 
 
 def _extreme(cells: DataFrame, size: int, scene: Sequence[str], highest: bool) -> DataFrame:
-    keys = [*scene, "row", "col"]
-    spread = cells.select(*scene, "row", "col", "mask", _offsets(_square(size)).alias("d")).select(*scene, (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"), "mask")
-    found = spread.groupBy(*keys).agg((F.max if highest else F.min)("mask").alias("mask"))
-    return found.join(cells.select(*keys), keys, "left_semi")
+    """The greatest or least of the square around each pixel, along columns first, then along rows: each pixel goes to twice ``size`` places, not to its square."""
+    keys, most = [*scene, "row", "col"], F.max if highest else F.min
+    steps = F.explode(F.sequence(F.lit(-(size // 2)), F.lit(size - 1 - size // 2)))
+    spread = cells
+    for axis in ("col", "row"):
+        moved = spread.select(*keys, "mask", steps.alias("d")).withColumn(axis, F.col(axis) + F.col("d"))
+        spread = moved.groupBy(*keys).agg(most("mask").alias("mask"))
+    return spread.join(cells.select(*keys), keys, "left_semi")
 
 
 def close(mask: DataFrame, size: int = 3, scene: Sequence[str] = ()) -> DataFrame:
