@@ -10,7 +10,8 @@ labels, at most ``PLACES`` of a text; each such place, and one more of every tex
 is also given made-up secrets: of mixed letters and digits, with and without the
 name before them; such secrets over several words, like keys in lines; and phrases
 in quotation marks behind a name and a sign, beside phrases without these, which are
-none. A step looks at ``BATCH`` sequences. Viterbi decoding runs over many texts in
+none. Beside them stand words that look like secrets and are none: ids, times, numbers of
+things, long names, and digests behind their names. A step looks at ``BATCH`` sequences. Viterbi decoding runs over many texts in
 step. Words of a decoded span that touch no span of the patterns are kept.
 
 Defined results: a null text is empty and has no spans; repeated rows and ids are
@@ -68,9 +69,15 @@ _WORD = re.compile(rb"[A-Za-z\x80-\xff]+[.,;:!?]*")
 _KEY = re.compile(rb"(?i)(pass|pwd|secret|token|key|credential|auth|bearer)")
 _SIGN = re.compile(rb"[^A-Za-z0-9\x80-\xff]*[:=][^A-Za-z0-9\x80-\xff]*")
 _QUOTES = b"\"'`"
-#: Shape classes: 0 plain word, 1 sign, 2 number-like, 3 short mixed, 4 long hex, 5 long mixed of three kinds, 6 long mixed of two kinds, 7 long of one kind, 8 address-like.
-#: Roles for neighbours: 0 none, 1 credential name, 2 sign, 3 ends with a sign. Marks: opens a quotation (1), closes one (2).
-SHAPES, ROLES, MARKS, FILES = 9, 4, 4, 6
+#: Names of what looks like a secret and is none: digests, ids, numbers of things.
+_LABEL = re.compile(rb"(?i)^[^a-z]*(commit|sha\d*|md5|crc\d*|checksum|digest|hash|etag|revision|uuid|guid|ids?|isbn|iban|serial|order|invoice|build|version|release|part|model|ref|integrity|nonce)[^a-z]*$")
+_GROUPS = re.compile(rb"[-_:./+]+")
+_LOGIN = re.compile(rb"://[^/\s:@]*:[^/\s@]{4,}@")
+_KIND = bytes(1 if 48 <= c < 58 else 2 if 97 <= c < 123 else 3 if 65 <= c < 91 else 4 for c in range(256))
+#: Shape classes: 0 plain word, 1 sign, 2 number-like, 3 short mixed, 4 long hex, 5 long mixed of three kinds, 6 long mixed of two kinds, 7 long of one kind, 8 address-like,
+#: 9 in three or more short groups, 10 long and orderly (its kinds of characters seldom change), 11 address with a login, 12 short of three kinds.
+#: Roles for neighbours: 0 none, 1 credential name, 2 sign, 3 ends with a sign, 4 name of something harmless. Marks: opens a quotation (1), closes one (2).
+SHAPES, ROLES, MARKS, FILES = 13, 5, 4, 6
 
 
 def code(word: bytes) -> int:
@@ -81,21 +88,29 @@ def code(word: bytes) -> int:
 
 def shape(word: bytes) -> int:
     """The shape class of a word, and its role for its neighbours, as ``shape * ROLES + role``."""
-    role = 2 if _SIGN.fullmatch(word) else 1 if _KEY.search(word) else 3 if word[-1:] in b":=" else 0
+    role = 2 if _SIGN.fullmatch(word) else 1 if _KEY.search(word) else 4 if _LABEL.match(word) else 3 if word[-1:] in b":=" else 0
     core = word.strip(_EDGE)
     if _WORD.fullmatch(word) and len(core) < 24:
         return role
     if not any(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" or c > 127 for c in core):
         return ROLES + role
     digits, lower, upper = (sum(a <= c <= b for c in core) for a, b in ((48, 57), (97, 122), (65, 90)))
+    if _LOGIN.search(core):
+        return 11 * ROLES + role
     if b"@" in core or b"/" in core and b"." in core or core.startswith(b"http"):
         return 8 * ROLES + role
     if digits >= len(core) - 4 and lower + upper <= 1:
         return 2 * ROLES + role
     if len(core) < 16 or any(c > 127 for c in core):
-        return 3 * ROLES + role
+        return (12 if len(core) >= 8 and digits and lower and upper and not _GROUPS.search(core) else 3) * ROLES + role
+    groups = _GROUPS.split(core)
+    if len(groups) > 2 and max(map(len, groups)) <= 12:
+        return 9 * ROLES + role
     if len(core) >= 24 and not core.translate(None, b"0123456789abcdefABCDEF-") and digits >= 4 and lower + upper >= 2:
         return 4 * ROLES + role
+    kinds = core.translate(_KIND)
+    if 4 * sum(a != b for a, b in zip(kinds, kinds[1:])) < len(core):
+        return 10 * ROLES + role
     kinds = (digits > 1) + (lower > 1) + (upper > 1)
     return {3: 5, 2: 6}.get(kinds, 7) * ROLES + role
 
@@ -118,7 +133,7 @@ OFFSETS = np.cumsum((0, *SIZES))
 def of_files(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The feature of each text: no signs, few, or over one in fifty words, without and with credential names."""
     role = codes // MARKS % ROLES
-    signs, names, n = W.per_text(role >= 2, offs), W.per_text(role == 1, offs), np.diff(offs)
+    signs, names, n = W.per_text((role == 2) | (role == 3), offs), W.per_text(role == 1, offs), np.diff(offs)
     return (signs > 0).astype(np.int64) + (50 * signs > n) + 3 * (names > 0)
 
 
@@ -232,6 +247,37 @@ _CREDENTIALS = [b"passphrase", b"password", b"secret", b"api_key", b"token", b"c
 Sequence = tuple[list[bytes], list[int]]
 
 
+_LABELS = [b"commit", b"sha256", b"checksum", b"uuid", b"id", b"etag", b"revision", b"build", b"serial", b"order", b"version", b"part"]
+
+
+def harmless(rng: np.random.Generator, plain: list[bytes]) -> list[bytes]:
+    """Words that look like a secret and are none: ids, times, numbers of things, long names, digests behind their names."""
+    draw = lambda letters, lo, hi: "".join(rng.choice(list(letters), int(rng.integers(lo, hi)))).encode()
+    upper, digits, low = "ABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    label = [_LABELS[int(rng.integers(len(_LABELS)))]]
+    lead = [label, [label[0] + b":"], []][int(rng.integers(3))]
+    kind = int(rng.integers(8))
+    if kind == 0:
+        word = b"-".join(draw(low.upper() if rng.integers(2) else low, n, n + 1) for n in (8, 4, 4, 4, 12))
+    elif kind == 1:
+        two = lambda hi: f"{int(rng.integers(hi)):02}"
+        word = f"20{two(40)}-{two(13)}-{two(29)}T{two(24)}:{two(60)}:{two(60)}.{draw(digits, 3, 7).decode()}{('Z', '+01:00')[int(rng.integers(2))]}".encode()
+    elif kind == 2:
+        word = b"-".join(draw(upper if rng.integers(2) else digits, 2, 6) for _ in range(int(rng.integers(4, 7))))
+    elif kind == 3:
+        parts = [plain[int(k)].strip(_EDGE)[:14].decode(errors="ignore").capitalize().encode() for k in rng.integers(len(plain), size=int(rng.integers(3, 6)))]
+        word = b"".join(parts) + (draw(digits, 2, 5) if rng.integers(2) else b"") + (b"Edition" if rng.integers(2) else b"")
+    elif kind == 4:
+        word = draw(upper, 2, 3) + draw(digits, 2, 3) + (draw(upper, 4, 5) if rng.integers(2) else b"") + draw(digits, 14, 19)
+    elif kind == 5:
+        lead, word = (label, [label[0] + b":"])[int(rng.integers(2))], "".join(rng.choice(_LETTERS, int(rng.integers(20, 65)))).encode()
+    elif kind == 6:
+        word = b"-".join([b"release", draw(digits, 1, 3) + b"." + draw(digits, 1, 3) + b"." + draw(digits, 1, 3), b"rc" + draw(digits, 1, 2), b"build" + draw(digits, 6, 9)])
+    else:
+        word = b"/" + b"/".join(plain[int(k)].strip(_EDGE) or b"x" for k in rng.integers(len(plain), size=int(rng.integers(4, 7))))
+    return [*lead, word]
+
+
 def made_up(rng: np.random.Generator, plain: list[bytes]) -> tuple[list[Sequence], list[Sequence]]:
     """Secrets of several makes, as words with tags, and quoted words that are none; ``plain`` are words to make phrases of."""
     token = lambda lo, hi: "".join(rng.choice(_LETTERS, int(rng.integers(lo, hi)))).encode()
@@ -244,8 +290,11 @@ def made_up(rng: np.random.Generator, plain: list[bytes]) -> tuple[list[Sequence
     quoted = [quote + phrase[0], *phrase[1:-1], phrase[-1] + quote]
     other = some(1, 3) + [quote + phrase[0], *phrase[1:-1], phrase[-1] + quote]
     tagged = lambda ws: [1] + [2] * (len(ws) - 1)
-    secrets = [(head + ws, [0] * len(head) + tagged(ws)) for head, ws in ((lead, one), ([], one), (lead, many), ([], many), (lead, quoted))]
-    return secrets, [(other, [0] * len(other))]
+    mixed = [b"".join((token(4, 8), "aZ7".encode()[int(rng.integers(3)) :][:1], token(4, 8)))]
+    login = [b"://".join((rng.choice([b"postgres", b"mysql", b"amqp", b"https", b"redis"]), plain[0].strip(_EDGE)[:8] + b":" + token(8, 20) + b"@host" + str(int(rng.integers(90))).encode() + b".example:5432/base"))]
+    told = [name, b"is"] if rng.integers(2) else lead
+    secrets = [(head + ws, [0] * len(head) + tagged(ws)) for head, ws in ((lead, one), ([], one), (lead, many), ([], many), (lead, quoted), (told, mixed), ([], login))]
+    return secrets, [(ws, [0] * len(ws)) for ws in (other, *(harmless(rng, plain) for _ in range(5)))]
 
 
 def examples(text: str, rng: np.random.Generator) -> list[tuple[list[bytes], np.ndarray, int]]:
