@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landtide.operators.grid import StackError
+
 L1C, L2A = "Level-1C", "Level-2A"
 
 
@@ -88,6 +90,13 @@ def consecutive(products: DataFrame, by: str = "tile", tie: str = "uuid") -> Dat
     return products.withColumn("older", F.lead(tie).over(w)).where("older is not null").select(by, F.col(tie).alias("newer"), "older")
 
 
+def stack_pairs(products: DataFrame, by: str = "tile", tie: str = "uuid") -> DataFrame:
+    """``consecutive`` pairs to be stacked; fewer than two products are an error."""
+    if products.limit(2).count() < 2:
+        raise StackError("two products or more are needed")
+    return consecutive(products, by, tie)
+
+
 def counterparts(products: DataFrame, days: int = 1) -> DataFrame:
     """Level 1C products with level 2A products of the tile within some days: a join on tile and day bucket."""
     a = products.where(F.col("level") == L1C).select("tile", F.col("uuid").alias("l1c"), F.to_date("beginposition").alias("d"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landtide.operators import masks
 from landtide.session import scratch
 
 BLOCK = 256
@@ -202,3 +203,10 @@ def polygons(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequ
     whole = each.groupBy(*keys).agg(shell.alias("shell"), F.transform(F.array_sort(inner), lambda v: v["points"]).alias("holes"))
     values = wanted.groupBy(*keys).agg(F.first("value").alias("value"))
     return whole.join(values, keys)
+
+
+def class_polygons(cells: DataFrame, value: str, classes: Sequence[int], width: int, size: int = 3, connectivity: int = 4, scene: Sequence[str] = ()) -> DataFrame:
+    """Polygons of the cells of some classes in one call: gaps are closed by a square of ``size`` first; a row a region, as ``polygons``."""
+    mask = cells.select(*scene, "row", "col", F.col(value).isin(*classes).cast("int").alias("mask"))
+    closed = masks.close(mask, size, scene).where("mask = 1").withColumnRenamed("mask", "value")
+    return polygons(label(checkpointed(closed), "value", width, connectivity, scene=scene), width, connectivity, scene)

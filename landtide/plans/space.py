@@ -334,7 +334,23 @@ def terrain_bands(spark, sf_dir):
     return got.select("scene", "row", "col", F.round("b4", 4).alias("b4"), F.round("reflectance", 4).alias("reflectance"))
 
 
-@query()
+def _sun_sql() -> str:
+    """Latitude and longitude by Krueger's series, and the almanac's sun above them at one moment."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta, delta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480), (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = " + ".join(f"{v!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, v in enumerate(beta, 1))
+    eta = " + ".join(f"{v!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, v in enumerate(beta, 1))
+    phi = " + ".join(f"{v!r} * sin({2 * k} * chi)" for k, v in enumerate(delta, 1))
+    return f"""cell AS (SELECT pixel, (-1000000 - "row" * 10.0::DOUBLE) / {a!r} AS xi, col * 10.0::DOUBLE / {a!r} AS eta FROM base), turned AS (SELECT pixel, xi - ({xi}) AS xi, eta - ({eta}) AS eta FROM cell),
+ place AS (SELECT pixel, chi + {phi} AS phi, 33 + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM turned)),
+ t AS (SELECT epoch(TIMESTAMP '2020-06-01 08:30:00') / 86400 + 2440587.5 - 2451545.0 AS d), sun AS (SELECT d, radians((280.460 + 0.9856474 * d) % 360) AS l, radians((357.528 + 0.9856003 * d) % 360) AS g, radians(23.439 - 0.0000004 * d) AS e FROM t),
+ ecl AS (SELECT *, l + radians(1.915 * sin(g) + 0.020 * sin(2 * g)) AS lam FROM sun), eq AS (SELECT d, atan2(cos(e) * sin(lam), cos(lam)) AS ra, asin(sin(e) * sin(lam)) AS dec FROM ecl),
+ h AS (SELECT pixel, phi, dec, radians(280.46061837 + 360.98564736629 * d + lon) - ra AS hour FROM place, eq)"""
+
+
+@query("WITH {base}, " + _sun_sql() + " SELECT pixel, round(degrees(asin(sin(phi) * sin(dec) + cos(phi) * cos(dec) * cos(hour))), 4) AS altitude, round((degrees(atan2(-sin(hour), tan(dec) * cos(phi) - sin(phi) * cos(hour))) + 360) % 360, 4) AS azimuth FROM h")
 def solar_angles(spark, sf_dir):
     where = geo.utm_to_latlon(500000 + F.col("col") * 10.0, 9000000 - F.col("row") * 10.0, F.lit(36), F.lit(False))
     altitude, azimuth = bands.solar_position(where["lat"], where["lon"], F.lit("2020-06-01 08:30:00").cast("timestamp"))
