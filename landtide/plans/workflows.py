@@ -198,9 +198,9 @@ def numbered_polygons(spark, sf_dir):
     return numbering.dense(sized, ["region"]).select("region", "value", "id", "area")
 
 
-@query("WITH RECURSIVE {base}, m AS (SELECT \"row\", col, (class_code IN (1, 2))::INT AS mask FROM base), high AS (SELECT a.\"row\", a.col, max(b.mask) AS mask FROM m a JOIN m b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)," """
+@query("WITH RECURSIVE {base}, m AS (SELECT \"row\", col, (class_code = 3)::INT AS mask FROM base), high AS (SELECT a.\"row\", a.col, max(b.mask) AS mask FROM m a JOIN m b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)," """
  low AS (SELECT a."row", a.col, min(b.mask) AS mask FROM high a JOIN high b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL), cells AS (SELECT "row", col, 1 AS value FROM low WHERE mask = 1), """ + REACH + " SELECT region, count(*)::DOUBLE AS area FROM labelled GROUP BY region")
 def class_outlines(spark, sf_dir):
-    """Polygons of two classes of the map, small gaps closed."""
-    rings = regions.class_polygons(model.baseline(spark, sf_dir), "class_code", (1, 2), model.WIDTH)
+    """Polygons of a class of the map, small gaps closed."""
+    rings = regions.class_polygons(model.baseline(spark, sf_dir), "class_code", (3,), model.WIDTH)
     return rings.select("region", polygons.area(F.concat(F.array("shell"), "holes")).alias("area"))
