@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landtide.operators import masks
-from landtide.session import scratch
+from landtide.session import deleted, written
 
 BLOCK = 256
 
@@ -67,11 +67,9 @@ def _labels(block: pd.DataFrame, connectivity: int, width: int) -> pd.DataFrame:
     return pd.DataFrame({"row": r, "col": c, "value": value, "label": root})
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` as a written table of the shared folder: computed once, and of a size that Spark knows."""
-    path = scratch(df.sparkSession, "regions")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def checkpointed(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """``df`` as a written table of the shared folder: computed once, and of a size that Spark knows; its path goes to ``made``."""
+    return written(df, "regions", [] if made is None else made)
 
 
 def _moves(steps: list[tuple[int, int]]) -> Column:
@@ -103,17 +101,18 @@ def label(cells: DataFrame, value: str, width: int, connectivity: int = 4, block
 
 def merged(links: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
     """``(scene, node, component)`` of an edge list: each node's least neighbour by rounds, with pointer jumping, until nothing changes."""
-    keys = list(scene)
-    both = checkpointed(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    keys, made = list(scene), []
+    both = checkpointed(links.select(*keys, "a", "b").union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), made)
     names = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node")
     while True:
         near = both.withColumnRenamed("b", "node").join(names, [*keys, "node"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hop = names.join(near, [*keys, "node"]).select(*keys, "node", F.least("component", "near").alias("c"), F.col("component").alias("was"))
         up = hop.select(*keys, F.col("node").alias("c"), F.col("c").alias("further"))
         jump = hop.join(up, [*keys, "c"], "left").select(*keys, "node", F.least("c", F.coalesce("further", "c")).alias("component"), "was")
-        jump = checkpointed(jump)
+        jump = checkpointed(jump, made)
         names = jump.select(*keys, "node", "component")
         if jump.where("component <> was").isEmpty():
+            deleted(links.sparkSession, made[:-1])
             return names
 
 
@@ -156,32 +155,32 @@ def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequenc
     pointer jumping, in rounds that grow with the logarithm of the longest ring, so
     no task holds a region's outline.
     """
-    keys = [*scene, "region"]
+    keys, made = [*scene, "region"], []
     turn, at = F.element_at, F.element_at(F.create_map(*(F.lit(x) for k, s in enumerate(_SIDES) for x in (s[0], k))), F.col("side"))
     corner = lambda which, axis: turn(F.array(*(F.lit(s[which][axis]) for s in _SIDES)), F.col("d") + 1)
     edges = outlines(labelled, scene).withColumn("d", at)
     edges = edges.select(*keys, ((F.col("row") * F.lit(width).cast("long") + F.col("col")) * 4 + F.col("d")).alias("side"), "d",
                          (F.col("col") + corner(2, 1)).alias("x"), (F.col("row") + corner(2, 0)).alias("y"), (F.col("col") + corner(3, 1)).alias("x2"), (F.col("row") + corner(3, 0)).alias("y2"))
-    edges = checkpointed(edges)
+    edges = checkpointed(edges, made)
     after = edges.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("side").alias("next"), F.col("d").alias("to"))
     prefer = F.pmod(F.col("to") - F.col("d") - (1 if connectivity != 8 else 3), F.lit(4))  # right turns first, or left ones
     follow = edges.join(after, [*keys, "x2", "y2"]).groupBy(*keys, "side").agg(F.min_by("next", prefer).alias("next"))
-    now = checkpointed(follow.select(*keys, "side", "next", F.least("side", "next").alias("ring"), F.lit(True).alias("moved")))
+    now = checkpointed(follow.select(*keys, "side", "next", F.least("side", "next").alias("ring"), F.lit(True).alias("moved")), made)
     first = now.select(*keys, "side", F.col("next").alias("after"))
     while True:  # each side's least among the next 1, 2, 4, ... of its ring
         ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("ring").alias("other"))
         now = now.join(ahead, [*keys, "next"]).select(*keys, "side", F.col("further").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("moved"))
-        now = checkpointed(now)
+        now = checkpointed(now, made)
         if now.where("moved").isEmpty():
             break
     named = now.select(*keys, "side", "ring")
     # Sides to go until the ring's first one comes again: the place, counted from behind.
     now = first.join(named, [*keys, "side"]).select(*keys, "side", "ring", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("next"), F.when(F.col("after") != F.col("ring"), 1).otherwise(0).cast("long").alias("left"))
-    now = checkpointed(now)
+    now = checkpointed(now, made)
     while not now.where("next is not null").isEmpty():
         ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("left").alias("more"))
         now = now.join(ahead, [*keys, "next"], "left").select(*keys, "side", "ring", F.col("further").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
-        now = checkpointed(now)
+        now = checkpointed(now, made)
     placed = now.select(*keys, "side", "ring", "left").join(edges, [*keys, "side"])
     whole = placed.groupBy(*keys, "ring").agg(F.max("left").alias("last"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) < 0).alias("hole"))
     before = placed.select(*keys, F.col("x2").alias("x"), F.col("y2").alias("y"), "ring", "left", F.col("d").alias("from"))
@@ -189,7 +188,9 @@ def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequenc
     placed = placed.join(whole, [*keys, "ring"]).withColumn("behind", F.when(F.col("left") == F.col("last"), 0).otherwise(F.col("left") + 1))
     before = before.select(*keys, "ring", F.col("left").alias("behind"), "from")
     corners = placed.join(before, [*keys, "ring", "behind"]).where("d <> from")
-    return corners.select(*keys, "ring", (F.col("last") - F.col("left")).alias("k"), "x", "y", "hole")
+    out = checkpointed(corners.select(*keys, "ring", (F.col("last") - F.col("left")).alias("k"), "x", "y", "hole"))
+    deleted(labelled.sparkSession, made)
+    return out
 
 
 def polygons(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequence[str] = (), nodata: Sequence[int] = ()) -> DataFrame:
