@@ -23,7 +23,7 @@ row by row; a row without an id trains; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -32,17 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landtide.llm import words as W
-from landtide.llm.store import settle
+from landtide.llm.store import drop, settle
 
 #: Words that all tasks know the counts of; of these, words with their own output; words of an output class; classes of the other known words.
 HEAD, OUT, WIDE, STATIC = 1 << 18, 2048, 64, 16
 HIDDEN, WINDOW = 24, 16
-#: Rounds that the training texts are dealt to, tokens of a stream on average; a stream is read in up to ``LANES`` lanes, for about ``UPDATES`` updates.
+#: Rounds at least, tokens of a stream on average; a stream is read in up to ``LANES`` lanes, for about ``UPDATES`` updates.
 ROUNDS, STREAM, LANES, UPDATES, RATE = 2, 3_000_000, 512, 366, 0.03
 #: Tokens that are scored in step, and those of them whose outputs are computed at once.
 STEP_TOKENS, BLOCK = 1 << 20, 1 << 14
 #: Weights of a row when networks are averaged; tasks of a round.
 _BLOCK, MOST_TASKS = 4096, 20_000
+#: Folders that the texts of the rounds are written to.
+FOLDERS = 6
 
 
 class Lexicon(NamedTuple):
@@ -391,15 +393,33 @@ def coded(rows: DataFrame, lex) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, row long, h long, codes array<int>, rest array<long>")
 
 
-def _dealt(texts: DataFrame, streams: int) -> DataFrame:
-    """``(round, stream, h, codes)`` for each of ``texts (id, h, codes)``; rows of one id and text are spread like any others."""
+def schedule(tokens: int) -> list[int]:
+    """Streams of each round: about twice as many as in the one before, all of about as many tokens.
+
+    So there are as many rounds as the number of streams has binary digits, and
+    nearly all tokens are read from a network that was trained before.
+    """
+    streams = max(1, -(-tokens // STREAM))
+    rounds = max(ROUNDS, streams.bit_length())
+    return [max(1, round(streams * 2**k / (2**rounds - 1))) for k in range(rounds)]
+
+
+def _dealt(texts: DataFrame, streams: Sequence[int]) -> DataFrame:
+    """``(round, stream, h, codes)`` for each of ``texts (id, h, codes)``; rows of one id and text are spread like any others.
+
+    ``streams`` has the streams of each round; a text goes to any of them with one chance.
+    """
     again = settle(texts.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of"), F.col("h").alias("has"), "n"), "lm-again")
     same = texts["id"].eqNullSafe(again["of"]) & (texts["h"] == again["has"])
     once = texts.join(again, same, "left_anti").select("id", "h", "codes", F.lit(1).alias("copy"))
     more = texts.join(again, same).groupBy("id", "h").agg(F.first("codes").alias("codes"), F.first("n").alias("n"))
     more = more.select("id", "h", "codes", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    place = lambda seed, n: F.pmod(F.xxhash64("id", "h", "copy", F.lit(seed)), F.lit(n))
-    return once.union(more).select(place(1, ROUNDS).alias("round"), place(2, streams).alias("stream"), "h", "codes")
+    place = F.pmod(F.xxhash64("id", "h", "copy", F.lit(1)), F.lit(sum(streams)))
+    of, first = F.lit(0), F.lit(0)
+    for k in range(1, len(streams)):
+        begins = sum(streams[:k])
+        of, first = F.when(F.col("place") >= begins, k).otherwise(of), F.when(F.col("place") >= begins, begins).otherwise(first)
+    return once.union(more).select(place.alias("place"), "h", "codes").select(of.alias("round"), (F.col("place") - first).alias("stream"), "h", "codes")
 
 
 def _round(texts: DataFrame, net: Net, lex, streams: int = 1) -> Net:
@@ -445,10 +465,15 @@ def fit(rows: DataFrame) -> tuple[Net, Lexicon, DataFrame, DataFrame]:
     net, shared = fresh(lex), sc.broadcast(lex)
     numbered = rows.select("id", "held_out", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), "text")
     codes = settle(coded(numbered, shared), "lm-codes")
-    streams = max(1, -(-lex.tokens // (ROUNDS * STREAM)))
-    dealt = _dealt(codes.where("not held_out").select("id", "h", "codes"), streams)
-    for k in range(ROUNDS):
-        net = _round(dealt.where(F.col("round") == k).select("stream", "h", "codes"), net, shared, streams)
+    streams = schedule(lex.tokens)
+    # The last rounds have folders of their own, so that a round does not read the texts of all; the first share one, of a thirtieth or so.
+    first = max(0, len(streams) - FOLDERS)
+    dealt = _dealt(codes.where("not held_out").select("id", "h", "codes"), streams).withColumn("folder", F.greatest("round", F.lit(first)))
+    dealt = settle(dealt, "lm-rounds", ["folder"])
+    for k, n in enumerate(streams):
+        own = dealt.where((F.col("folder") == max(k, first)) & (F.col("round") == k))
+        net = _round(own.select("stream", "h", "codes"), net, shared, n)
+    drop(dealt)
     return net, lex, counts, codes
 
 

@@ -329,6 +329,50 @@ def test_slopes_through_time():
         assert slopes[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-7)
 
 
+def test_chances_of_a_document_step_by_step():
+    """The network once more in plain Python, a token at a time."""
+    rng = np.random.default_rng(11)
+    counts = np.sort(rng.integers(1, 400, 2100))[::-1].astype(np.int64)
+    lex = gru_lm.lexicon(np.arange(2100) * 7919, counts, int(counts.sum()) + 500, 2300, 100)
+    net = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in gru_lm.fresh(lex).items()}
+    own = {k: v.astype(float).tolist() for k, v in net.items()}
+    texts = [[5, 2047, 2060, -1, 70, 5, -2], [-2], [2099, 0, 63, 64, -2]]
+    n, wide, out = gru_lm.HIDDEN, gru_lm.WIDE, gru_lm.OUT
+    of = lambda c: gru_lm.classes() - 1 if c == -2 else gru_lm.classes() - 2 if c == -1 else int(lex.group[c])
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+
+    def share(logits, k):
+        top = max(logits)
+        return logits[k] - top - math.log(sum(math.exp(x - top) for x in logits))
+
+    want = []
+    for text in texts:
+        h, before, total = [0.0] * n, -2, 0.0
+        for c in text:
+            x = own["x"][before if 0 <= before < out else out + of(before)]
+            hu = [sum(h[i] * own["u"][i][j] for i in range(n)) for j in range(3 * n)]
+            z, r = ([logistic(x[j] + hu[j]) for j in range(a, a + n)] for a in (0, n))
+            cand = [math.tanh(x[2 * n + j] + r[j] * hu[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * cand[j] for j in range(n)]
+            total += share([own["cb"][k] + sum(h[i] * own["c"][i][k] for i in range(n)) for k in range(gru_lm.classes())], of(c))
+            if 0 <= c < out:
+                first = c // wide * wide
+                total += share([own["wb"][w] + sum(a * b for a, b in zip(h, own["w"][w])) for w in range(first, first + wide)], c - first)
+            elif c >= out:
+                total += math.log(counts[c] / sum(int(counts[k]) for k in range(out, 2100) if lex.group[k] == lex.group[c]))
+            before = c
+        want.append(total)
+    offs = np.cumsum([0, *map(len, texts)])
+    assert gru_lm.score(net, lex, np.concatenate(texts), offs) == pytest.approx(want, rel=1e-4)
+
+
+def test_rounds_grow_with_the_text():
+    one = gru_lm.STREAM
+    assert gru_lm.schedule(0) == gru_lm.schedule(one) == [1, 1] and gru_lm.schedule(3 * one) == [1, 2] and gru_lm.schedule(25 * one) == [1, 2, 3, 6, 13]
+    large = gru_lm.schedule(10**13)
+    assert len(large) == 22 and large[0] == 1 and abs(sum(large) - 10**13 / one) < 22 and all(b >= a for a, b in zip(large, large[1:]))
+
+
 def test_slopes_of_the_field():
     rng = np.random.default_rng(8)
     weights, moves = rng.normal(size=(int(crf_secrets.OFFSETS[-1]), 3)), rng.normal(size=(3, 3))

@@ -595,7 +595,7 @@ def test_language_model_trains_on_every_text(spark, monkeypatch):
     lex, codes = gru_lm.fit(spark.createDataFrame(texts, "id long, text string").withColumn("held_out", F.lit(False)))[1::2]
     assert len(seen) == len(texts) and max(Counter(seen).values()) == 109
     assert sorted(seen) == sorted(tuple(r["codes"]) for r in codes.collect()) and lex.tokens == 818
-    streams = gru_lm._dealt(codes.select("id", "h", "codes"), 5).groupBy("round", "stream").count().collect()
+    streams = gru_lm._dealt(codes.select("id", "h", "codes"), [5, 5]).groupBy("round", "stream").count().collect()
     assert len(streams) == 10 and max(r["count"] for r in streams) < 80  # the many copies of one row are spread, too
 
 
