@@ -28,6 +28,16 @@ def run_stamp(name: Column) -> Column:
     return F.regexp_extract(name, r"\d{14}", 0)
 
 
+def landsat_band(name: Column) -> Column:
+    """The number of the band that a file of a Landsat scene holds (``..._B4.TIF``); null without one."""
+    return F.try_to_number(F.regexp_extract(name, r"_B(\d{1,2})\.(?i:tiff?)$", 1), F.lit("99")).cast("int")
+
+
+def landsat_scene(name: Column) -> Column:
+    """The part of such a name before its band."""
+    return F.regexp_extract(name, r"^(.*)_B\d{1,2}\.(?i:tiff?)$", 1)
+
+
 def tile(name: Column) -> Column:
     return F.regexp_extract(name, r"T\d{2}[A-Z]{3}", 0)
 

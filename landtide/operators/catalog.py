@@ -21,6 +21,16 @@ def matching(products: DataFrame, max_cloud: float, start: str, end: str, tile:
     return out if tile is None else out.where(F.col("tile") == tile)
 
 
+def by_filename(products: DataFrame, pattern: str, max_cloud: float, start: str, end: str, level: str | None = None, name: str = "filename") -> DataFrame:
+    """Products by their file name, in which ``*`` stands for any text, and by cloud cover, time range and level.
+
+    The pattern becomes ``LIKE``, so what stands before its first star reaches the scan as a prefix.
+    """
+    like = "%".join(part.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") for part in pattern.split("*"))
+    out = matching(products, max_cloud, start, end).where(F.col(name).like(like))
+    return out if level is None else out.where(F.col("level") == level)
+
+
 def page(products: DataFrame, start_row: int, rows: int = 100, order: Sequence[str] = ("beginposition", "uuid")) -> DataFrame:
     return products.orderBy(*order).offset(start_row).limit(rows)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +62,23 @@ def classify(image: DataFrame, model, bands: Sequence[str], nodata: float = 0) -
     return scored.select(*image.columns, F.when(full, F.col("prediction").cast("int")).otherwise(0).alias("class_code"), F.when(full, vector_to_array("__probability")).alias("probabilities"))
 
 
+def change_from_composite(image: DataFrame, composite: DataFrame, keys: Sequence[str], bands: Sequence[str], model: Callable[[DataFrame, list[str]], DataFrame], mask: str | None = None) -> DataFrame:
+    """Class changes by a model of pairs: each pixel of ``image`` with the ``bands`` of ``composite`` beside its own.
+
+    ``model`` gets the stacked pixels and the names of the bands, those of the
+    composite (``old_...``) first, and adds ``class_code``: a forest's ``classify`` or
+    any other function. The class is 0 where a band of either has no data or the
+    image's column ``mask`` is 0; pixels of one side only are left out. One join.
+    """
+    old = composite.select(*keys, *(F.col(b).alias(f"old_{b}") for b in bands))
+    names = [*(f"old_{b}" for b in bands), *bands]
+    seen = F.lit(True) if mask is None else F.coalesce(F.col(mask) != 0, F.lit(False))
+    for n in names:
+        seen = seen & F.coalesce(F.col(n) != 0, F.lit(False))
+    stacked = image.join(old, list(keys)).withColumn("__seen", seen)
+    return model(stacked, names).withColumn("class_code", F.when(F.col("__seen"), F.col("class_code")).otherwise(0)).drop("__seen")
+
+
 def cross_validated(samples: DataFrame, label: str, features: Sequence[str], folds: int = 10, trees: int = 100, seed: int = 101, depth: int = 12) -> DataFrame:
     """Accuracy of each fold, trained on the others; folds follow from a hash of the features."""
     fold = F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(folds))

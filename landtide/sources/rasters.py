@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landtide.functions import names
 from landtide.operators.grid import PixelError, stack
 
 META = T.StructType([
@@ -48,6 +49,21 @@ def single_bands(images: Sequence[DataFrame], keys: Sequence[str] = ("row", "col
     return stack([x.select(*keys, F.col("value").alias(f"b{k}")) for k, x in enumerate(images, 1)], keys)
 
 
+def landsat_stack(pixels: DataFrame, numbers: Sequence[int], name: str = "name", value: str = "value") -> DataFrame:
+    """``(scene_id, row, col, b...)`` of the band files ``(name, row, col, value)`` of Landsat scenes, a column a wanted band.
+
+    One aggregation for all scenes and bands. Scenes that lack one of the bands are
+    left out, by their files and not by their pixels; a pixel that a band lacks is 0
+    there, and of values of one pixel and band the greatest counts.
+    """
+    band = F.col("__band")
+    rows = pixels.select(names.landsat_scene(F.col(name)).alias("scene_id"), names.landsat_band(F.col(name)).alias("__band"), "row", "col", F.col(value).alias("__value")).where(band.isin(*numbers))
+    whole = rows.groupBy("scene_id").agg(F.count_distinct("__band").alias("n")).where(F.col("n") == len(set(numbers))).select("scene_id")
+    empty = F.lit(0).cast(rows.schema["__value"].dataType)
+    stacked = rows.join(whole, "scene_id", "left_semi").groupBy("scene_id", "row", "col")
+    return stacked.agg(*(F.coalesce(F.max(F.when(band == n, F.col("__value"))), empty).alias(f"b{n}") for n in numbers))
+
+
 def resolution(meta: DataFrame) -> DataFrame:
     """Each scene's pixel size; an error if any has pixels that are not square."""
     checked = F.when(F.abs(F.col("xres")) == F.abs(F.col("yres")), F.abs(F.col("xres"))).otherwise(F.raise_error(F.concat(F.lit("pixels are not square in "), F.col("scene_id"))))
@@ -59,4 +75,4 @@ def bounds(meta: DataFrame) -> DataFrame:
     return meta.select("scene_id", F.col("ulx").alias("xmin"), (F.col("uly") - F.col("height") * F.abs("yres")).alias("ymin"), (F.col("ulx") + F.col("width") * F.col("xres")).alias("xmax"), F.col("uly").alias("ymax"))
 
 
-__all__ = ["META", "PixelError", "bounds", "read", "read_palette", "read_signatures", "read_tiles", "resolution", "single_bands", "write", "write_signatures"]
+__all__ = ["META", "PixelError", "bounds", "landsat_stack", "read", "read_palette", "read_signatures", "read_tiles", "resolution", "single_bands", "write", "write_signatures"]
