@@ -52,13 +52,14 @@ def single_bands(images: Sequence[DataFrame], keys: Sequence[str] = ("row", "col
 def landsat_stack(pixels: DataFrame, numbers: Sequence[int], name: str = "name", value: str = "value") -> DataFrame:
     """``(scene_id, row, col, b...)`` of the band files ``(name, row, col, value)`` of Landsat scenes, a column a wanted band.
 
-    One aggregation for all scenes and bands. Scenes that lack one of the bands are
+    One aggregation for all scenes and bands, one more for the bands that a scene has. Scenes that lack one of the bands are
     left out, by their files and not by their pixels; a pixel that a band lacks is 0
     there, and of values of one pixel and band the greatest counts.
     """
     band = F.col("__band")
     rows = pixels.select(names.landsat_scene(F.col(name)).alias("scene_id"), names.landsat_band(F.col(name)).alias("__band"), "row", "col", F.col(value).alias("__value")).where(band.isin(*numbers))
-    whole = rows.groupBy("scene_id").agg(F.count_distinct("__band").alias("n")).where(F.col("n") == len(set(numbers))).select("scene_id")
+    every = rows.groupBy("scene_id").agg(*(F.bool_or(band == n).alias(f"__has{n}") for n in numbers))
+    whole = every.where(" and ".join(f"__has{n}" for n in numbers)).select("scene_id")
     empty = F.lit(0).cast(rows.schema["__value"].dataType)
     stacked = rows.join(whole, "scene_id", "left_semi").groupBy("scene_id", "row", "col")
     return stacked.agg(*(F.coalesce(F.max(F.when(band == n, F.col("__value"))), empty).alias(f"b{n}") for n in numbers))
