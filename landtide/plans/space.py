@@ -107,9 +107,12 @@ def points_in_boxes(spark, sf_dir):
 
 @query("""WITH {base} SELECT "row", col, CASE WHEN (col + 0.5) < 20 AND (50 - "row" - 0.5) < 45 THEN 3 ELSE 0 END::INT AS burnt FROM base""")
 def burn_polygons(spark, sf_dir):
-    ring = geo.box_ring(F.lit(0.0), F.lit(-1000.0), F.lit(20.0), F.lit(45.0))
+    """A box that reaches down below the last row of the map, however many there are."""
+    base = _base(spark, sf_dir)
+    last = base.agg(F.max("row").alias("last"))
+    ring = geo.box_ring(F.lit(0.0), F.least(49.0 - F.col("last"), F.lit(0.0)), F.lit(20.0), F.lit(45.0))
     inside = geo.contains(ring, F.col("col") + 0.5, 50 - F.col("row") - 0.5)
-    return _base(spark, sf_dir).select("row", "col", F.when(inside, 3).otherwise(0).alias("burnt"))
+    return base.join(F.broadcast(last)).select("row", "col", F.when(inside, 3).otherwise(0).alias("burnt"))  # one row
 
 
 # Polygons with holes on pixels, and on each other: boxes as rings, each with an inner ring.
