@@ -111,3 +111,27 @@ def test_nothing_to_learn_from(spark):
     one = spark.createDataFrame([(1.0, 2.0, 5)], "a double, b double, label int")
     assert trees.predict(one, forest, ["a", "b"]).first()["prediction"] is None
     assert trees.predict(one, trees.extra_trees(one, "label", ["a", "b"], trees=2), ["a", "b"]).first()["prediction"] == 5
+
+
+def test_trees_are_the_same_by_passes_and_by_tasks(spark):
+    rows = [r for r in samples() for _ in range(2)]  # equal samples are one row
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, label string")
+    lanes = [trees.Lane(0), trees.Lane(1, features=1.0, leaf=5), trees.Lane(2, split=2, leaf=1, fold=1), trees.Lane(3, depth=3)]
+    classes = sorted({r[-1] for r in rows})
+    weight = {k: len(rows) / (len(classes) * sum(r[-1] == k for r in rows)) for k in classes}
+    by = {own: trees.grow(df, "label", FEATURES, lanes, 7, F.pmod("id", F.lit(3)), own=own) for own in (0, 60, trees.OWN)}
+    for k, lane in enumerate(lanes):
+        seen = [(r[1:5], r[5]) for r in rows if lane.fold < 0 or r[0] % 3 != lane.fold]
+        expected = plain(seen, classes, weight, lane, 7)
+        assert all(same(nested(forest, k, weight), expected) for forest in by.values()), lane
+
+
+def test_passes_do_not_follow_the_levels(spark):
+    df = spark.createDataFrame(samples(), "id long, a double, b double, c double, d double, label string")
+    spark.sparkContext.setJobGroup("levels", "levels")
+    try:
+        forest = trees.grow(df, "label", FEATURES, [trees.Lane(k, features=0.3, leaf=1, split=2) for k in range(3)])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(forest.left) > 60
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) < 20
