@@ -12,7 +12,7 @@ group of polygons:
    piece is of the result where ``keep`` holds on just one side of it; the result
    lies to its left.
 3. Pieces are followed from end to end, at a shared corner to the next one clockwise,
-   by pointer jumping; rings that turn right are holes of the least ring around them.
+   within a task, or by pointer jumping over tables in groups too large for one; rings that turn right are holes of the least ring around them.
 
 Every step joins on the group and a cell or strip, so a group of any size is spread
 over tasks; the cost is that of pairs within a cell and of pieces within a strip. Only
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from landtide.session import written
 
 #: Units of a coordinate, and the slant of the strips' direction against the axes, which sides of maps often follow.
 SCALE, SLANT = 1000.0, 0.3819660112501051
+#: Pieces of a group at most that one task follows.
+OWN = 1 << 16
 _ENDS = ["x1", "y1", "x2", "y2"]
 
 
@@ -108,8 +112,61 @@ def pieces_above(spots: DataFrame, pieces: DataFrame, keys: Sequence[str], spot:
     return met.where(F.col("y1") + share * (F.col("y2") - F.col("y1")) > F.col("my")).groupBy(*keys, *spot, *of).agg(F.count("*").alias("n"))
 
 
-def chained(follow: DataFrame, keys: Sequence[str], name: str, made: list[str]) -> DataFrame:
-    """``(keys, id, ring, left)`` of ``follow (keys, id, next)``: the ring's least id, and steps from each id until it comes again (0 for the last)."""
+def _rings(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place's least id around its ring, and the steps until that comes again (0 for the last); ``after`` has the next places."""
+    ring, jump = ids, after
+    while True:  # the least among the next 1, 2, 4, ... of each
+        least = np.minimum(ring, ring[jump])
+        if (least == ring).all():
+            break
+        ring, jump = least, jump[jump]
+    ends = ids[after] == ring
+    left, jump = np.where(ends, 0, 1), np.where(ends, -1, after)
+    while len(on := np.flatnonzero(jump >= 0)):
+        to = jump[on]
+        more, further = left[to], jump[to]
+        left[on] += more
+        jump[on] = further
+    return ring, left
+
+
+def _chained_rows(t: pa.Table) -> pa.Table:
+    group, ids, after = (t.column(c).to_numpy() for c in ("__group", "id", "next"))
+    names, number = np.unique(np.concatenate([ids, after]), return_inverse=True)
+    place = np.unique(group, return_inverse=True)[1] * len(names)
+    own, to = place + number[: len(ids)], place + number[len(ids) :]
+    order = np.argsort(own)
+    ring, left = _rings(ids, order[np.searchsorted(own[order], to)])
+    kept = t.drop_columns(["__group", "__deal", "next"])
+    return kept.append_column("ring", pa.array(ring, pa.int64())).append_column("left", pa.array(left, pa.int64()))
+
+
+def chained(follow: DataFrame, keys: Sequence[str], name: str, made: list[str], own: int = OWN) -> DataFrame:
+    """``(keys, id, ring, left)`` of ``follow (keys, id, next)``: the ring's least id, and steps from each id until it comes again (0 for the last).
+
+    Groups of at most ``own`` ids are dealt whole to tasks of about that many; only
+    those of larger ones are followed by rounds over tables. It does not change the result.
+    """
+    given = written(follow.select(*keys, F.col("id").cast("long").alias("id"), F.col("next").cast("long").alias("next")), name, made)
+    sized = given.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total, most = sized.agg(F.sum("__n"), F.max("__n")).first()
+    if (most or 0) <= own:
+        return _dealt(given, keys, total or 0, own)
+    if not keys:
+        return _by_rounds(given, keys, name, made)
+    large = written(sized.where(F.col("__n") > own).select(*keys), name, made)
+    return _dealt(given.join(large, list(keys), "left_anti"), keys, total, own).unionByName(_by_rounds(given.join(large, list(keys), "left_semi"), keys, name, made))
+
+
+def _dealt(given: DataFrame, keys: Sequence[str], total: int, own: int) -> DataFrame:
+    tasks = max(1, -(-total // max(1, own)))
+    group = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    rows = given.withColumn("__group", group).withColumn("__deal", F.pmod("__group", F.lit(tasks)))
+    kinds = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in [*keys, "id"])
+    return rows.repartition(min(tasks, 2000), "__deal").groupBy("__deal").applyInArrow(_chained_rows, f"{kinds}, ring long, left long")
+
+
+def _by_rounds(follow: DataFrame, keys: Sequence[str], name: str, made: list[str]) -> DataFrame:
     now = written(follow.select(*keys, "id", "next", F.least("id", "next").alias("ring"), F.lit(True).alias("moved")), name, made)
     first = now.select(*keys, "id", F.col("next").alias("after"))
     while True:  # the least among the next 1, 2, 4, ... of each

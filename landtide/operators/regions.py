@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landtide.operators import masks
+from landtide.operators import masks, overlay
 from landtide.session import deleted, written
 
 BLOCK = 256
@@ -146,14 +146,14 @@ def outlines(labelled: DataFrame, scene: Sequence[str] = ()) -> DataFrame:
     return looked.join(other, [*scene, "r", "c"], "left").where("other is null or other <> region").select(*scene, "region", "row", "col", "side")
 
 
-def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequence[str] = ()) -> DataFrame:
+def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequence[str] = (), own: int = overlay.OWN) -> DataFrame:
     """``(scene, region, ring, k, x, y, hole)``: the corners of each region's boundary, ring by ring, outer ones clockwise on the image.
 
     ``x`` and ``y`` count columns and rows; ``ring`` is its least side. Every side
     knows the one that follows it; where two regions' corners touch it turns so that
-    the region stays connected as it was labelled. Rings and places in them come by
-    pointer jumping, in rounds that grow with the logarithm of the longest ring, so
-    no task holds a region's outline.
+    the region stays connected as it was labelled. Outlines of at most ``own`` sides are
+    followed within a task, longer ones by pointer jumping over tables, in rounds that
+    grow with the logarithm of the longest ring (``overlay.chained``).
     """
     keys, made = [*scene, "region"], []
     turn, at = F.element_at, F.element_at(F.create_map(*(F.lit(x) for k, s in enumerate(_SIDES) for x in (s[0], k))), F.col("side"))
@@ -165,22 +165,7 @@ def rings(labelled: DataFrame, width: int, connectivity: int = 4, scene: Sequenc
     after = edges.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("side").alias("next"), F.col("d").alias("to"))
     prefer = F.pmod(F.col("to") - F.col("d") - (1 if connectivity != 8 else 3), F.lit(4))  # right turns first, or left ones
     follow = edges.join(after, [*keys, "x2", "y2"]).groupBy(*keys, "side").agg(F.min_by("next", prefer).alias("next"))
-    now = checkpointed(follow.select(*keys, "side", "next", F.least("side", "next").alias("ring"), F.lit(True).alias("moved")), made)
-    first = now.select(*keys, "side", F.col("next").alias("after"))
-    while True:  # each side's least among the next 1, 2, 4, ... of its ring
-        ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("ring").alias("other"))
-        now = now.join(ahead, [*keys, "next"]).select(*keys, "side", F.col("further").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") < F.col("ring")).alias("moved"))
-        now = checkpointed(now, made)
-        if now.where("moved").isEmpty():
-            break
-    named = now.select(*keys, "side", "ring")
-    # Sides to go until the ring's first one comes again: the place, counted from behind.
-    now = first.join(named, [*keys, "side"]).select(*keys, "side", "ring", F.when(F.col("after") != F.col("ring"), F.col("after")).alias("next"), F.when(F.col("after") != F.col("ring"), 1).otherwise(0).cast("long").alias("left"))
-    now = checkpointed(now, made)
-    while not now.where("next is not null").isEmpty():
-        ahead = now.select(*keys, F.col("side").alias("next"), F.col("next").alias("further"), F.col("left").alias("more"))
-        now = now.join(ahead, [*keys, "next"], "left").select(*keys, "side", "ring", F.col("further").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
-        now = checkpointed(now, made)
+    now = checkpointed(overlay.chained(follow.withColumnRenamed("side", "id"), keys, "regions", made, own).withColumnRenamed("id", "side"), made)
     placed = now.select(*keys, "side", "ring", "left").join(edges, [*keys, "side"])
     whole = placed.groupBy(*keys, "ring").agg(F.max("left").alias("last"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) < 0).alias("hole"))
     before = placed.select(*keys, F.col("x2").alias("x"), F.col("y2").alias("y"), "ring", "left", F.col("d").alias("from"))

@@ -87,3 +87,26 @@ def test_scan_lines_against_ray_casting(spark):
     for r, c, k in sorted(expected, key=lambda t: t[2]):
         top[r, c] = shapes[k][1]
     assert last == {(int(r), int(c)): top.get((int(r), int(c)), -1) for r, c in zip(row, col)}
+
+
+def test_chains_are_the_same_by_tasks_and_by_rounds(spark):
+    lengths = [1, 2, 3, 7, 40, 90]
+    steps = [(g, k, (k + 3 * n // 4 + 1 if n > 2 else k + 1) % n) for g, n in enumerate(lengths) for k in range(n)]
+    expected = {}
+    after = {(g, k): to for g, k, to in steps}
+    for g, k in after:
+        ring = [k]
+        while after[g, ring[-1]] != k:
+            ring.append(after[g, ring[-1]])
+        first = min(ring)
+        expected[g, k] = (first, (ring.index(first) or len(ring)) - 1)
+    follow = spark.createDataFrame(steps, "g long, id long, next long").repartition(3)
+    for own in (0, 10, overlay.OWN):
+        made = []
+        got = overlay.chained(follow, ["g"], "chains", made, own).collect()
+        assert {(r["g"], r["id"]): (r["ring"], r["left"]) for r in got} == expected and len(got) == len(steps)
+        assert own < overlay.OWN or len(made) == 1  # no rounds
+    alone = follow.where("g = 5").drop("g")
+    for own in (0, overlay.OWN):
+        assert {r["id"]: (r["ring"], r["left"]) for r in overlay.chained(alone, [], "chains", [], own).collect()} == {k: v for (g, k), v in expected.items() if g == 5}
+    assert overlay.chained(follow.limit(0), ["g"], "chains", []).count() == 0
