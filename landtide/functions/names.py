@@ -30,7 +30,7 @@ def run_stamp(name: Column) -> Column:
 
 def landsat_band(name: Column) -> Column:
     """The number of the band that a file of a Landsat scene holds (``..._B4.TIF``); null without one."""
-    return F.try_to_number(F.regexp_extract(name, r"_B(\d{1,2})\.(?i:tiff?)$", 1), F.lit("99")).cast("int")
+    return F.regexp_extract(name, r"_B(\d{1,2})\.(?i:tiff?)$", 1).try_cast("int")
 
 
 def landsat_scene(name: Column) -> Column:
