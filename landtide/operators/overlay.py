@@ -15,8 +15,8 @@ group of polygons:
    within a task, or by pointer jumping over tables in groups too large for one; rings that turn right are holes of the least ring around them.
 
 Every step joins on the group and a cell or strip, so a group of any size is spread
-over tasks; the cost is that of pairs within a cell and of pieces within a strip. Only
-a finished ring is one row. Rounds are written tables that are deleted at the end.
+over tasks; the cost is that of pairs within a cell and of pieces within a strip. Groups
+that hold equal polygons are worked on once and get the same parts. Only a finished ring is one row. Rounds are written tables that are deleted at the end.
 """
 
 from __future__ import annotations
@@ -196,6 +196,17 @@ def _corners(points: Column) -> Column:
     return F.filter(points, turns)
 
 
+def _alike(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, __like)``: ``__like`` is equal for groups of ``polygons (keys, side, rings)`` that hold equal polygons.
+
+    Groups are told apart by their number of polygons and the exact sums of two 64-bit hashes of these.
+    """
+    text = F.col("rings").cast("string")
+    hashes = (F.xxhash64("side", text), F.xxhash64(text, "side"))
+    sums = polygons.groupBy(*keys).agg(F.count("*").alias("__n"), *(F.sum(h.cast("decimal(20,0)")).alias(f"__h{k}") for k, h in enumerate(hashes)))
+    return sums.select(*keys, F.struct("__n", "__h0", "__h1").alias("__like"))
+
+
 def overlay(polygons: DataFrame, keys: Sequence[str], keep: Callable[[Column, Column, Column], Column], cell: float, scale: float = SCALE) -> DataFrame:
     """``(keys, part, rings, area)``: a row for each connected part, its shell first, counter-clockwise, then its holes.
 
@@ -206,7 +217,22 @@ def overlay(polygons: DataFrame, keys: Sequence[str], keep: Callable[[Column, Co
     only are parts of their own; a null or empty polygon covers nothing.
     """
     made: list[str] = []
-    keys, unit = list(keys), cell * scale
+    if not keys:
+        return written(_parts(polygons, [], keep, cell, scale, made), "overlay-parts", [], made)
+    polygons = written(polygons.select(*keys, "side", "rings"), "overlay", made)
+    like = _alike(polygons, keys)
+    # One of the groups that are alike stands for all, under a number.
+    firsts = like.groupBy("__like").agg(F.min(F.struct(*keys)).alias("__first")).withColumn("__same", F.monotonically_increasing_id())
+    firsts = written(firsts, "overlay", made)
+    groups = written(like.join(firsts.select("__like", "__same"), "__like").select(*keys, "__same"), "overlay", made)
+    own = polygons.join(firsts.select("__first.*", "__same"), list(keys)).select("__same", "side", "rings")
+    out = _parts(own, ["__same"], keep, cell, scale, made).join(groups, "__same").select(*keys, "part", "rings", "area")
+    return written(out, "overlay-parts", [], made)
+
+
+def _parts(polygons: DataFrame, keys: list[str], keep: Callable[[Column, Column, Column], Column], cell: float, scale: float, made: list[str]) -> DataFrame:
+    """``overlay`` of each group by itself; its tables go to ``made``."""
+    unit = cell * scale
     given = written(polygons.select(*keys, "side", F.monotonically_increasing_id().alias("poly"), "rings"), "overlay", made)
     per = given.groupBy(*keys).agg(F.count("*").alias("all"))
     own = written(_odd(sides(given, keys, ["poly", "side"], scale), [*keys, "poly", "side", *_ENDS]), "overlay", made)
@@ -249,8 +275,7 @@ def overlay(polygons: DataFrame, keys: Sequence[str], keep: Callable[[Column, Co
     whole = shells.withColumnRenamed("ring", "part").join(inner, [*keys, "part"], "left")
     lost = F.aggregate(F.coalesce(F.transform("holes", lambda h: h["twice"]), F.array().cast("array<double>")), F.lit(0.0), lambda s, v: s + v)
     rest = F.coalesce(F.transform("holes", lambda h: closed(h["points"])), F.array().cast("array<array<struct<x:double,y:double>>>"))
-    out = whole.select(*keys, "part", F.concat(F.array(closed(F.col("points"))), rest).alias("rings"), ((F.col("twice") + lost) / (2 * scale * scale)).alias("area"))
-    return written(out, "overlay-parts", [], made)
+    return whole.select(*keys, "part", F.concat(F.array(closed(F.col("points"))), rest).alias("rings"), ((F.col("twice") + lost) / (2 * scale * scale)).alias("area"))
 
 
 def intersection(polygons: DataFrame, keys: Sequence[str], cell: float, scale: float = SCALE) -> DataFrame:

@@ -66,6 +66,25 @@ def test_overlay_against_points(spark, layer, kind):
     assert {"shared": (area, parts) == ({2: 16, 3: 0}, {2: [0], 3: []}), "union": area == {2: 32, 3: 44} and parts[2] == [0] and sorted(parts[3]) == [0, 0, 0, 1], "difference": area == {2: 0, 3: 8}}[kind]
 
 
+def test_groups_of_equal_polygons_are_worked_on_once(spark, layer, monkeypatch):
+    split = [(4, 0, [[*square(0, 0, 4), *square(1, 1, 2)]]), (5, 0, [square(0, 0, 4), square(1, 1, 2)]), (6, 1, [square(0, 0, 4), square(1, 1, 2)])]  # the same points, other rings or another side
+    rows = [*layer, *split]
+    rows = [*rows, *((g + 10, s, r) for g, s, r in rows[::-1]), *((g + 20, s, r) for g, s, r in rows)]  # copies, in another order, too
+    df = spark.createDataFrame([("y" if r[0] < 10 else "z", *r) for r in rows], f"zone string, g long, side int, rings {RINGS}")
+    worked, parts = [], overlay._parts
+    monkeypatch.setattr(overlay, "_parts", lambda polygons, *rest: worked.append(polygons.select(rest[0]).distinct().count()) or parts(polygons, *rest))
+    a, b = (df.where(f"side = {s}").drop("side") for s in (0, 1))
+    got = {}
+    for r in overlay.difference(a, b, ["zone", "g"], 2.0).collect():
+        got.setdefault(r["g"], []).append((r["area"], str(r["rings"])))
+    plain = {}
+    for r in parts(df.where("g < 10").drop("zone"), ["g"], lambda a, b, n: (a > 0) & (b == 0), 2.0, overlay.SCALE, []).collect():
+        plain.setdefault(r["g"], []).append(r["area"])
+    assert worked == [7] and got.keys() == {g + 10 * k for g in plain for k in range(3)}
+    for g, areas in plain.items():
+        assert sorted(areas) == pytest.approx(sorted(a for a, _ in got[g])) and sorted(got[g]) == sorted(got[g + 10]) == sorted(got[g + 20])
+
+
 def test_common_to_all(spark):
     rows = [(1, [square(0, 0, 4)]), (1, [square(1, 1, 4)]), (1, [square(2, -1, 4)]), (2, [square(0, 0, 1)]), (2, [square(5, 5, 1)])]
     got = overlay.intersection(spark.createDataFrame(rows, f"g long, rings {RINGS}"), ["g"], 3.0).collect()
