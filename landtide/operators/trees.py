@@ -164,9 +164,13 @@ def _finished(state: DataFrame, waiting: dict[int, tuple[Lane, int]], width: int
     on = state.select("x", "cls", "n", F.explode("at").alias("node")).where("node >= 0")
     dealt = on.repartition(min(2000, 2 * len(waiting)), "node")  # a number of its own, so tasks of much work are not put together by their bytes
     kinds = (np.int16, np.float64, np.int32, np.int64)
-    for r in dealt.groupBy("node").applyInArrow(run, "node int, t0 binary, t1 binary, t2 binary, t3 binary").toLocalIterator():
+    made: list[str] = []
+    # Written first: an iterator runs the tasks of its table one after the other.
+    grown = written(dealt.groupBy("node").applyInArrow(run, "node int, t0 binary, t1 binary, t2 binary, t3 binary"), "trees-grown", made)
+    for r in grown.toLocalIterator():
         feature, threshold, left, counts = (np.frombuffer(zlib.decompress(bytes(b)), kind) for b, kind in zip(r[1:], kinds))
         yield r["node"], [feature, threshold, left, counts.reshape(len(feature), -1)]
+    deleted(state.sparkSession, made)
 
 
 def _joined(tables: list[np.ndarray], names: dict[int, int], trees: Iterator[tuple[int, list[np.ndarray]]]) -> list[np.ndarray]:
