@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,22 +77,43 @@ def centroid(box: Column) -> Column:
 
 
 _A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996  # WGS 84 and UTM
+_N = _F / (2 - _F)
+_E, _R = 2 * _N**0.5 / (1 + _N), _K0 * _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+#: Krueger's series to the third power of the flattening (within a millimetre in a zone): onto the plane, back from it, and from conformal latitude.
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it uses more than once: the expression holds the value one time only."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _bent(p: Column, terms: tuple[float, ...]) -> tuple[Column, Column]:
+    """What the series adds to ``xi`` and ``eta``."""
+    xi, eta = p["xi"], p["eta"]
+    north = [v * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, v in enumerate(terms, 1)]
+    east = [v * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, v in enumerate(terms, 1)]
+    return north[0] + north[1] + north[2], east[0] + east[1] + east[2]
 
 
 def utm_to_latlon(x: Column, y: Column, zone: Column, north: Column) -> Column:
-    """Latitude and longitude in degrees of UTM coordinates, by the series of the inverse projection."""
-    e2 = _F * (2 - _F)
-    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
-    arc = F.when(north, y).otherwise(y - 10000000.0) / _K0
-    mu = arc / (_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
-    c, t = ep2 * F.cos(phi) ** 2, F.tan(phi) ** 2
-    n = _A / F.sqrt(1 - e2 * F.sin(phi) ** 2)
-    r = _A * (1 - e2) / (1 - e2 * F.sin(phi) ** 2) ** 1.5
-    d = (x - 500000.0) / (n * _K0)
-    lat = phi - (n * F.tan(phi) / r) * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep2 - 3 * c**2) * d**6 / 720)
-    lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep2 + 24 * t**2) * d**5 / 120) / F.cos(phi)
-    return F.struct(F.degrees(lat).alias("lat"), (F.degrees(lon) + (zone - 1) * 6 - 177).alias("lon"))
+    """Latitude and longitude in degrees of UTM coordinates, by Krueger's series."""
+    def turned(p: Column) -> Column:
+        xi, eta = _bent(p, _BETA)
+        return F.struct((p["xi"] - xi).alias("xi"), (p["eta"] - eta).alias("eta"))
+
+    def sphere(p: Column) -> Column:
+        lon = F.degrees(F.atan2(F.sinh(p["eta"]), F.cos(p["xi"]))) + ((zone - 1) * 6 - 177)
+        return F.struct(F.asin(F.sin(p["xi"]) / F.cosh(p["eta"])).alias("chi"), lon.alias("lon"))
+
+    def place(p: Column) -> Column:
+        phi = [v * F.sin(2 * k * p["chi"]) for k, v in enumerate(_DELTA, 1)]
+        return F.struct(F.degrees(p["chi"] + (phi[0] + phi[1] + phi[2])).alias("lat"), p["lon"].alias("lon"))
+
+    plane = F.struct((F.when(north, y).otherwise(y - 10000000.0) / _R).alias("xi"), ((x - 500000.0) / _R).alias("eta"))
+    return named(named(named(plane, turned), sphere), place)
 
 
 def utm_zone(lon: Column) -> Column:
@@ -109,12 +132,16 @@ def reprojected(ring: Column, move) -> Column:
 
 
 def latlon_to_utm(lat: Column, lon: Column, zone: Column) -> Column:
-    """UTM coordinates (northern grid; add 10 000 000 to y south of the equator)."""
-    e2 = _F * (2 - _F)
-    ep2 = e2 / (1 - e2)
-    phi, lam = F.radians(lat), F.radians(lon - ((zone - 1) * 6 - 177))
-    n, t, c, a = _A / F.sqrt(1 - e2 * F.sin(phi) ** 2), F.tan(phi) ** 2, ep2 * F.cos(phi) ** 2, lam * F.cos(phi)
-    m = _A * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi))
-    x = _K0 * n * (a + (1 - t + c) * a**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep2) * a**5 / 120) + 500000.0
-    y = _K0 * (m + n * F.tan(phi) * (a**2 / 2 + (5 - t + 9 * c + 4 * c**2) * a**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep2) * a**6 / 720))
-    return F.struct(x.alias("x"), y.alias("y"))
+    """UTM coordinates (northern grid; add 10 000 000 to y south of the equator), by Krueger's series."""
+    def conformal(p: Column) -> Column:
+        return F.struct(F.sinh(F.atanh(p["s"]) - _E * F.atanh(_E * p["s"])).alias("t"), p["lam"].alias("lam"))
+
+    def plane(p: Column) -> Column:
+        return F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("xi"), F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta"))
+
+    def metres(p: Column) -> Column:
+        xi, eta = _bent(p, _ALPHA)
+        return F.struct((500000.0 + _R * (p["eta"] + eta)).alias("x"), (_R * (p["xi"] + xi)).alias("y"))
+
+    start = F.struct(F.sin(F.radians(lat)).alias("s"), F.radians(lon - ((zone - 1) * 6 - 177)).alias("lam"))
+    return named(named(named(start, conformal), plane), metres)

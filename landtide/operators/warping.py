@@ -5,7 +5,9 @@ Systems are named by number: 4326 (longitude and latitude) and UTM zones of WGS
 scene, snapped to its pixel size, so its pixels have that size exactly. Cells of the
 target ask where they come from: exactly at the knots of a coarse mesh, linearly
 between them. The mesh is halved until its error, measured at the middles of its
-meshes and of their sides, is within the tolerance of a source pixel.
+meshes and of their sides, is within the tolerance of a source pixel. Cells that the
+mesh puts nearer to a side of a source pixel than twice that error ask exactly, too, so
+the tolerance decides on the work and not on the result.
 """
 
 from __future__ import annotations
@@ -41,11 +43,11 @@ def carried(source: int, target: int) -> Callable[[Column, Column], Column]:
             return F.struct(p["lon"].alias("x"), p["lat"].alias("y"))
         zone, north = _utm(target)
         q = geo.latlon_to_utm(p["lat"], p["lon"], F.lit(zone))
-        return F.struct(q["x"].alias("x"), (q["y"] + (0.0 if north else 10000000.0)).alias("y"))
+        return geo.named(q, lambda q: F.struct(q["x"].alias("x"), (q["y"] + (0.0 if north else 10000000.0)).alias("y")))
 
     if source == target:
         return lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    return lambda x, y: F.get(F.transform(F.array(to_lonlat(x, y)), from_lonlat), F.lit(0))
+    return lambda x, y: geo.named(to_lonlat(x, y), from_lonlat)
 
 
 def target_grids(grids: DataFrame, source: int, target: int, res: float) -> DataFrame:
@@ -93,13 +95,17 @@ def warp(cells: DataFrame, grids: DataFrame, source: int, target: int, res: floa
     if size[0] != size[1]:
         raise ValueError("scenes have pixels of several sizes")
     back, onto, step = carried(target, source), target_grids(grids, source, target, res), mesh
-    while step > 1 and mesh_error(onto, back, res, step) > tolerance * size[0]:
+    while (error := mesh_error(onto, back, res, step)) > tolerance * size[0] and step > 1:
         step //= 2
     within = F.sequence(F.lit(0), F.lit(step - 1))
     each = _meshes(onto, back, res, step).withColumn("i", F.explode(within)).withColumn("j", F.explode(within))
-    each = each.select("scene_id", (F.col("mr") * step + F.col("i")).cast("int").alias("row"), (F.col("mc") * step + F.col("j")).cast("int").alias("col"), "width", "height", _between(F.col("i") / step, F.col("j") / step).alias("p")).where("row < height and col < width")
+    each = each.select("scene_id", (F.col("mr") * step + F.col("i")).cast("int").alias("row"), (F.col("mc") * step + F.col("j")).cast("int").alias("col"), "ulx", "uly", "width", "height", _between(F.col("i") / step, F.col("j") / step).alias("p")).where("row < height and col < width")
     from_ = grids.select("scene_id", F.col("ulx").alias("sx"), F.col("uly").alias("sy"), F.col("xres").alias("sr"))
-    asked = each.join(from_, "scene_id").select("scene_id", "row", "col", F.floor((F.col("sy") - F.col("p.y")) / F.col("sr")).cast("int").alias("__r"), F.floor((F.col("p.x") - F.col("sx")) / F.col("sr")).cast("int").alias("__c"))
+    down, right = (lambda p: (F.col("sy") - F.col(f"{p}.y")) / F.col("sr")), (lambda p: (F.col(f"{p}.x") - F.col("sx")) / F.col("sr"))
+    each = each.join(from_, "scene_id").withColumns({"__y": down("p"), "__x": right("p")})
+    near = [F.abs(F.col(c) - F.rint(c)) <= 2 * error / size[0] for c in ("__y", "__x")]
+    exact = F.when(near[0] | near[1], back(F.col("ulx") + (F.col("col") + 0.5) * res, F.col("uly") - (F.col("row") + 0.5) * res))
+    asked = each.withColumn("q", exact).select("scene_id", "row", "col", F.floor(F.coalesce(down("q"), "__y")).cast("int").alias("__r"), F.floor(F.coalesce(right("q"), "__x")).cast("int").alias("__c"))
     known = cells.select("scene_id", F.col("row").alias("__r"), F.col("col").alias("__c"), *bands)
     out = asked.join(known, ["scene_id", "__r", "__c"], "left").drop("__r", "__c")
     return out.withColumns({b: F.coalesce(F.col(b), F.lit(nodata).cast(cells.schema[b].dataType)) for b in bands}), onto

@@ -91,7 +91,7 @@ def settings_search(spark, sf_dir):
 # Reprojection.
 
 def _utm_sql(lat: str, lon: str, zone: str) -> str:
-    """Transverse Mercator of WGS 84 in UTM by Krueger's series, another one than the engine's."""
+    """Transverse Mercator of WGS 84 in UTM by Krueger's series to the third power, as the engine's."""
     f = 1 / 298.257223563
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -150,7 +150,7 @@ def _krueger_sql() -> str:
  FROM asked LEFT JOIN base ON base."row" = r AND base.col = c AND pixel % 2 = scene""")
 def warp_system(spark, sf_dir):
     base = model.baseline(spark, sf_dir)
-    height = (base.agg(F.max("row")).first()[0] or 0) + 1
+    height = base.agg(F.max("row") + 1).first()[0]  # null for an empty map, which has no grids then
     grids = spark.createDataFrame([(k, x, y, _DEGREE, 50, height) for k, x, y in _SCENES], "scene_id long, ulx double, uly double, xres double, width int, height int")
     cells = base.select((F.col("pixel") % 2).alias("scene_id"), "row", "col", F.col("reflectance").cast("double").alias("reflectance"))
     return warping.warp(cells, grids, 4326, 32736, RES, ["reflectance"], nodata=-1, tolerance=1e-5)[0].select("scene_id", "row", "col", "reflectance")

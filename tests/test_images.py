@@ -49,6 +49,42 @@ def test_warp_refuses(spark):
     assert rasters.META.fieldNames()[:3] == ["scene_id", "ulx", "uly"]
 
 
+def krueger(x, y):
+    """Latitude and longitude of southern UTM zone 36 by Krueger's series to the fifth power."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 0.9996 * 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 - 81 * n**5 / 512, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 + 46 * n**5 / 105, 17 * n**3 / 480 - 37 * n**4 / 840 - 209 * n**5 / 4480, 4397 * n**4 / 161280 - 11 * n**5 / 504]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315, 56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105, 4279 * n**4 / 630 - 332 * n**5 / 35]
+    xi, eta = (y - 1e7) / a, (x - 5e5) / a
+    u = xi - sum(v * np.sin(2 * k * xi) * np.cosh(2 * k * eta) for k, v in enumerate(beta, 1))
+    v = eta - sum(v * np.cos(2 * k * xi) * np.sinh(2 * k * eta) for k, v in enumerate(beta, 1))
+    chi = np.arcsin(np.sin(u) / np.cosh(v))
+    return np.degrees(chi + sum(v * np.sin(2 * k * chi) for k, v in enumerate(delta, 1))), 33 + np.degrees(np.arctan2(np.sinh(v), np.cos(u)))
+
+
+def test_warp_asks_exactly_near_the_sides(spark):
+    """Each target cell has the source cell that its centre is in, whatever the tolerance of the mesh."""
+    ulx, uly, size = 34.9, -11.0, 0.0001
+    grids = spark.createDataFrame([("a", ulx, uly, size, 300, 300)], GRIDS)
+    cells = spark.range(90000).select(F.lit("a").alias("scene_id"), (F.col("id") / 300).cast("int").alias("row"), (F.col("id") % 300).cast("int").alias("col"), F.col("id").cast("int").alias("v"))
+    got, onto = warping.warp(cells, grids, 4326, 32736, 10.0, ["v"], nodata=-1, tolerance=2.0)
+    g, own = onto.first(), got.toPandas()
+    lat, lon = krueger(g["ulx"] + (own["col"] + 0.5) * 10, g["uly"] - (own["row"] + 0.5) * 10)
+    r, c = (uly - lat) / size, (lon - ulx) / size
+    want = np.where((r >= 0) & (r < 300) & (c >= 0) & (c < 300), np.floor(r) * 300 + np.floor(c), -1)
+    clear = (abs(r - r.round()) > 1e-4) & (abs(c - c.round()) > 1e-4)
+    assert len(own) == g["width"] * g["height"] and clear.mean() > 0.999
+    assert (own["v"] == want)[clear].all()
+
+
+def test_warp_of_an_empty_map(spark, tmp_path):
+    from landtide import plans
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("false").write.parquet(str(tmp_path / "part.parquet"))
+    assert plans.QUERIES["warp_system"](spark, str(tmp_path)).count() == 0
+
+
 def test_lines_of_each_scene_and_band(spark):
     rng = np.random.default_rng(3)
     n = 400
