@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from landtide.functions import geo
 
-#: Points on each side of a border, cells of a mesh at first, and its error in source pixels.
-BORDER, MESH, TOLERANCE = 21, 64, 0.05
+#: Points on each side of a border, cells of a mesh at first, its error in source pixels, and about how many target cells a task makes.
+BORDER, MESH, TOLERANCE, TASK = 21, 64, 0.05, 1 << 19
 
 
 def _utm(epsg: int) -> tuple[int, bool]:
@@ -61,9 +61,13 @@ def target_grids(grids: DataFrame, source: int, target: int, res: float) -> Data
     return box.select("scene_id", (left * res).alias("ulx"), (up * res).alias("uly"), (right - left).cast("int").alias("width"), (up - low).cast("int").alias("height"))
 
 
-def _meshes(grids: DataFrame, back: Callable[[Column, Column], Column], res: float, step: int) -> DataFrame:
-    """``(scene_id, mr, mc, p00, p01, p10, p11)``: where the corners of each mesh of ``step`` cells come from; corners are centres of cells."""
-    rows = grids.withColumn("mr", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / step)))).withColumn("mc", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / step))))
+def _meshes(grids: DataFrame, back: Callable[[Column, Column], Column], res: float, step: int, tasks: int = 1) -> DataFrame:
+    """``(scene_id, mr, mc, p00, p01, p10, p11)``: where the corners of each mesh of ``step`` cells come from; corners are centres of cells.
+
+    Rows of meshes are dealt to ``tasks``: grids are few and small, so their own partitions would be one task.
+    """
+    rows = grids.withColumn("mr", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / step))))
+    rows = (rows.repartition(tasks, "scene_id", "mr") if tasks > 1 else rows).withColumn("mc", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / step))))
     at = lambda i, j: back(F.col("ulx") + ((F.col("mc") + j) * step + 0.5) * res, F.col("uly") - ((F.col("mr") + i) * step + 0.5) * res)
     return rows.withColumns({f"p{i}{j}": at(i, j) for i in (0, 1) for j in (0, 1)})
 
@@ -74,9 +78,9 @@ def _between(i: Column, j: Column) -> Column:
     return F.struct(one("x").alias("x"), one("y").alias("y"))
 
 
-def mesh_error(grids: DataFrame, back: Callable[[Column, Column], Column], res: float, step: int) -> float:
+def mesh_error(grids: DataFrame, back: Callable[[Column, Column], Column], res: float, step: int, tasks: int = 1) -> float:
     """The largest distance, in coordinates, between the mesh and the exact transform."""
-    meshes = _meshes(grids, back, res, step)
+    meshes = _meshes(grids, back, res, step, tasks)
     spots = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0.5, 0.5), (0.0, 0.5), (0.5, 0.0), (1.0, 0.5), (0.5, 1.0)))))
     asked = meshes.withColumn("s", spots)
     exact = back(F.col("ulx") + ((F.col("mc") + F.col("s.j")) * step + 0.5) * res, F.col("uly") - ((F.col("mr") + F.col("s.i")) * step + 0.5) * res)
@@ -89,23 +93,25 @@ def warp(cells: DataFrame, grids: DataFrame, source: int, target: int, res: floa
 
     ``grids`` is as ``sources.rasters.META``; all scenes have one pixel size. Target cells
     are made by the executors, a mesh at a time, and join the source on scene, row and
-    column; cells that no source pixel reaches have no data.
+    column by sorting, as a small file can hold many cells; cells that no source pixel
+    reaches have no data.
     """
     size = grids.agg(F.min("xres"), F.max("xres")).first()
     if size[0] != size[1]:
         raise ValueError("scenes have pixels of several sizes")
     back, onto, step = carried(target, source), target_grids(grids, source, target, res), mesh
-    while (error := mesh_error(onto, back, res, step)) > tolerance * size[0] and step > 1:
+    tasks = (onto.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0) // TASK + 1
+    while (error := mesh_error(onto, back, res, step, tasks)) > tolerance * size[0] and step > 1:
         step //= 2
     within = F.sequence(F.lit(0), F.lit(step - 1))
-    each = _meshes(onto, back, res, step).withColumn("i", F.explode(within)).withColumn("j", F.explode(within))
-    each = each.select("scene_id", (F.col("mr") * step + F.col("i")).cast("int").alias("row"), (F.col("mc") * step + F.col("j")).cast("int").alias("col"), "ulx", "uly", "width", "height", _between(F.col("i") / step, F.col("j") / step).alias("p")).where("row < height and col < width")
     from_ = grids.select("scene_id", F.col("ulx").alias("sx"), F.col("uly").alias("sy"), F.col("xres").alias("sr"))
+    each = _meshes(onto.join(from_, "scene_id"), back, res, step, tasks).withColumn("i", F.explode(within)).withColumn("j", F.explode(within))
+    each = each.select("scene_id", (F.col("mr") * step + F.col("i")).cast("int").alias("row"), (F.col("mc") * step + F.col("j")).cast("int").alias("col"), "ulx", "uly", "width", "height", "sx", "sy", "sr", _between(F.col("i") / step, F.col("j") / step).alias("p")).where("row < height and col < width")
     down, right = (lambda p: (F.col("sy") - F.col(f"{p}.y")) / F.col("sr")), (lambda p: (F.col(f"{p}.x") - F.col("sx")) / F.col("sr"))
-    each = each.join(from_, "scene_id").withColumns({"__y": down("p"), "__x": right("p")})
+    each = each.withColumns({"__y": down("p"), "__x": right("p")})
     near = [F.abs(F.col(c) - F.rint(c)) <= 2 * error / size[0] for c in ("__y", "__x")]
     exact = F.when(near[0] | near[1], back(F.col("ulx") + (F.col("col") + 0.5) * res, F.col("uly") - (F.col("row") + 0.5) * res))
     asked = each.withColumn("q", exact).select("scene_id", "row", "col", F.floor(F.coalesce(down("q"), "__y")).cast("int").alias("__r"), F.floor(F.coalesce(right("q"), "__x")).cast("int").alias("__c"))
     known = cells.select("scene_id", F.col("row").alias("__r"), F.col("col").alias("__c"), *bands)
-    out = asked.join(known, ["scene_id", "__r", "__c"], "left").drop("__r", "__c")
+    out = asked.join(known.hint("merge"), ["scene_id", "__r", "__c"], "left").drop("__r", "__c")
     return out.withColumns({b: F.coalesce(F.col(b), F.lit(nodata).cast(cells.schema[b].dataType)) for b in bands}), onto

@@ -78,6 +78,20 @@ def test_warp_asks_exactly_near_the_sides(spark):
     assert (own["v"] == want)[clear].all()
 
 
+def test_warp_is_spread_over_tasks(spark, monkeypatch):
+    """Target cells of one scene are made by several tasks and don't move to one for the scene; the source is not broadcast."""
+    grids = spark.createDataFrame([("a", 33.0, -11.0, 0.0001, 100, 400)], GRIDS)
+    cells = spark.range(40000).select(F.lit("a").alias("scene_id"), F.expr("cast(id div 100 as int)").alias("row"), (F.col("id") % 100).cast("int").alias("col"), F.col("id").cast("int").alias("v"))
+    one, onto = warping.warp(cells, grids, 4326, 32736, 10.0, ["v"], nodata=-1)
+    monkeypatch.setattr(warping, "TASK", 5000, raising=False)
+    made = warping.warp(cells, grids, 4326, 32736, 10.0, ["v"], nodata=-1)[0]
+    g, plan = onto.first(), made._jdf.queryExecution().optimizedPlan().toString()
+    top, _, below = plan.partition(f", {g['width'] * g['height'] // 5000 + 1}\n")
+    assert "rightHint=(strategy=merge)" in top and top.rpartition("\n")[2].lstrip(" :+-").startswith("RepartitionByExpression")
+    assert top.count("Generate explode") == 3 and "Join Inner" not in top and "Join Inner" in below  # scenes meet their grids before cells are made
+    assert sorted(made.collect()) == sorted(one.collect())
+
+
 def test_warp_of_an_empty_map(spark, tmp_path):
     from landtide import plans
 
